@@ -1,0 +1,83 @@
+"""Weighted string similarity for Arrow batches.
+
+The score combines whole-string, token and best-window similarity with fixed
+weights. It has no built-in Spark counterpart (it needs longest common
+subsequences), so it runs per distinct string of a batch; everything around it
+stays in Spark.
+"""
+
+from __future__ import annotations
+
+
+def lcs_ratio(a: str, b: str) -> float:
+    """200 * LCS / (len a + len b), with the LCS counted on bit vectors."""
+    if not a or not b:
+        return 100.0 if a == b else 0.0
+    masks: dict[str, int] = {}
+    for i, c in enumerate(a):
+        masks[c] = masks.get(c, 0) | (1 << i)
+    full = (1 << len(a)) - 1
+    s = full
+    for c in b:
+        u = s & masks.get(c, 0)
+        s = ((s + u) | (s - u)) & full
+    return 200.0 * (len(a) - s.bit_count()) / (len(a) + len(b))
+
+
+def window_ratio(a: str, b: str) -> float:
+    """Best ratio of the shorter string with any window of the longer one,
+    windows cut off at both ends included."""
+    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    if not short:
+        return 0.0
+    n = len(short)
+    best = 0.0
+    for start in range(1 - n, len(long)):
+        window = long[max(0, start):start + n]
+        best = max(best, lcs_ratio(short, window))
+        if best == 100.0:
+            break
+    return best
+
+
+def _token_ratio(a: str, b: str, ratio, shared_is_full: bool) -> float:
+    ta, tb = sorted(a.split()), sorted(b.split())
+    sa, sb = set(ta), set(tb)
+    shared = " ".join(sorted(sa & sb))
+    if shared and (shared_is_full or sa <= sb or sb <= sa):
+        return 100.0
+    best = ratio(" ".join(ta), " ".join(tb))
+    da, db = " ".join(sorted(sa - sb)), " ".join(sorted(sb - sa))
+    if shared:
+        xa, xb = f"{shared} {da}", f"{shared} {db}"
+        return max(best, ratio(shared, xa), ratio(shared, xb), ratio(xa, xb))
+    return max(best, ratio(da, db))
+
+
+# fixed values: weights of token and window scores, and length-ratio limits
+TOKEN_WEIGHT = 0.95
+WINDOW_WEIGHT, LONG_WINDOW_WEIGHT = 0.9, 0.6
+WINDOW_FROM, LONG_FROM = 1.5, 8.0
+WEIGHTED_MIN_SCORE = 82.0
+
+
+def weighted_ratio(a: str, b: str) -> float:
+    if not a or not b:
+        return 0.0
+    spread = max(len(a), len(b)) / min(len(a), len(b))
+    whole = lcs_ratio(a, b)
+    if spread < WINDOW_FROM:
+        return max(whole, TOKEN_WEIGHT * _token_ratio(a, b, lcs_ratio, False))
+    w = WINDOW_WEIGHT if spread <= LONG_FROM else LONG_WINDOW_WEIGHT
+    return max(whole, w * window_ratio(a, b),
+               w * TOKEN_WEIGHT * _token_ratio(a, b, window_ratio, True))
+
+
+def best_weighted(head: str, words: list[tuple[str, str]]) -> tuple[str, float]:
+    """First (word, score) with the highest score; words are (word, folded)."""
+    best, top = "", -1.0
+    for word, folded in words:
+        s = weighted_ratio(head, folded)
+        if s > top:
+            best, top = word, s
+    return best, top

@@ -84,6 +84,25 @@ FROM (SELECT sheet_id, det_idx, conf, CAST((sheet_id * 7 + det_idx) % 46 AS INT)
 JOIN rooms AS r ON k.ord = r.ord
 """
 
+VIEWS["tilts"] = """
+SELECT sheet_id, det_idx, text, x0, y0, x1, y1,
+  CAST(CASE det_idx % 4 WHEN 0 THEN 0 WHEN 1 THEN 90 WHEN 2 THEN -90 ELSE 180 END AS DOUBLE)
+    + CAST(det_idx % 401 AS DOUBLE) / CAST(10 AS DOUBLE) - CAST(20 AS DOUBLE) AS angle_deg
+FROM detections
+"""
+
+VIEWS["rereads"] = """
+SELECT sheet_id, det_idx, (x0 - CAST(5 AS DOUBLE)) * CAST(2 AS DOUBLE) + CAST(det_idx % 9 AS DOUBLE) AS x0,
+  (y0 - CAST(3 AS DOUBLE)) * CAST(2 AS DOUBLE) AS y0, (x1 - CAST(5 AS DOUBLE)) * CAST(2 AS DOUBLE) AS x1,
+  (y1 - CAST(3 AS DOUBLE)) * CAST(2 AS DOUBLE) AS y1, CAST(5 AS DOUBLE) AS crop_x, CAST(3 AS DOUBLE) AS crop_y,
+  CASE WHEN det_idx % 3 = 0 THEN CONCAT(text, '1') ELSE CONCAT('7', SUBSTRING(text, 2)) END AS text,
+  conf + CAST(det_idx % 5 - 1 AS DOUBLE) / CAST(100 AS DOUBLE) AS conf
+FROM detections WHERE det_idx % 2 = 0
+UNION ALL
+SELECT sheet_id, det_idx, x0, y0, x1, y1, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), text, CAST(1 AS DOUBLE)
+FROM detections WHERE det_idx % 10 = 0
+"""
+
 VIEWS["runs"] = """
 SELECT sheet_id, det_idx AS run_id, pass_id, text, conf, x0, y0, x1, y1,
   CASE WHEN det_idx % 4 = 0 THEN 'room' WHEN det_idx % 11 = 0 THEN 'annotation' ELSE 'dimension' END AS kind,
