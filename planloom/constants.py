@@ -84,10 +84,11 @@ OCR_DPI = 300
 
 # fixed values: input routing by suffix and by leading bytes
 VECTOR_SUFFIXES = ("pdf",)
+PDF_MARK_HEX = "255044462D"  # %PDF-, anywhere in the first 1024 bytes
 RASTER_SUFFIXES = ("png", "jpg", "jpeg", "tif", "tiff", "bmp")
 MAGIC_HEX = (
-    ("89504E470D0A1A0A", "png"),
-    ("FFD8FF", "jpeg"),
+    ("89504E47", "png"),
+    ("FFD8", "jpeg"),
     ("49492A00", "tiff"),
     ("4D4D002A", "tiff"),
     ("424D", "bmp"),

@@ -135,14 +135,17 @@ def cardinal_deviation(angle: Column) -> Column:
     The starting answer is cardinal 0 with the unwrapped angle; a cardinal
     wins only when strictly closer, earlier ones first.
     """
-    options = [F.struct(F.abs(angle).alias("gap"), F.lit(0).alias("ord"),
-                        F.lit(0.0).alias("cardinal"), angle.alias("dev"))]
-    for i, c in enumerate(K.CARDINALS, start=1):
-        dev = wrap180(angle - c)
-        options.append(F.struct(F.abs(dev).alias("gap"), F.lit(i).alias("ord"),
-                                F.lit(c).alias("cardinal"), dev.alias("dev")))
-    best = F.array_min(F.array(*options))
-    return F.struct(best["cardinal"].alias("cardinal"), best["dev"].alias("dev"))
+    def option(ord_, cardinal, dev):
+        return F.struct(F.abs(dev).alias("gap"), ord_.alias("ord"),
+                        cardinal.alias("cardinal"), dev.alias("dev"))
+
+    listed = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(c).alias("cardinal"))
+                       for i, c in enumerate(K.CARDINALS, start=1)])
+    options = F.transform(listed, lambda c: option(
+        c["ord"], c["cardinal"], wrap180(angle - c["cardinal"])))
+    start = F.array(option(F.lit(0), F.lit(0.0), angle))
+    return F.transform(F.array(F.array_min(F.concat(start, options))), lambda b: F.struct(
+        b["cardinal"].alias("cardinal"), b["dev"].alias("dev")))[0]
 
 
 def quad_angle(quad, fallback: Column) -> Column:

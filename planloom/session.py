@@ -53,3 +53,15 @@ def split_hot(df: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame, Da
     if hot is None:
         return df, None
     return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
+
+
+#: A dimension table up to this many rows may be broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def join_small(df: DataFrame, dim: DataFrame, on, how: str = "inner",
+               max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Join with a dimension table: broadcast if a count proves it small,
+    otherwise leave the choice (and skew handling) to adaptive execution."""
+    small = dim.limit(max_rows + 1).count() <= max_rows
+    return df.join(F.broadcast(dim) if small else dim, on, how)

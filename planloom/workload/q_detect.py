@@ -11,7 +11,9 @@ from planloom.workload import sqltext as S
 from planloom.workload.q_match import MERGE_STEPS
 from planloom.workload.registry import query
 
-AXIS = F.expr(S.AXIS_OF_SHEET)
+def axis_of_sheet():
+    return F.expr(S.AXIS_OF_SHEET)
+
 ID = ["sheet_id", "det_idx"]
 
 
@@ -48,7 +50,7 @@ def _bbox(t):
 SELECT sheet_id, det_idx, {S.mirrored_box('m', 'width', 'height', 'axis')} FROM m""", ("detections", "sheets"))
 def _mirror_boxes(t):
     joined = t.detections.join(t.sheets, "sheet_id")
-    box = G.mirror_box(G.box_of(), "width", "height", AXIS)
+    box = G.mirror_box(G.box_of(), "width", "height", axis_of_sheet())
     return joined.select(*ID, *[b.alias(n) for b, n in zip(box, G.BOX)])
 
 
@@ -58,14 +60,14 @@ SELECT sheet_id, det_idx, CASE WHEN axis IN ('v','both') THEN width - x0 ELSE x0
   CASE WHEN axis IN ('h','both') THEN height - y0 ELSE y0 END AS my FROM m""", ("detections", "sheets"))
 def _mirror_points(t):
     return t.detections.join(t.sheets, "sheet_id").select(
-        *ID, G.mirror_x(F.col("x0"), "width", AXIS).alias("mx"),
-        G.mirror_y(F.col("y0"), "height", AXIS).alias("my"))
+        *ID, G.mirror_x(F.col("x0"), "width", axis_of_sheet()).alias("mx"),
+        G.mirror_y(F.col("y0"), "height", axis_of_sheet()).alias("my"))
 
 
 @query("mirror_angles", f"""SELECT sheet_id, det_idx, {S.mirrored_angle('angle_deg', f'({S.AXIS_OF_SHEET})')} AS angle_out FROM tilts""",
        ("tilts",))
 def _mirror_angles(t):
-    return t.tilts.select(*ID, r6(G.mirror_angle(F.col("angle_deg"), AXIS)).alias("angle_out"))
+    return t.tilts.select(*ID, r6(G.mirror_angle(F.col("angle_deg"), axis_of_sheet())).alias("angle_out"))
 
 
 @query("mirror_truth", f"""WITH m AS (SELECT t.*, s.width, s.height FROM truth AS t JOIN sheets AS s ON s.sheet_id = t.sheet_id)
@@ -303,8 +305,8 @@ def _snap_weighted(t):
 TRIAGE = f"""WITH labelled AS (SELECT d.sheet_id, d.det_idx, d.x0, d.y0, d.x1, d.y1, d.conf, l.raw AS label FROM detections AS d
   JOIN raw_labels AS l ON l.sheet_id = d.sheet_id AND l.det_idx = d.det_idx),
 {S.snap_steps('labelled', 'label').strip()},
-tri AS (SELECT *, CASE WHEN EXISTS (SELECT 1 FROM regions AS r WHERE r.sheet_id = snapped.sheet_id AND (x0+x1)/2 BETWEEN r.x0 AND r.x1
-      AND (y0+y1)/2 BETWEEN r.y0 AND r.y1) THEN 'protected'
+tri AS (SELECT *, CASE WHEN EXISTS (SELECT 1 FROM regions AS r WHERE r.sheet_id = snapped.sheet_id AND (snapped.x0+snapped.x1)/2 BETWEEN r.x0 AND r.x1
+      AND (snapped.y0+snapped.y1)/2 BETWEEN r.y0 AND r.y1) THEN 'protected'
     WHEN {S.symbol('label')} OR (kind = 'unknown' AND LENGTH(label) <= 2) THEN 'symbol' ELSE 'run' END AS disposition FROM snapped)
 SELECT sheet_id, det_idx, disposition, CASE disposition WHEN 'protected' THEN '' WHEN 'symbol' THEN 'non-text-symbol'
   ELSE CONCAT_WS(',', CASE WHEN conf < 0.85::DOUBLE THEN 'low-confidence' END, CASE WHEN changed THEN 'lexicon-snap' END,

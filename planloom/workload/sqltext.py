@@ -63,7 +63,7 @@ TRAIL = f"^(.*?)[\\s{DASH}]*(\\d+)$"
 
 def fold(x: str) -> str:
     out = f"LOWER({x})"
-    for a, b in (("ø", "o"), ("æ", "ae"), ("å", "aa"), ("ö", "o"), ("ä", "ae")):
+    for a, b in (("ø", "o"), ("æ", "ae"), ("å", "aa"), ("ö", "o"), ("ä", "ae"), ("ß", "ss")):
         out = f"REPLACE({out}, '{a}', '{b}')"
     return f"STRIP_ACCENTS({out})"
 

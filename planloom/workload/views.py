@@ -77,7 +77,7 @@ SELECT k.sheet_id, k.det_idx, k.conf, r.word AS truth_word,
     WHEN 3 THEN CONCAT('---', r.word) WHEN 4 THEN CONCAT(r.word, '.-1')
     WHEN 5 THEN CONCAT(r.word, 'x') WHEN 6 THEN CONCAT(' Vr.', CAST(k.det_idx % 9 AS STRING))
     WHEN 7 THEN CAST(k.det_idx % 30000 AS STRING) WHEN 8 THEN CONCAT(CAST(k.det_idx % 90 AS STRING), ',5 m²')
-    WHEN 9 THEN 'H*' WHEN 10 THEN '1' WHEN 11 THEN '->' WHEN 12 THEN 'GO' WHEN 13 THEN 'Stue一'
+    WHEN 9 THEN 'H*' WHEN 10 THEN '1' WHEN 11 THEN '->' WHEN 12 THEN 'GO' WHEN 13 THEN '一'
     ELSE 'Qzxwv' END AS raw
 FROM (SELECT sheet_id, det_idx, conf, CAST((sheet_id * 7 + det_idx) % 46 AS INT) AS ord,
         CAST((sheet_id + det_idx) % 15 AS INT) AS dmg FROM detections) AS k
@@ -129,6 +129,35 @@ UNION ALL
 SELECT sheet_id, run_id, 'geometry-lost', CONCAT('lost near ', text), 'error' FROM runs WHERE run_id % 211 = 0
 """
 
+VIEWS["glyphs"] = """
+SELECT f.font, c.cp, CAST(40 + (c.cp * f.k) % 37 AS DOUBLE) / CAST(100 AS DOUBLE) AS em
+FROM (SELECT DISTINCT CAST(32 + p_partkey % 95 AS INT) AS cp FROM {part}) AS c
+CROSS JOIN (VALUES ('Alpha', 3), ('Beta', 5), ('Gamma', 7), ('Narrow', 2)) AS f(font, k)
+WHERE NOT (f.font = 'Alpha' AND c.cp = 55) AND NOT (f.font = 'Beta' AND c.cp IN (49, 57)) AND NOT (f.font <> 'Narrow' AND c.cp = 51 )
+"""
+
+VIEWS["font_choices"] = """
+SELECT * FROM (VALUES (TRUE, 'Beta', 1), (TRUE, 'Alpha', 2), (TRUE, 'Gamma', 3), (FALSE, 'Alpha', 1), (FALSE, 'Gamma', 2)) AS f(bold, font, priority)
+"""
+
+VIEWS["styled"] = """
+SELECT r.*, CASE r.run_id % 3 WHEN 0 THEN 'Alpha' WHEN 1 THEN 'Beta' ELSE 'Gamma' END AS font,
+  r.run_id % 5 = 0 AS bold, r.run_id % 2 = 0 AS allow_condensed,
+  CASE WHEN ink_along > CAST(0 AS DOUBLE) THEN ink_along WHEN ABS(angle_deg) > 45 THEN y1 - y0 ELSE x1 - x0 END AS target_along,
+  CASE WHEN ink_along > CAST(0 AS DOUBLE) THEN cap_height WHEN ABS(angle_deg) > 45 THEN x1 - x0 ELSE y1 - y0 END AS target_across,
+  CAST(256 AS DOUBLE) - (x0 + x1) / CAST(2 AS DOUBLE) AS cx_out, (y0 + y1) / CAST(2 AS DOUBLE) AS cy_out, angle_deg AS angle_out,
+  drawn_width AS ink_width, drawn_height AS ink_height
+FROM runs AS r
+"""
+
+VIEWS["trials"] = """
+SELECT r.sheet_id, r.run_id, r.angle_deg, d.delta,
+  (r.x1 - r.x0) * CAST(80 + (r.run_id + CAST(d.delta * CAST(6 AS DOUBLE) AS BIGINT)) % 30 AS DOUBLE) / CAST(100 AS DOUBLE) AS along,
+  (r.y1 - r.y0) * CAST(80 + (r.run_id * 7 + CAST(d.delta * CAST(10 AS DOUBLE) AS BIGINT)) % 41 AS DOUBLE) / CAST(100 AS DOUBLE) AS across
+FROM runs AS r CROSS JOIN (VALUES (CAST(-1 AS DOUBLE)), (CAST(-5 AS DOUBLE) / CAST(10 AS DOUBLE)), (CAST(0 AS DOUBLE)),
+  (CAST(5 AS DOUBLE) / CAST(10 AS DOUBLE)), (CAST(1 AS DOUBLE))) AS d(delta)
+"""
+
 VIEWS["pixels"] = """
 SELECT l_orderkey AS sheet_id, CAST(l_suppkey % 41 AS INT) AS y, CAST(l_partkey % 97 AS INT) AS x,
   MIN(CAST(l_partkey * 13 % 256 AS INT)) AS luma
