@@ -16,6 +16,10 @@ def flag(code, message, severity="info") -> Column:
                     severity.cast("string").alias("severity"))
 
 
+def no_flags() -> Column:
+    return F.array().cast(f"array<{FLAG_TYPE}>")
+
+
 def flags_where(*pairs: tuple[Column, Column]) -> Column:
     """ARRAY of the flags whose condition holds, in the given order."""
     listed = F.array(*[F.when(cond, value) for cond, value in pairs])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from planloom import constants as K
 from planloom.functions import flags as FL, geometry as G, text as T
-from planloom.operators.match import prefixed
+from planloom.operators.match import inside_protected, outside_protected
 from planloom.operators.spatial import CELL, boxes_hit
 from planloom.operators.vocab import Vocabulary, snap_text
 
@@ -194,7 +194,7 @@ def scale_boxes(df: DataFrame, factor: Column) -> DataFrame:
 
 
 def triage_runs(dets: DataFrame, vocab: Vocabulary = Vocabulary(), protected: DataFrame | None = None,
-                on=("sheet_id",), ids=("det_idx",), cell: float = CELL, scorer=T.similarity) -> DataFrame:
+                on=("sheet_id",), cell: float = CELL, scorer=T.similarity) -> DataFrame:
     """Decide what each detection is: ``disposition`` protected, symbol or run.
 
     Adds ``snap`` and ``flags``. A symbol has one sheet-level info flag, a run
@@ -202,19 +202,15 @@ def triage_runs(dets: DataFrame, vocab: Vocabulary = Vocabulary(), protected: Da
     """
     work = snap_text(dets, vocab=vocab, scorer=scorer)
     if protected is not None:
-        key = list(dict.fromkeys([*on, *ids]))
-        cx, cy = G.box_center(G.box_of())
-        points = dets.select(*key, cx.alias("px0"), cy.alias("py0"), cx.alias("px1"), cy.alias("py1"))
-        inside = boxes_hit(points, prefixed(protected.select(*on, *G.BOX), "g_", list(on)), list(on),
-                           key, ["g_" + c for c in G.BOX], ("px0", "py0", "px1", "py1"),
-                           closed=True, cell=cell).withColumn("_in", F.lit(True))
-        work = work.join(inside, key, "left")
+        # the semi join marks the protected runs, the anti join the others
+        work = (inside_protected(work, protected, on, cell).withColumn("_in", F.lit(True))
+                .unionByName(outside_protected(work, protected, on, cell).withColumn("_in", F.lit(False))))
     else:
-        work = work.withColumn("_in", F.lit(None).cast("boolean"))
+        work = work.withColumn("_in", F.lit(False))
     text, snap = F.col("text"), F.col("snap")
     symbol = T.is_graphical_symbol(text) | T.is_wrong_script(text)
     short = (snap["kind"] == "unknown") & (F.length(text) <= K.SHORT_UNKNOWN_LEN)
-    disposition = (F.when(F.col("_in").isNotNull(), "protected")
+    disposition = (F.when(F.col("_in"), "protected")
                    .when(symbol | short, "symbol").otherwise("run"))
     symbol_flag = FL.flag("non-text-symbol", F.format_string(
         "'%s' (confidence %.2f) looks like a drafting symbol, not text; left as geometry.",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from planloom import constants as K
 from planloom.functions import geometry as G
 from planloom.functions.flags import flag
-from planloom.operators.spatial import CELL, box_pairs, boxes_hit
+from planloom.operators.spatial import CELL, box_pairs, boxes_hit, points_join
 from planloom.session import cut_lineage
 
 #: A sheet is matched by one fold while truths x detections stay below this.
@@ -200,25 +200,20 @@ def score_runs(truth: DataFrame, dets: DataFrame, on: tuple[str, ...] = ("sheet_
 
 # --- regions ------------------------------------------------------------------
 
-def _inside_ids(df, regions, on, ids, cell):
+def _by_region(df, regions, on, how, cell):
     cx, cy = G.box_center(G.box_of())
-    points = (df.select(*on, *ids, *G.BOX).withColumn("px0", cx).withColumn("py0", cy)
-              .select(*dict.fromkeys([*on, *ids]), "px0", "py0",
-                      F.col("px0").alias("px1"), F.col("py0").alias("py1")))
     areas = prefixed(regions.select(*on, *G.BOX), "g_", on)
-    return boxes_hit(points, areas, on, list(dict.fromkeys([*on, *ids])),
-                     ["g_" + c for c in G.BOX], ("px0", "py0", "px1", "py1"), closed=True, cell=cell)
+    return points_join(df.withColumns({"_px": cx, "_py": cy}), areas, on, how, ["g_" + c for c in G.BOX],
+                       ("_px", "_py"), cell=cell).drop("_px", "_py")
 
 
-def outside_protected(df, regions, on=("sheet_id",), ids=("det_idx",), cell: float = CELL) -> DataFrame:
+def outside_protected(df, regions, on=("sheet_id",), cell: float = CELL) -> DataFrame:
     """Runs whose centre lies in no protected region (closed bounds)."""
-    key = list(dict.fromkeys([*on, *ids]))
-    return df.join(_inside_ids(df, regions, list(on), list(ids), cell), key, "left_anti")
+    return _by_region(df, regions, list(on), "left_anti", cell)
 
 
-def inside_protected(df, regions, on=("sheet_id",), ids=("det_idx",), cell: float = CELL) -> DataFrame:
-    key = list(dict.fromkeys([*on, *ids]))
-    return df.join(_inside_ids(df, regions, list(on), list(ids), cell), key, "left_semi")
+def inside_protected(df, regions, on=("sheet_id",), cell: float = CELL) -> DataFrame:
+    return _by_region(df, regions, list(on), "left_semi", cell)
 
 
 def missed_text(dropped: DataFrame, kept: DataFrame, on=("sheet_id",), ids=("det_idx",),
@@ -240,3 +235,37 @@ def missed_text(dropped: DataFrame, kept: DataFrame, on=("sheet_id",), ids=("det
         "check that nothing was lost here.", "text", "conf", cx, cy)
     return (notable.join(covered, key, "left_anti")
             .withColumn("flag", flag("possible-missed-text", message, "warn")))
+
+
+# --- wording of the output --------------------------------------------------------
+
+def check_wording(expected: DataFrame, observed: DataFrame, on: tuple[str, ...] = ("sheet_id",),
+                  vocab=None, source_conf: bool = False) -> DataFrame:
+    """Issues with the wording of a drawn sheet: (on..., run_id, issue, message).
+
+    ``expected`` has run_id, text and box, ``observed`` det_idx, text, conf and
+    box. A run nobody reads back is unconfirmed; one read back as something
+    else, or without confidence, needs review.
+    """
+    from planloom.operators.vocab import Vocabulary, snap_text
+
+    on = list(on)
+    pairs = match_one_to_one(expected.withColumnRenamed("run_id", "truth_idx"), observed, tuple(on), ties="last")
+    read = snap_text(observed, vocab=vocab or Vocabulary())
+    read = read.select(*on, "det_idx", F.col("snap.text").alias("read"), F.col("conf").alias("read_conf"))
+    seen = (pairs.withColumnRenamed("truth_idx", "run_id").join(read, [*on, "det_idx"])
+            .select(*on, "run_id", "read", "read_conf"))
+    both = expected.join(seen, [*on, "run_id"], "left")
+    issue = (F.when(F.col("read").isNull(), "unconfirmed")
+             .when((F.col("read") != F.col("text")) | (F.col("read_conf") < K.LOW_CONFIDENCE), "differs"))
+    message = (F.when(F.col("read").isNull(), F.format_string(
+        "'%s' was not read back from the output; wording unconfirmed.", "text"))
+        .otherwise(F.format_string("'%s' was read back as '%s' at %.2f; review required.", "text", "read", "read_conf")))
+    out = (both.withColumn("issue", issue).where(F.col("issue").isNotNull())
+           .select(*on, "run_id", "issue", message.alias("message")))
+    if source_conf:
+        unsure = expected.where(F.col("conf") < K.LOW_CONFIDENCE).select(
+            *on, "run_id", F.lit("source-confidence").alias("issue"), F.format_string(
+                "'%s' was read on the source at %.2f; review required.", "source_text", "conf").alias("message"))
+        out = out.unionByName(unsure)
+    return out

@@ -67,3 +67,25 @@ def boxes_hit(left: DataFrame, right: DataFrame, on: list[str], ids: list[str],
     if extra is not None:
         cond = cond & extra
     return a.join(renamed, cond, "left_semi").select(*ids).distinct()
+
+
+def points_join(points: DataFrame, boxes: DataFrame, on: list[str], how: str, box, point=("x", "y"),
+                half_open: bool = False, cell: float = CELL) -> DataFrame:
+    """Join points with the boxes that hold them (semi, anti or inner).
+
+    A point lies in one cell, so it is neither copied nor de-duplicated; only
+    the boxes are listed per cell. Box column names must differ from the
+    point table's. ``half_open`` leaves out the right and bottom borders.
+    """
+    px, py = F.col(point[0]), F.col(point[1])
+    placed = points.withColumns({"_cx": F.floor(px / cell), "_cy": F.floor(py / cell)})
+    b = with_cells(boxes, box, cell, "b").drop("bcx0", "bcy0")
+    for c in [*on, "cx", "cy"]:
+        b = b.withColumnRenamed(c, "_r_" + c)
+    x0, y0, x1, y1 = (F.col(c) for c in box)
+    inside = (px >= x0) & (py >= y0) & ((px < x1) & (py < y1) if half_open else (px <= x1) & (py <= y1))
+    cond = (F.col("_cx") == F.col("_r_cx")) & (F.col("_cy") == F.col("_r_cy")) & inside
+    for c in on:
+        cond = cond & (F.col(c) == F.col("_r_" + c))
+    out = placed.join(b, cond, how)
+    return out.drop("_cx", "_cy", "_r_cx", "_r_cy", *["_r_" + c for c in on])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from planloom.functions import geometry as G
+from planloom.functions import flags as FL, geometry as G
 from planloom.operators import gate, sizes
 from planloom.workload import sqltext as S
 from planloom.workload.registry import query
@@ -20,7 +20,7 @@ def _target(t):
     return t.runs.select(*ID, along.alias("along"), across.alias("across"))
 
 
-WIDTHS = """nat AS (SELECT r.sheet_id, r.run_id, SUM(COALESCE(g.em, 0)) * ANY_VALUE(r.{px}) AS natural
+WIDTHS = """nat AS (SELECT r.sheet_id, r.run_id, SUM(COALESCE(g.em, 0)) * ANY_VALUE(r.{px}) AS nw
   FROM (SELECT *, UNNEST(STRING_SPLIT(text, '')) AS ch FROM styled) AS r LEFT JOIN glyphs AS g
   ON g.font = {font} AND g.cp = ASCII(r.ch) GROUP BY r.sheet_id, r.run_id)"""
 
@@ -32,11 +32,11 @@ def fit_sql(nat: str, n: str, px: str, along: str) -> tuple[str, str, str, str]:
     return tr, tracked, scale, f"({tracked} * {scale} / GREATEST(1, {along}))"
 
 
-TR, TRACKED, SCALE, OVER = fit_sql("natural", "LENGTH(text)", "px_size", "ink_along")
+TR, TRACKED, SCALE, OVER = fit_sql("nw", "LENGTH(text)", "px_size", "ink_along")
 
 
 @query("text_width", f"""WITH {WIDTHS.format(px='px_size', font='r.font')}
-SELECT s.sheet_id, s.run_id, ROUND(n.natural, 6) AS natural, ROUND(n.natural + 1.5::DOUBLE * (LENGTH(s.text) - 1), 6) AS width
+SELECT s.sheet_id, s.run_id, ROUND(n.nw, 6) AS natural, ROUND(n.nw + 1.5::DOUBLE * (LENGTH(s.text) - 1), 6) AS width
 FROM styled AS s JOIN nat AS n ON n.sheet_id = s.sheet_id AND n.run_id = s.run_id""", ("styled", "glyphs"))
 def _width(t):
     df = t.styled.join(F.broadcast(sizes.font_tables(t.glyphs)), "font", "left")
@@ -47,7 +47,7 @@ def _width(t):
 
 @query("fit_dimensions", f"""WITH {WIDTHS.format(px='px_size', font='r.font')},
 cnat AS (SELECT * FROM ({WIDTHS.format(px='px_size', font="'Narrow'")[8:-1]})),
-a AS (SELECT s.*, n.natural, c.natural AS cn FROM styled AS s JOIN nat AS n ON n.sheet_id = s.sheet_id AND n.run_id = s.run_id
+a AS (SELECT s.*, n.nw, c.nw AS cn FROM styled AS s JOIN nat AS n ON n.sheet_id = s.sheet_id AND n.run_id = s.run_id
   JOIN cnat AS c ON c.sheet_id = s.sheet_id AND c.run_id = s.run_id),
 b AS (SELECT *, {TR} AS tr, {SCALE} AS sc, {OVER} AS ov, {fit_sql('cn', 'LENGTH(text)', 'px_size', 'ink_along')[0]} AS ctr,
   {fit_sql('cn', 'LENGTH(text)', 'px_size', 'ink_along')[2]} AS csc, {fit_sql('cn', 'LENGTH(text)', 'px_size', 'ink_along')[3]} AS cov FROM a),
@@ -78,7 +78,7 @@ NTR, NTRACKED, NSCALE, _ = fit_sql("nm", "LENGTH(text)", "median", "ink_along")
 
 
 @query("snap_sizes", f"""WITH {CLUSTERS}, {WIDTHS.format(px='px_size', font='r.font')},
-j AS (SELECT s.*, med.median, n.natural / s.px_size * med.median AS nm FROM styled AS s
+j AS (SELECT s.*, med.median, n.nw / s.px_size * med.median AS nm FROM styled AS s
   LEFT JOIN cl ON cl.sheet_id = s.sheet_id AND cl.run_id = s.run_id
   LEFT JOIN med ON med.sheet_id = cl.sheet_id AND med.kind = cl.kind AND med.c = cl.c
   JOIN nat AS n ON n.sheet_id = s.sheet_id AND n.run_id = s.run_id),
@@ -188,8 +188,7 @@ def _pick(t):
 def gate_tables(t, fonts=True):
     flags = t.run_flags.where(F.col("severity") != "error").groupBy(*ID).agg(F.array_sort(F.collect_list(
         F.struct("code", "message", "severity"))).alias("flags"))
-    empty = F.from_json(F.lit("[]"), "array<struct<code:string,message:string,severity:string>>")
-    runs = t.styled.join(flags, ID, "left").withColumn("flags", F.coalesce("flags", empty))
+    runs = t.styled.join(flags, ID, "left").withColumn("flags", F.coalesce("flags", FL.no_flags()))
     packed = sizes.font_tables(t.glyphs) if fonts else None
     return gate.GateTables(runs, packed, t.font_choices if fonts else None)
 
