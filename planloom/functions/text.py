@@ -13,12 +13,13 @@ from planloom import constants as K
 # fixed values: letters written out before accents are removed
 LETTER_PAIRS = (("ø", "o"), ("æ", "ae"), ("å", "aa"), ("ö", "o"), ("ä", "ae"), ("ß", "ss"))
 
-# fixed values: dash characters stripped from both ends, and patterns
-DASHES = "\\-\u2010-\u2015"
+# fixed values: white space and dash characters stripped from both ends, and patterns
+WHITE_SPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+DASHES = "-\u2010\u2011\u2012\u2013\u2014\u2015"
 DIMENSION_PATTERN = r"^\d{2,5}$"
 AREA_PATTERN = r"^\d{1,3}(?:[,.]\d{1,2})?\s*m[²2]?$"
 NUMERIC_RUN_PATTERN = r"^[0-9][0-9 .,:/\\-]*$"
-TRAILING_NUMBER_PATTERN = r"^(.*?)[\s\-‐-―]*(\d+)$"
+NUMBER_TAIL_PATTERN = r"[\s\-‐-―]*(\d+)$"
 
 #: Blocks whose compatibility forms are folded: Latin, super/subscripts,
 #: letter-like signs, ligatures and full-width forms.
@@ -56,7 +57,7 @@ def fold_text(s: Column) -> Column:
     out = F.lower(s)
     for a, b in LETTER_PAIRS:
         out = F.replace(out, F.lit(a), F.lit(b))
-    plain = out.rlike(r"^\p{ASCII}*$")
+    plain = F.octet_length(s) == F.length(s)
     full = F.regexp_replace(F.translate(out, src, dst), r"\p{Mn}", "")
     for a, b in several:
         full = F.replace(full, F.lit(a), F.lit(b))
@@ -64,20 +65,19 @@ def fold_text(s: Column) -> Column:
 
 
 def strip(s: Column) -> Column:
-    return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
+    return F.btrim(s, F.lit(WHITE_SPACE))
 
 
 def strip_edge_dashes(s: Column) -> Column:
     """Trim white space, then dashes at both ends (no second trim)."""
-    return F.regexp_replace(strip(s), f"^[{DASHES}]+|[{DASHES}]+$", "")
+    return F.btrim(strip(s), F.lit(DASHES))
 
 
 def trailing_number(s: Column) -> tuple[Column, Column, Column]:
     """(head, separator, number): the separator becomes one space."""
-    has = s.rlike(TRAILING_NUMBER_PATTERN)
-    head = F.when(has, F.regexp_extract(s, TRAILING_NUMBER_PATTERN, 1)).otherwise(s)
-    tail = F.when(has, F.regexp_extract(s, TRAILING_NUMBER_PATTERN, 2)).otherwise("")
-    return head, F.when(has, " ").otherwise(""), tail
+    tail = F.regexp_extract(s, NUMBER_TAIL_PATTERN, 1)
+    head = F.when(tail == "", s).otherwise(F.regexp_replace(s, NUMBER_TAIL_PATTERN, ""))
+    return head, F.when(tail == "", "").otherwise(" "), tail
 
 
 def split_trailing_number(s: Column) -> Column:

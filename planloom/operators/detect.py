@@ -200,13 +200,13 @@ def triage_runs(dets: DataFrame, vocab: Vocabulary = Vocabulary(), protected: Da
     Adds ``snap`` and ``flags``. A symbol has one sheet-level info flag, a run
     its own flags in a fixed order.
     """
-    work = snap_text(dets, vocab=vocab, scorer=scorer)
     if protected is not None:
         # the semi join marks the protected runs, the anti join the others
-        work = (inside_protected(work, protected, on, cell).withColumn("_in", F.lit(True))
-                .unionByName(outside_protected(work, protected, on, cell).withColumn("_in", F.lit(False))))
+        work = (inside_protected(dets, protected, on, cell).withColumn("_in", F.lit(True))
+                .unionByName(outside_protected(dets, protected, on, cell).withColumn("_in", F.lit(False))))
     else:
-        work = work.withColumn("_in", F.lit(False))
+        work = dets.withColumn("_in", F.lit(False))
+    work = snap_text(work, vocab=vocab, scorer=scorer)
     text, snap = F.col("text"), F.col("snap")
     symbol = T.is_graphical_symbol(text) | T.is_wrong_script(text)
     short = (snap["kind"] == "unknown") & (F.length(text) <= K.SHORT_UNKNOWN_LEN)

@@ -69,6 +69,7 @@ def expected_transforms(traces: DataFrame, matrices: DataFrame, pages: DataFrame
     work = work.withColumn("unit", unit)
     error = (F.when(F.col("has_trace").isNull(), "text matrix without a glyph run")
              .when(F.col("has_matrix").isNull(), "glyph run without a text matrix")
+             .when(F.col("width").isNull() | F.col("height").isNull(), "page size unknown")
              .when(F.col("unit") < 1e-9, "degenerate text matrix"))
     work = work.withColumn("error", error)
     dx, dy = F.col("dx"), F.col("dy")

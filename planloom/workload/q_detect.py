@@ -259,15 +259,15 @@ def _classes(t):
                                kind["warning"].isNotNull().alias("implausible"))
 
 
-@query("fold_text", f"""SELECT sheet_id, det_idx, {S.fold('raw')} AS folded,
+@query("fold_text", f"""SELECT sheet_id, det_idx, REPLACE({S.fold('raw')}, '²', '2') AS folded,
   REGEXP_REPLACE(REGEXP_REPLACE(raw, '^\\s+|\\s+$', '', 'g'), '^[{S.DASH}]+|[{S.DASH}]+$', '', 'g') AS stripped,
   CASE WHEN REGEXP_MATCHES(raw, '{S.TRAIL}') THEN REGEXP_EXTRACT(raw, '{S.TRAIL}', 1) ELSE raw END AS head,
   CASE WHEN REGEXP_MATCHES(raw, '{S.TRAIL}') THEN REGEXP_EXTRACT(raw, '{S.TRAIL}', 2) ELSE '' END AS tail
-FROM raw_labels WHERE raw NOT LIKE '%²%'""", ("raw_labels",))
+FROM raw_labels""", ("raw_labels",))
 def _fold(t):
     raw = F.col("raw")
     cut = T.split_trailing_number(raw)
-    return t.raw_labels.where(~raw.contains("²")).select(
+    return t.raw_labels.select(
         *ID, T.fold_text(raw).alias("folded"), T.strip_edge_dashes(raw).alias("stripped"),
         cut["head"].alias("head"), cut["number"].alias("tail"))
 
@@ -278,11 +278,10 @@ def _fold_documents(t):
     return table(t.spark, t.sf_dir, "documents").select("doc_id", F.md5(T.fold_text(F.col("text"))).alias("folded"))
 
 
-@query("edit_distance", f"""SELECT sheet_id, det_idx, LEVENSHTEIN({S.fold('raw')}, {S.fold('truth_word')}) AS distance FROM raw_labels
-WHERE raw NOT LIKE '%²%' AND raw NOT LIKE '%一%'""", ("raw_labels",))
+@query("edit_distance", f"""SELECT sheet_id, det_idx, LEVENSHTEIN(REPLACE(REPLACE({S.fold('raw')}, '²', '2'), '一', '%'), {S.fold('truth_word')}) AS distance FROM raw_labels""", ("raw_labels",))
 def _distance(t):
     raw = F.col("raw")
-    return t.raw_labels.where(~raw.contains("²") & ~raw.contains("一")).select(
+    return t.raw_labels.select(
         *ID, T.edit_distance(T.fold_text(raw), T.fold_text(F.col("truth_word"))).cast("long").alias("distance"))
 
 

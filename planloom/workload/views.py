@@ -158,6 +158,57 @@ FROM runs AS r CROSS JOIN (VALUES (CAST(-1 AS DOUBLE)), (CAST(-5 AS DOUBLE) / CA
   (CAST(5 AS DOUBLE) / CAST(10 AS DOUBLE)), (CAST(1 AS DOUBLE))) AS d(delta)
 """
 
+VIEWS["traces"] = """
+SELECT sheet_id AS doc_id, pass_id AS page_index, det_idx AS run_index, text,
+  CASE det_idx % 5 WHEN 0 THEN CAST(0 AS DOUBLE) WHEN 1 THEN CAST(-1 AS DOUBLE) WHEN 2 THEN CAST(6 AS DOUBLE) / CAST(10 AS DOUBLE)
+    ELSE CAST(1 AS DOUBLE) END AS dx,
+  CASE det_idx % 5 WHEN 0 THEN CAST(-1 AS DOUBLE) WHEN 1 THEN CAST(0 AS DOUBLE) WHEN 2 THEN CAST(8 AS DOUBLE) / CAST(10 AS DOUBLE)
+    ELSE CAST(0 AS DOUBLE) END AS dy,
+  CAST(5 + det_idx % 9 AS DOUBLE) AS size, CAST(9 AS DOUBLE) / CAST(10 AS DOUBLE) AS ascender, CAST(-2 AS DOUBLE) / CAST(10 AS DOUBLE) AS descender,
+  x0 AS sx, y1 AS sy, x0 + CAST(det_idx % 40 AS DOUBLE) AS lx, y1 - CAST(det_idx % 7 AS DOUBLE) AS ly,
+  CAST(4 + det_idx % 11 AS DOUBLE) AS lw, CAST(6 + det_idx % 13 AS DOUBLE) AS lh, x0, y0, x1, y1
+FROM detections
+"""
+
+VIEWS["matrices"] = """
+SELECT doc_id, page_index, run_index, size / CAST(4 AS DOUBLE) AS ma, CAST(0 AS DOUBLE) AS mb, CAST(0 AS DOUBLE) AS mc,
+  size / CAST(4 AS DOUBLE) AS md, sx AS me, CAST(100 AS DOUBLE) - sy AS mf,
+  CASE WHEN run_index % 97 = 5 THEN CAST(0 AS DOUBLE) ELSE CAST(2 AS DOUBLE) END AS ca, CAST(2 AS DOUBLE) AS cd
+FROM traces WHERE run_index % 89 <> 7
+"""
+
+VIEWS["plan_pages"] = """
+SELECT o.o_orderkey AS doc_id, p.page_index, CAST(160 + o.o_custkey % 40 AS DOUBLE) AS width, CAST(80 + o.o_custkey % 20 AS DOUBLE) AS height,
+  CAST(o.o_orderkey % 17 AS INT) AS text_runs_mirrored
+FROM {orders} AS o JOIN (VALUES (0), (1), (2)) AS p(page_index) ON p.page_index <= o.o_custkey % 3
+"""
+
+VIEWS["page_images"] = """
+SELECT l_orderkey AS doc_id, CAST(l_partkey % 3 AS INT) AS page_index, l_partkey * 100000000 + CAST(ROUND(l_extendedprice * CAST(100 AS DOUBLE)) AS BIGINT) AS img_no,
+  CASE WHEN l_partkey % 50 = 0 THEN CAST(0 AS BIGINT) ELSE l_suppkey % 60 + 1 END AS xref,
+  CAST(l_partkey % 97 AS DOUBLE) AS x0, CAST(l_suppkey % 41 AS DOUBLE) AS y0, CAST(l_partkey % 97 AS DOUBLE) + CAST(2 AS DOUBLE) * l_quantity AS x1,
+  CAST(l_suppkey % 41 AS DOUBLE) + l_quantity AS y1, CAST(2 AS DOUBLE) * l_quantity AS a,
+  CASE WHEN l_partkey % 31 = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS b, CAST(0 AS DOUBLE) AS c, l_quantity AS d,
+  CAST(l_partkey % 97 AS DOUBLE) AS e, CAST(l_suppkey % 41 AS DOUBLE) AS f, CAST(100 + l_partkey % 400 AS INT) AS px_w, CAST(60 + l_suppkey % 30 AS INT) AS px_h,
+  l_partkey % 7 <> 0 AS readable
+FROM {lineitem}
+"""
+
+VIEWS["file_list"] = """
+SELECT o_orderkey AS seq, CONCAT('/in/', CAST(o_custkey % 50 AS STRING), '//', CASE o_orderkey % 4 WHEN 0 THEN './' ELSE '' END,
+    CASE o_orderkey % 5 WHEN 0 THEN CONCAT('634-', CAST(o_custkey % 20 AS STRING), '-A00-S-V00-R00') WHEN 1 THEN CONCAT('T04-R-V', CAST(o_custkey % 20 AS STRING))
+      WHEN 2 THEN CONCAT('A-R-V1-S-V2-', CAST(o_custkey % 30 AS STRING)) ELSE CONCAT('plan ', CAST(o_custkey % 40 AS STRING)) END,
+    CASE o_orderkey % 7 WHEN 0 THEN '.PDF' WHEN 1 THEN '.png' WHEN 2 THEN '' ELSE '.pdf' END) AS path,
+  o_orderkey % 11 <> 0 AS exists, CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'completed' ELSE 'queued' END AS status,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'Mixed image PDF' END AS badge, CASE WHEN o_orderkey % 3 = 0 THEN 'has pictures' END AS reason,
+  CONCAT('failed on ', o_orderpriority) AS error, o_orderpriority AS batch
+FROM {orders}
+"""
+
+VIEWS["input_documents"] = """
+SELECT seq AS doc_id, path, CASE WHEN seq % 29 = 0 THEN 'broken' END AS error, CAST(CASE WHEN seq % 23 = 0 THEN 0 ELSE seq % 3 + 1 END AS INT) AS page_count FROM file_list
+"""
+
 VIEWS["pixels"] = """
 SELECT l_orderkey AS sheet_id, CAST(l_suppkey % 41 AS INT) AS y, CAST(l_partkey % 97 AS INT) AS x,
   MIN(CAST(l_partkey * 13 % 256 AS INT)) AS luma
@@ -208,7 +259,11 @@ def cte(*names: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A base table. A table of fewer files than cores (the test data: one row
+    group each) is spread first; a table of many files is read as it lies."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
