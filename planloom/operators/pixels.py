@@ -181,9 +181,12 @@ def drawing_coverage(pixels: DataFrame, levels: DataFrame) -> DataFrame:
     """
     ok = levels.where(F.col("ink").isNotNull() & F.col("paper").isNotNull())
     work = join_small(pixels.select(*PIXEL, "luma"), ok, "sheet_id")
-    step = F.array(F.lit(-1), F.lit(0), F.lit(1))
+
+    def around(c):
+        return F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))
+
     near = (work.where(F.col("luma") <= F.col("level")).select("sheet_id", "y", "x")
-            .withColumn("y", F.col("y") + F.explode(step)).withColumn("x", F.col("x") + F.explode(step)).distinct())
+            .withColumn("y", around("y")).withColumn("x", around("x")).distinct())
     alpha = (F.col("paper") - F.col("luma")) / F.greatest(F.lit(1.0), F.col("paper") - F.col("ink"))
     return (work.withColumn("alpha", F.least(F.greatest(alpha, F.lit(0.0)), F.lit(1.0)))
             .where(F.col("alpha") > 0).join(near, PIXEL, "left_semi").select(*PIXEL, "alpha"))

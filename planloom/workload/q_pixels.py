@@ -77,9 +77,9 @@ def grow_sql(source: str, diagonal: bool = True) -> str:
     near = "ABS(a.x - b.x) <= 1 AND ABS(a.y - b.y) <= 1" if diagonal else "ABS(a.x - b.x) + ABS(a.y - b.y) <= 1"
     return f"""pt AS (SELECT sheet_id, x, y, y * 4294967296 + x AS id FROM {source}),
 nb AS (SELECT a.sheet_id, a.id AS a, b.id AS b FROM pt AS a JOIN pt AS b ON b.sheet_id = a.sheet_id AND {near}),
-walk AS (SELECT sheet_id, id AS root, id AS at FROM pt UNION SELECT w.sheet_id, w.root, n.b FROM walk AS w JOIN nb AS n ON n.sheet_id = w.sheet_id AND n.a = w.at),
-lab AS (SELECT sheet_id, at, MIN(root) AS region FROM walk GROUP BY sheet_id, at),
-reg AS (SELECT l.sheet_id, l.region, MIN(x) AS x0, MIN(y) AS y0, MAX(x) + 1 AS x1, MAX(y) + 1 AS y1, COUNT(*) AS area FROM lab AS l JOIN pt AS p ON p.sheet_id = l.sheet_id AND p.id = l.at GROUP BY l.sheet_id, l.region)"""
+walk AS (SELECT sheet_id, id AS root, id AS cur FROM pt UNION SELECT w.sheet_id, w.root, n.b FROM walk AS w JOIN nb AS n ON n.sheet_id = w.sheet_id AND n.a = w.cur),
+lab AS (SELECT sheet_id, cur, MIN(root) AS region FROM walk GROUP BY sheet_id, cur),
+reg AS (SELECT l.sheet_id, l.region, MIN(x) AS x0, MIN(y) AS y0, MAX(x) + 1 AS x1, MAX(y) + 1 AS y1, COUNT(*) AS area FROM lab AS l JOIN pt AS p ON p.sheet_id = l.sheet_id AND p.id = l.cur GROUP BY l.sheet_id, l.region)"""
 
 
 @query("diff_regions", f"WITH {OUT}, dense AS (SELECT DISTINCT sheet_id, x // 3 AS x, y // 3 AS y FROM dif), {grow_sql('dense')} SELECT sheet_id, x0, y0, x1, y1, area FROM reg", ("pixels",), recursive=True)
@@ -94,13 +94,16 @@ def _regions4(t):
     return P.diff_regions(px, diagonal=False).drop("region")
 
 
-@query("long_runs", """WITH p AS (SELECT DISTINCT sheet_id % 10 AS sheet_id, y, x FROM pixels WHERE luma < 200),
+@query("long_runs", """WITH p AS (SELECT DISTINCT sheet_id, CAST(y0 AS INT) AS y, CAST(UNNEST(RANGE(CAST(x0 AS BIGINT), CAST(x1 AS BIGINT))) AS INT) AS x FROM detections UNION
+  SELECT sheet_id, CAST(UNNEST(RANGE(CAST(y0 AS BIGINT), CAST(y1 AS BIGINT) + 12)) AS INT), CAST(x0 AS INT) FROM detections),
 h AS (SELECT *, x - ROW_NUMBER() OVER (PARTITION BY sheet_id, y ORDER BY x) AS g FROM p), v AS (SELECT *, y - ROW_NUMBER() OVER (PARTITION BY sheet_id, x ORDER BY y) AS g FROM p),
 hh AS (SELECT sheet_id, y, x, COUNT(*) OVER (PARTITION BY sheet_id, y, g) AS n FROM h), vv AS (SELECT sheet_id, y, x, COUNT(*) OVER (PARTITION BY sheet_id, x, g) AS n FROM v)
-SELECT sheet_id, y, x FROM hh WHERE n >= 12 UNION SELECT sheet_id, y, x FROM vv WHERE n >= 12""", ("pixels",))
+SELECT sheet_id, y, x FROM hh WHERE n >= 40 UNION SELECT sheet_id, y, x FROM vv WHERE n >= 40""", ("detections",))
 def _long(t):
-    px = t.pixels.where(F.col("luma") < 200).select((F.col("sheet_id") % 10).alias("sheet_id"), "y", "x").distinct()
-    return P.long_runs(px, 12)
+    x0, y0, x1, y1 = (F.col(c).cast("int") for c in G.BOX)
+    across = t.detections.select("sheet_id", y0.alias("y"), F.explode(F.sequence(x0, x1 - 1)).alias("x"))
+    down = t.detections.select("sheet_id", F.explode(F.sequence(y0, y1 + 11)).alias("y"), x0.alias("x"))
+    return P.long_runs(across.unionByName(down).distinct())
 
 
 HIST = """hist AS (SELECT sheet_id, luma, SUM(n)::BIGINT AS n FROM (SELECT sheet_id, luma, COUNT(*) AS n FROM pixels GROUP BY sheet_id, luma UNION ALL
