@@ -135,17 +135,12 @@ def cardinal_deviation(angle: Column) -> Column:
     The starting answer is cardinal 0 with the unwrapped angle; a cardinal
     wins only when strictly closer, earlier ones first.
     """
-    def option(ord_, cardinal, dev):
-        return F.struct(F.abs(dev).alias("gap"), ord_.alias("ord"),
-                        cardinal.alias("cardinal"), dev.alias("dev"))
-
-    listed = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(c).alias("cardinal"))
-                       for i, c in enumerate(K.CARDINALS, start=1)])
-    options = F.transform(listed, lambda c: option(
-        c["ord"], c["cardinal"], wrap180(angle - c["cardinal"])))
-    start = F.array(option(F.lit(0), F.lit(0.0), angle))
-    return F.transform(F.array(F.array_min(F.concat(start, options))), lambda b: F.struct(
-        b["cardinal"].alias("cardinal"), b["dev"].alias("dev")))[0]
+    cardinals = F.array(*[F.lit(c) for c in (0.0, *K.CARDINALS)])
+    devs = F.array(angle, *[wrap180(angle - c) for c in K.CARDINALS])
+    gaps = F.array(F.abs(angle), *[F.abs(wrap180(angle - c)) for c in K.CARDINALS])
+    first = F.array_position(gaps, F.array_min(gaps)).cast("int")
+    return F.struct(F.element_at(cardinals, first).alias("cardinal"),
+                    F.element_at(devs, first).alias("dev"))
 
 
 def quad_angle(quad, fallback: Column) -> Column:

@@ -125,8 +125,10 @@ def corroborate_tilts(df: DataFrame, on=("sheet_id",), ids=("det_idx",),
         {"_card": F.col("_near.cardinal"), "_dev": F.col("_near.dev")})
     vague = (F.abs("_dev") >= K.ALWAYS_SNAP_DEG) & (F.abs("_dev") < K.UNAMBIGUOUS_TILT_DEG)
     work = work.withColumn("_bin", F.when(vague, F.floor(F.col("_dev") / K.TILT_TOLERANCE_DEG)))
-    bins = (work.where(F.col("_bin").isNotNull()).groupBy(*on, "_card", "_bin")
-            .agg(F.count("*").alias("n"), F.min("_dev").alias("lo"), F.max("_dev").alias("hi")))
+    # counting the bins (not filtering rows first) evaluates the deviation once
+    bins = (work.groupBy(*on, "_card", "_bin")
+            .agg(F.count("_bin").alias("n"), F.min("_dev").alias("lo"), F.max("_dev").alias("hi"))
+            .where(F.col("n") > 0))
     # each bin offers itself to its own and both neighbouring bins
     offers = bins.select(*on, "_card", "n", "lo", "hi", F.col("_bin").alias("_from"),
                          F.explode(F.array(F.col("_bin") - 1, F.col("_bin"), F.col("_bin") + 1))

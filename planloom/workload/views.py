@@ -260,10 +260,11 @@ def cte(*names: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base table. A table of fewer files than cores (the test data: one row
-    group each) is spread first; a table of many files is read as it lies."""
+    group each) is spread by its key first, which later groupings by that key
+    reuse; a table of many files is read as it lies."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores, df.columns[0]) if len(df.inputFiles()) < cores else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
