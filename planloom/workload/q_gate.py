@@ -20,7 +20,7 @@ def _target(t):
     return t.runs.select(*ID, along.alias("along"), across.alias("across"))
 
 
-WIDTHS = """nat AS (SELECT r.sheet_id, r.run_id, SUM(COALESCE(g.em, 0)) * ANY_VALUE(r.{px}) AS nw
+WIDTHS = """nat AS (SELECT r.sheet_id, r.run_id, SUM(COALESCE(g.em, 0)) * ANY_VALUE(r.{px}) AS nw, SUM(COALESCE(g.em, 0)) AS ems
   FROM (SELECT *, UNNEST(STRING_SPLIT(text, '')) AS ch FROM styled) AS r LEFT JOIN glyphs AS g
   ON g.font = {font} AND g.cp = ASCII(r.ch) GROUP BY r.sheet_id, r.run_id)"""
 
@@ -78,11 +78,11 @@ NTR, NTRACKED, NSCALE, _ = fit_sql("nm", "LENGTH(text)", "median", "ink_along")
 
 
 @query("snap_sizes", f"""WITH {CLUSTERS}, {WIDTHS.format(px='px_size', font='r.font')},
-j AS (SELECT s.*, med.median, n.nw / s.px_size * med.median AS nm FROM styled AS s
+j AS (SELECT s.*, med.median, n.ems * med.median AS nm FROM styled AS s
   LEFT JOIN cl ON cl.sheet_id = s.sheet_id AND cl.run_id = s.run_id
   LEFT JOIN med ON med.sheet_id = cl.sheet_id AND med.kind = cl.kind AND med.c = cl.c
   JOIN nat AS n ON n.sheet_id = s.sheet_id AND n.run_id = s.run_id),
-k AS (SELECT *, COALESCE(median <> px_size AND ROUND({NTRACKED} * {NSCALE} - ink_along * 1.2::DOUBLE, 9) <= 0, FALSE) AS ch, {NTR} AS ntr, {NSCALE} AS nsc FROM j)
+k AS (SELECT *, COALESCE(median <> px_size AND {NTRACKED} * {NSCALE} <= ink_along * 1.2::DOUBLE, FALSE) AS ch, {NTR} AS ntr, {NSCALE} AS nsc FROM j)
 SELECT sheet_id, run_id, ch AS size_changed, CASE WHEN ch THEN median ELSE px_size END AS px_size,
   ROUND(CASE WHEN ch THEN ntr ELSE 0 END, 6) + 0.0::DOUBLE AS tracking, ROUND(CASE WHEN ch THEN nsc ELSE 1 END, 6) AS width_scale FROM k""",
        ("styled", "glyphs"))

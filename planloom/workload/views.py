@@ -130,7 +130,7 @@ SELECT sheet_id, run_id, 'geometry-lost', CONCAT('lost near ', text), 'error' FR
 """
 
 VIEWS["glyphs"] = """
-SELECT f.font, c.cp, CAST(40 + (c.cp * f.k) % 37 AS DOUBLE) / CAST(100 AS DOUBLE) AS em
+SELECT f.font, c.cp, CAST(26 + (c.cp * f.k) % 24 AS DOUBLE) / CAST(64 AS DOUBLE) AS em
 FROM (SELECT DISTINCT CAST(32 + p_partkey % 95 AS INT) AS cp FROM {part}) AS c
 CROSS JOIN (VALUES ('Alpha', 3), ('Beta', 5), ('Gamma', 7), ('Narrow', 2)) AS f(font, k)
 WHERE NOT (f.font = 'Alpha' AND c.cp = 55) AND NOT (f.font = 'Beta' AND c.cp IN (49, 57)) AND NOT (f.font <> 'Narrow' AND c.cp = 51 )
