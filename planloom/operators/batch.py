@@ -142,13 +142,18 @@ def build_manifest(listing: DataFrame, suffixes=K.VECTOR_SUFFIXES) -> DataFrame:
 def manifest_counts(listing: DataFrame, manifest: DataFrame, problems: DataFrame | None = None) -> DataFrame:
     """One row: added, rejected, naming warnings and (if given) problems."""
     ok = F.col("exists") & F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*K.VECTOR_SUFFIXES)
-    rejected = listing.agg(F.count_if(~ok).alias("rejected"))
-    added = manifest.agg(F.count("*").alias("added"), F.count_if("naming_warning").alias("naming_warnings"))
-    out = added.join(rejected)          # one row each
+    parts = [listing.select(F.when(~ok, "rejected").alias("what")),
+             manifest.select(F.lit("added").alias("what")),
+             manifest.where("naming_warning").select(F.lit("naming_warnings").alias("what"))]
+    names = ["added", "rejected", "naming_warnings"]
     if problems is not None:
-        found = manifest.join(problems.where(F.col("kind").isNotNull()).select("path"), "path", "left_semi")
-        out = out.join(found.agg(F.count("*").alias("problems")))
-    return out
+        names.append("problems")
+        parts.append(manifest.join(problems.where(F.col("kind").isNotNull()).select("path"), "path", "left_semi")
+                     .select(F.lit("problems").alias("what")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.agg(*[F.count_if(F.col("what") == n).alias(n) for n in names])
 
 
 def blocking_problem(problem: Column, picture_labels: Column) -> Column:

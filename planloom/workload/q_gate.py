@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from planloom.functions import flags as FL, geometry as G
 from planloom.operators import gate, sizes
+from planloom.session import join_small
 from planloom.workload import sqltext as S
 from planloom.workload.registry import query
 
@@ -36,13 +37,13 @@ TR, TRACKED, SCALE, OVER = fit_sql("nw", "LENGTH(text)", "px_size", "ink_along")
 
 
 @query("text_width", f"""WITH {WIDTHS.format(px='px_size', font='r.font')}
-SELECT s.sheet_id, s.run_id, ROUND(n.nw, 6) AS natural, ROUND(n.nw + 1.5::DOUBLE * (LENGTH(s.text) - 1), 6) AS width
+SELECT s.sheet_id, s.run_id, n.nw AS natural, n.nw + 1.5::DOUBLE * (LENGTH(s.text) - 1) AS width
 FROM styled AS s JOIN nat AS n ON n.sheet_id = s.sheet_id AND n.run_id = s.run_id""", ("styled", "glyphs"))
 def _width(t):
-    df = t.styled.join(F.broadcast(sizes.font_tables(t.glyphs)), "font", "left")
+    df = join_small(t.styled, sizes.font_tables(t.glyphs), "font", "left")
     px, adv, text = F.col("px_size"), F.col("advances"), F.col("text")
-    return df.select(*ID, F.round(sizes.natural_width(text, adv, px), 6).alias("natural"),
-                     F.round(sizes.text_width(text, adv, px, F.lit(1.5)), 6).alias("width"))
+    return df.select(*ID, sizes.natural_width(text, adv, px).alias("natural"),
+                     sizes.text_width(text, adv, px, F.lit(1.5)).alias("width"))
 
 
 @query("fit_dimensions", f"""WITH {WIDTHS.format(px='px_size', font='r.font')},
@@ -53,12 +54,11 @@ b AS (SELECT *, {TR} AS tr, {SCALE} AS sc, {OVER} AS ov, {fit_sql('cn', 'LENGTH(
   {fit_sql('cn', 'LENGTH(text)', 'px_size', 'ink_along')[2]} AS csc, {fit_sql('cn', 'LENGTH(text)', 'px_size', 'ink_along')[3]} AS cov FROM a),
 c AS (SELECT *, ov > 1.04::DOUBLE AND (allow_condensed OR NOT REGEXP_FULL_MATCH(text, '[0-9][0-9 .,:/\\\\\\-]*')) AND cov < ov AS take FROM b)
 SELECT sheet_id, run_id, take AS condensed, CASE WHEN take THEN 'Narrow' ELSE font END AS font,
-  ROUND(CASE WHEN take THEN ctr ELSE tr END, 6) + 0.0::DOUBLE AS tracking, ROUND(CASE WHEN take THEN csc ELSE sc END, 6) AS width_scale,
-  ROUND(CASE WHEN take THEN cov ELSE ov END, 6) AS overflow FROM c""", ("styled", "glyphs"))
+  CASE WHEN take THEN ctr ELSE tr END + 0.0::DOUBLE AS tracking, CASE WHEN take THEN csc ELSE sc END AS width_scale,
+  CASE WHEN take THEN cov ELSE ov END AS overflow FROM c""", ("styled", "glyphs"))
 def _fit(t):
     out = sizes.fit_dimensions(t.styled, sizes.font_tables(t.glyphs), "Narrow")
-    return out.select(*ID, "condensed", "font", (F.round("tracking", 6) + 0.0).alias("tracking"),
-                      F.round("width_scale", 6).alias("width_scale"), F.round("overflow", 6).alias("overflow"))
+    return out.select(*ID, "condensed", "font", (F.col("tracking") + 0.0).alias("tracking"), "width_scale", "overflow")
 
 
 CLUSTERS = """ord AS (SELECT *, CASE WHEN px_size - LAG(px_size) OVER w > 0.12::DOUBLE * LAG(px_size) OVER w THEN 1 ELSE 0 END AS fresh
@@ -84,13 +84,12 @@ j AS (SELECT s.*, med.median, n.ems * med.median AS nm FROM styled AS s
   JOIN nat AS n ON n.sheet_id = s.sheet_id AND n.run_id = s.run_id),
 k AS (SELECT *, COALESCE(median <> px_size AND {NTRACKED} * {NSCALE} <= ink_along * 1.2::DOUBLE, FALSE) AS ch, {NTR} AS ntr, {NSCALE} AS nsc FROM j)
 SELECT sheet_id, run_id, ch AS size_changed, CASE WHEN ch THEN median ELSE px_size END AS px_size,
-  ROUND(CASE WHEN ch THEN ntr ELSE 0 END, 6) + 0.0::DOUBLE AS tracking, ROUND(CASE WHEN ch THEN nsc ELSE 1 END, 6) AS width_scale FROM k""",
+  CASE WHEN ch THEN ntr ELSE 0::DOUBLE END + 0.0::DOUBLE AS tracking, CASE WHEN ch THEN nsc ELSE 1::DOUBLE END AS width_scale FROM k""",
        ("styled", "glyphs"))
 def _snap_sizes(t):
     df = t.styled.withColumns({"tracking": F.lit(0.0), "width_scale": F.lit(1.0)})
     out = sizes.snap_sizes(df, sizes.font_tables(t.glyphs))
-    return out.select(*ID, "size_changed", "px_size", (F.round("tracking", 6) + 0.0).alias("tracking"),
-                      F.round("width_scale", 6).alias("width_scale"))
+    return out.select(*ID, "size_changed", "px_size", (F.col("tracking") + 0.0).alias("tracking"), "width_scale")
 
 
 @query("refine_angle", """WITH o AS (SELECT * FROM trials WHERE delta = 0),
@@ -167,7 +166,7 @@ MISSING = """bare AS (SELECT s.sheet_id, s.run_id, STRING_AGG(DISTINCT ch, '' OR
 
 @query("missing_glyphs", f"WITH {MISSING} SELECT * FROM bare", ("styled", "glyphs"))
 def _missing(t):
-    df = t.styled.join(F.broadcast(sizes.font_tables(t.glyphs)), "font", "left")
+    df = join_small(t.styled, sizes.font_tables(t.glyphs), "font", "left")
     return (df.withColumn("missing", gate.missing_glyphs(F.col("text"), F.col("advances")))
             .where(F.col("missing") != "").select(*ID, "missing"))
 
