@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planloom.llm import quality
+from planloom.llm import licenses, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +61,51 @@ def op4_quality_rules(spark, sf_dir):
     return measured.select(
         "doc_id", count("n_words"), count("word_chars"), count("n_symbols"), count("n_dup_lines"),
         count("n_repeat_words"), base.alias("base_failed"), F.col("_q_rejected_by").isNull().alias("kept"))
+
+
+def _license_sql() -> str:
+    rows = ", ".join(f"({t}, '{x.label}', {x.phrase}, {len(x.words) - licenses.K + 1}, {x.words!r})"
+                     for t, x in enumerate(licenses.TEMPLATES))
+    return rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(
+                     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT * FROM (VALUES {rows}) v(template, label, phrase, windows, words)),
+g AS (SELECT doc_id, p, w[p + 1] AS a, w[p + 2] AS b, w[p + 3] AS c
+      FROM (SELECT doc_id, w, unnest(range(0, len(w) - 2)) AS p FROM w)),
+tg AS (SELECT template, q, words[q + 1] AS a, words[q + 2] AS b, words[q + 3] AS c
+       FROM (SELECT template, words, unnest(range(0, windows)) AS q FROM t)),
+hits AS (SELECT doc_id, template, p - q AS diagonal, q FROM g JOIN tg USING (a, b, c)),
+places AS (SELECT doc_id, label, diagonal FROM hits JOIN t USING (template) WHERE phrase
+           GROUP BY doc_id, template, label, windows, diagonal HAVING count(DISTINCT q) = windows),
+base AS (SELECT doc_id, count(*) AS n, min(diagonal) AS a, max(diagonal) AS b, list(DISTINCT label) AS labels
+         FROM places GROUP BY doc_id),
+marked AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER o > {licenses.GAP}, true)::INT AS fresh
+           FROM hits JOIN t USING (template) WHERE NOT phrase
+           WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal, q)),
+grouped AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal, q
+                                       ROWS UNBOUNDED PRECEDING) AS run FROM marked),
+shares AS (SELECT doc_id, label, count(DISTINCT q) / windows::DOUBLE AS share
+           FROM grouped GROUP BY doc_id, template, label, windows, run),
+notices AS (SELECT doc_id, max(share) AS share, list(DISTINCT label) FILTER (share >= {licenses.MIN_SHARE}) AS labels
+            FROM shares GROUP BY doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a::BIGINT AS first_word,
+       b::BIGINT AS last_word, array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(notices.labels, [])))),
+                       ',') AS labels,
+       CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0)::DOUBLE END AS score
+FROM w LEFT JOIN base ON base.doc_id = w.doc_id LEFT JOIN notices ON notices.doc_id = w.doc_id
+"""
+
+
+@query(_license_sql())
+def op3_license_scan(spark, sf_dir):
+    found = licenses.find(table(spark, sf_dir, "documents"))
+    starts = F.transform("places", lambda x: x["word"])
+    base = F.array_distinct(F.transform("places", lambda x: x["label"]))
+    more = F.transform(F.filter("shares", lambda x: x["share"] >= licenses.MIN_SHARE), lambda x: x["label"])
+    joined = lambda labels: F.array_join(F.sort_array(labels), ",")
+    return found.select(
+        "doc_id", F.col("n_words").cast("long").alias("n_words"), F.size("places").cast("long").alias("n_base"),
+        F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"),
+        joined(base).alias("base_labels"), joined(F.array_union(base, more)).alias("labels"), "score")
