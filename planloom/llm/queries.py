@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planloom.llm import licenses, quality, simhash
+from planloom.llm import licenses, packing, quality, simhash, token_files
+
+#: Tokenizer files; where they lie is the environment's choice.
+WORD_BPE, WORD_BPE_END = "word_bpe_49k.json", 1
+BYTE_BPE, BYTE_BPE_END = "byte_bpe_50k.json", 2
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +26,12 @@ def query(sql: str | None = None):
     return register
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -115,3 +125,17 @@ def op3_license_scan(spark, sf_dir):
 def op1_simhash_dedup(spark, sf_dir):
     found = simhash.assign(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query()
+def op2_token_files(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    folder, files = token_files.write(docs, tokenizer_path(WORD_BPE), WORD_BPE_END)
+    found = token_files.read(spark, folder, files, token_files.crc32, "long")
+    return found.withColumnRenamed("value", "ids_crc32")
+
+
+@query()
+def op6_best_fit_packing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, tokenizer_path(BYTE_BPE), BYTE_BPE_END)
