@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planloom.llm import licenses, packing, quality, simhash, token_files
+from planloom.llm import licenses, packing, quality, simhash, token_files, warc
 
 #: Tokenizer files; where they lie is the environment's choice.
 WORD_BPE, WORD_BPE_END = "word_bpe_49k.json", 1
@@ -139,3 +139,20 @@ def op2_token_files(spark, sf_dir):
 def op6_best_fit_packing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return packing.pack_documents(docs, tokenizer_path(BYTE_BPE), BYTE_BPE_END)
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to
+FROM f
+"""
+
+
+@query(WARC_SQL)
+def op10_warc_segments(spark, sf_dir):
+    folder, _ = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(spark, folder, with_payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
