@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planloom.llm import licenses, packing, quality, simhash, token_files, warc
+from planloom.llm import licenses, line_dedup, packing, quality, simhash, token_files, warc
 
 #: Tokenizer files; where they lie is the environment's choice.
 WORD_BPE, WORD_BPE_END = "word_bpe_49k.json", 1
@@ -156,3 +156,13 @@ def op10_warc_segments(spark, sf_dir):
     folder, _ = warc.write(table(spark, sf_dir, "pages"))
     return warc.read(spark, folder, with_payload=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op8_line_dedup(spark, sf_dir):
+    found = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    n_removed = F.coalesce(F.size("_deleted"), F.lit(0))
+    return found.select(
+        "doc_id", n_removed.cast("long").alias("n_removed_lines"), F.coalesce("_n_partners", F.lit(0)).alias("n_partners"),
+        F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
