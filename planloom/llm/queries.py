@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planloom.llm import licenses, line_dedup, packing, quality, simhash, token_files, warc
+from planloom.llm import decontaminate, licenses, line_dedup, packing, quality, simhash, token_files, warc
 
 #: Tokenizer files; where they lie is the environment's choice.
 WORD_BPE, WORD_BPE_END = "word_bpe_49k.json", 1
@@ -166,3 +166,10 @@ def op8_line_dedup(spark, sf_dir):
     return found.select(
         "doc_id", n_removed.cast("long").alias("n_removed_lines"), F.coalesce("_n_partners", F.lit(0)).alias("n_partners"),
         F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
+
+
+@query()
+def op9_decontamination(spark, sf_dir):
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_words", "n_covered", "n_tiles",
+                        (F.col("n_covered") / F.col("n_words")).alias("coverage"))
