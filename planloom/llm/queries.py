@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planloom.llm import decontaminate, licenses, line_dedup, packing, quality, simhash, token_files, warc
+from planloom.llm import chat, decontaminate, licenses, line_dedup, packing, quality, simhash, token_files, warc
 
 #: Tokenizer files; where they lie is the environment's choice.
 WORD_BPE, WORD_BPE_END = "word_bpe_49k.json", 1
@@ -173,3 +173,31 @@ def op9_decontamination(spark, sf_dir):
     found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_words", "n_covered", "n_tiles",
                         (F.col("n_covered") / F.col("n_words")).alias("coverage"))
+
+
+CHAT_SQL = r"""
+WITH m AS (SELECT conv_id, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS said,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown')) - 1 AS n
+           FROM conversations),
+p AS (SELECT *, n // 64 AS part FROM m),
+w AS (SELECT DISTINCT conv_id, part, speaker AS assistant FROM p WHERE speaker <> 'system'),
+t AS (SELECT w.conv_id, w.part, w.assistant, n, speaker = assistant AS own,
+             '<|' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = assistant THEN 'assistant'
+                          ELSE 'user:' || replace(speaker, '<|', '<\|') END || '|>' AS head,
+             replace(said, '<|', '<\|') || '<|end|>' AS body
+      FROM w JOIN p ON p.conv_id = w.conv_id AND p.part = w.part),
+s AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (
+                    PARTITION BY conv_id, part, assistant ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                + length(head) AS start FROM t)
+SELECT conv_id, part::BIGINT AS part, assistant, string_agg(head || body || chr(10), '' ORDER BY n) AS text,
+       sum(length(head) + length(body) + 1)::INT AS n_chars, count(*)::INT AS n_turns,
+       string_agg(start::BIGINT || '-' || (start + length(body))::BIGINT, ',' ORDER BY n) FILTER (own) AS mask
+FROM s GROUP BY conv_id, part, assistant
+"""
+
+
+@query(CHAT_SQL)
+def op5_chat_perspectives(spark, sf_dir):
+    found = chat.perspectives(table(spark, sf_dir, "conversations"))
+    spans = F.transform("mask", lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string")))
+    return found.withColumn("mask", F.array_join(spans, ","))
