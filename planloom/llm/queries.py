@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planloom.llm import chat, decontaminate, licenses, line_dedup, packing, quality, simhash, token_files, warc
+from planloom.llm import chat, decontaminate, licenses, line_dedup, packing, quality, simhash, suffix_dedup, token_files, warc
 
 #: Tokenizer files; where they lie is the environment's choice.
 WORD_BPE, WORD_BPE_END = "word_bpe_49k.json", 1
@@ -201,3 +201,12 @@ def op5_chat_perspectives(spark, sf_dir):
     found = chat.perspectives(table(spark, sf_dir, "conversations"))
     spans = F.transform("mask", lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string")))
     return found.withColumn("mask", F.array_join(spans, ","))
+
+
+@query()
+def op7_suffix_dedup(spark, sf_dir):
+    found = suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    return found.select(
+        "doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length("_kept")).alias("n_removed"),
+        F.coalesce(F.size("_spans"), F.lit(0)).cast("long").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))

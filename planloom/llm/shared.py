@@ -6,7 +6,7 @@ import re
 import uuid
 
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from planloom.session import checkpoint_dir
 
@@ -40,3 +40,11 @@ def write_file(folder: str, name: str, parts) -> None:
         for part in parts:
             out.write(part)
     store.move(hidden, f"{path}/{name}")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: columnar, and without its lineage."""
+    spark = df.sparkSession
+    folder = new_folder(spark, name)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
