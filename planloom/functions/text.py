@@ -16,10 +16,11 @@ LETTER_PAIRS = (("ø", "o"), ("æ", "ae"), ("å", "aa"), ("ö", "o"), ("ä", "ae
 # fixed values: white space and dash characters stripped from both ends, and patterns
 WHITE_SPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 DASHES = "-\u2010\u2011\u2012\u2013\u2014\u2015"
-DIMENSION_PATTERN = r"^\d{2,5}$"
-AREA_PATTERN = r"^\d{1,3}(?:[,.]\d{1,2})?\s*m[²2]?$"
+DIMENSION_PATTERN = r"(?U)^\d{2,5}$"
+# (?U): white space and digits of all scripts, a no-break space among them
+AREA_PATTERN = r"(?U)^\d{1,3}(?:[,.]\d{1,2})?\s*m[²2]?$"
 NUMERIC_RUN_PATTERN = r"^[0-9][0-9 .,:/\\-]*$"
-NUMBER_TAIL_PATTERN = r"[\s\-‐-―]*(\d+)$"
+NUMBER_TAIL_PATTERN = r"(?U)[\s\-‐-―]*(\d+)$"
 
 #: Blocks whose compatibility forms are folded: Latin, super/subscripts,
 #: letter-like signs, ligatures and full-width forms.

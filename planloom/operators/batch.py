@@ -44,11 +44,28 @@ def counterpart_name(name: Column) -> Column:
 
 
 def clean_path(path: Column) -> Column:
-    """Collapse //, /./ and folder/../ steps."""
-    out = F.regexp_replace(path, r"/(?:\./|/)+", "/")
-    for _ in range(4):
-        out = F.regexp_replace(out, r"/(?!\.\./)[^/]+/\.\./", "/")
-    return out
+    """Collapse //, /./ and folder/../ steps, however many there are.
+
+    A step up beyond the root stays at the root; one beyond the start of a
+    relative path is kept.
+    """
+    parts = F.split(path, "/")
+    rooted = F.startswith(path, F.lit("/"))
+    top = F.try_element_at
+    start = F.array().cast("array<string>")
+
+    def step(kept, part):
+        last = top(kept, F.lit(-1))
+        up = part == ".."
+        poppable = last.isNotNull() & (last != "..")
+        return (F.when((part == "") | (part == "."), kept)
+                .when(up & poppable, F.slice(kept, 1, F.size(kept) - 1))
+                .when(up & rooted, kept)
+                .otherwise(F.concat(kept, F.array(part))))
+
+    joined = F.array_join(F.aggregate(parts, start, step), "/")
+    folder = F.when(F.endswith(path, F.lit("/")) & (joined != ""), F.lit("/")).otherwise(F.lit(""))
+    return F.concat(F.when(rooted, F.lit("/")).otherwise(F.lit("")), joined, folder)
 
 
 def export_names(exports: DataFrame, existing: DataFrame, order: list[str], suffix: str = ".jpg") -> DataFrame:

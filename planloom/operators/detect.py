@@ -23,6 +23,8 @@ def with_center(df: DataFrame) -> DataFrame:
 
 def union_passes(*passes: DataFrame) -> DataFrame:
     """Stack the reading passes; the pass number is the tie-break of the merge."""
+    if len(passes) > len(K.PASS_ANGLES):
+        raise ValueError(f"{len(passes)} passes given; angles are known for {len(K.PASS_ANGLES)}")
     out = None
     for (number, angle), df in zip(K.PASS_ANGLES, passes):
         df = df.withColumns({"pass_id": F.lit(number), "angle_deg": F.lit(angle)})

@@ -25,19 +25,26 @@ class Reading:
     dropped: DataFrame      # rejected or merged-away candidates
     decisions: DataFrame    # per sheet: keep, upscale or refuse
     missed: DataFrame       # dropped reads nothing covers, with a flag
+    errors: DataFrame       # reads that cannot be placed, with an ``error``
 
 
 def place_candidates(passes: DataFrame, sheets: DataFrame) -> DataFrame:
-    """Candidates in upright coordinates with box, pass angle, ``plausible``
-    and final angle. ``passes`` has pass_id and quads in frame coordinates."""
-    sized = join_small(passes, sheets.select("sheet_id", "width", "height"), "sheet_id")
-    claimed = F.element_at(F.create_map(*[F.lit(v) for p in K.PASS_ANGLES for v in p]), F.col("pass_id"))
+    """Candidates in upright coordinates with box, pass angle, ``plausible``,
+    final angle and ``error``. ``passes`` has pass_id and quads in frame coordinates.
+
+    No read is left out: one of a sheet without a size, of a pass without an
+    angle or without an area has an ``error`` instead of a place.
+    """
+    sized = join_small(passes, sheets.select("sheet_id", "width", "height"), "sheet_id", "left")
+    claimed = F.try_element_at(F.create_map(*[F.lit(v) for p in K.PASS_ANGLES for v in p]), F.col("pass_id"))
     work = detect.with_bbox(detect.unrotate_quads(sized.withColumn("pass_angle", claimed)))
-    work = detect.drop_degenerate(work)
+    error = (F.when(F.col("width").isNull() | F.col("height").isNull(), "sheet without a size")
+             .when(F.col("pass_angle").isNull(), "pass without an angle")
+             .when(~F.coalesce(G.area(G.box_of()) > 0, F.lit(False)), "box without an area"))
     # plausibility looks at the angle of the pass, before the quad refines it
     return work.withColumns({
         "plausible": detect.orientation_plausible(F.col("text"), F.col("pass_angle")),
-        "angle_deg": G.quad_angle("quad", F.col("pass_angle"))}).drop("width", "height")
+        "angle_deg": G.quad_angle("quad", F.col("pass_angle")), "error": error}).drop("width", "height")
 
 
 def read_runs(passes: DataFrame, sheets: DataFrame, protected: DataFrame | None = None,
@@ -45,7 +52,9 @@ def read_runs(passes: DataFrame, sheets: DataFrame, protected: DataFrame | None
               vocab: Vocabulary = Vocabulary(), scorer=T.similarity) -> Reading:
     if rereads is not None:
         passes = detect.merge_rereads(passes, rereads)
-    placed = place_candidates(passes, sheets)
+    judged = place_candidates(passes, sheets)
+    errors = judged.where(F.col("error").isNotNull())
+    placed = judged.where(F.col("error").isNull()).drop("error")
     merged = cut_lineage(merge.merge_detections(placed.where("plausible")))
     kept = merged.where("kept").withColumn("angle_deg", detect.canonical_vertical(F.col("angle_deg")))
     lines = None if segments is None else detect.line_corroboration(kept, segments)
@@ -57,7 +66,7 @@ def read_runs(passes: DataFrame, sheets: DataFrame, protected: DataFrame | None
                                           scorer=scorer))
     dropped = cut_lineage(dropped.drop("kept"))
     return Reading(runs, dropped, cut_lineage(detect.upscale_decision(kept, sheets)),
-                   cut_lineage(match.missed_text(dropped, kept)))
+                   cut_lineage(match.missed_text(dropped, kept)), errors)
 
 
 def mirror_runs(reading: Reading, sheets: DataFrame, axis, fonts: DataFrame | None = None) -> DataFrame:

@@ -9,21 +9,24 @@ from planloom.operators.batch import counterpart_name
 from planloom.sources.files import BINARY_SCHEMA, route_by_content, route_by_suffix
 
 
-def stream_intake(spark: SparkSession, folder: str, max_files: int = 1000, delay: str = "7 days") -> DataFrame:
-    """New files of a folder, each routed and named once.
+#: Longer than any file has existed: the file source must not leave files out for their age.
+ANY_AGE = "1000000d"
 
-    The file source remembers what it has read; paths that turn up again (a
-    file rewritten within ``delay``) are dropped by state that the watermark
-    on the modification time bounds.
+
+def stream_intake(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
+    """New files of a folder, each routed and named once, however old they are.
+
+    The file source keeps the paths it has read in its checkpoint, so a path
+    comes once; nothing is decided by modification times, which copied archives
+    keep from before.
     """
     files = (spark.readStream.format("binaryFile").schema(BINARY_SCHEMA)
-             .option("maxFilesPerTrigger", max_files).load(folder))
+             .option("maxFilesPerTrigger", max_files).option("maxFileAge", ANY_AGE).load(folder))
     twin = counterpart_name(F.regexp_extract("path", r"([^/]+)$", 1))
     route = F.coalesce(route_by_suffix(F.col("path")), route_by_content(F.col("content")))
     return (files.select("path", "modificationTime", route.alias("route"), twin["name"].alias("mirrored_name"),
                          twin["naming_warning"].alias("naming_warning"))
-            .withColumn("problem", F.when(F.col("route").isNull(), "unrecognised format"))
-            .withWatermark("modificationTime", delay).dropDuplicatesWithinWatermark(["path"]))
+            .withColumn("problem", F.when(F.col("route").isNull(), "unrecognised format")))
 
 
 def status_counts(events: DataFrame, delay: str = "1 hour", window: str = "1 hour") -> DataFrame:

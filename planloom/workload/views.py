@@ -259,12 +259,12 @@ def cte(*names: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base table. A table of fewer files than cores (the test data: one row
-    group each) is spread by its key first, which later groupings by that key
-    reuse; a table of many files is read as it lies."""
+    """A base table, read as it lies. Where the session sets ``spark.planloom.spread``
+    (the bench and the tests do, as each of their tables is one row group), it is
+    spread by its key over so many partitions first."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, df.columns[0]) if len(df.inputFiles()) < cores else df
+    spread = spark.conf.get("spark.planloom.spread", None)
+    return df.repartition(int(spread), df.columns[0]) if spread else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

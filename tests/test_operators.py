@@ -1,15 +1,20 @@
 """Small cases: sources, sizes, gate moves, records, regions, streams, hooks."""
 
 import json
+import os
 import random
 import struct
+import time
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
-from planloom.functions import geometry as G
-from planloom.operators import batch, gate, hooks, pixels, sizes
+from planloom import constants as K
+from planloom.functions import geometry as G, text as T
+from planloom.operators import batch, detect, gate, hooks, pixels, sizes
 from planloom.operators.detect import corroborate_tilts
+from planloom.plans import reading
 from planloom.sources import files, truth
 from planloom.streaming import intake
 
@@ -203,3 +208,54 @@ def test_recogniser_errors_are_rows(spark):
     found, errors = hooks.recognise(df, reader)
     assert [(r.sheet_id, r.text, len(r.quad)) for r in found.collect()] == [(1, "a", 4)]
     assert [(r.sheet_id, r.error) for r in errors.collect()] == [(2, "OSError: no picture")]
+
+
+def test_clean_path_at_any_depth(spark):
+    cases = {"/a/b/c/d/e/f/../../../../../x.pdf": "/a/x.pdf", "/a/../../x.pdf": "/x.pdf", "a//b/./c/../x": "a/b/x",
+             "../x": "../x", "a/../../x": "../x", "/": "/", "x": "x", "/a/b/": "/a/b/"}
+    df = spark.createDataFrame([(k,) for k in cases], "path string")
+    got = {r.path: r.clean for r in df.select("path", batch.clean_path(F.col("path")).alias("clean")).collect()}
+    assert got == cases
+
+
+def test_passes_beyond_the_known_angles_are_refused(spark):
+    frame = spark.createDataFrame([(1,)], "sheet_id int")
+    with pytest.raises(ValueError):
+        detect.union_passes(*[frame] * (len(K.PASS_ANGLES) + 1))
+
+
+def test_reads_in_are_reads_out(spark):
+    quad = [(10.0, 10.0), (60.0, 10.0), (60.0, 20.0), (10.0, 20.0)]
+    flat = [(5.0, 5.0)] * 4
+    passes = spark.createDataFrame(
+        [(1, 0, 0, quad, "2105", 0.9), (1, 1, 9, quad, "x", 0.9), (2, 2, 0, quad, "2105", 0.9), (1, 3, 0, flat, "y", 0.9)],
+        "sheet_id int, det_idx int, pass_id int, quad array<struct<x:double,y:double>>, text string, conf double")
+    sheets = spark.createDataFrame([(1, 800.0, 600.0)], "sheet_id int, width double, height double")
+    placed = reading.place_candidates(passes, sheets)
+    assert {r.det_idx: r.error for r in placed.collect()} == {
+        0: None, 1: "pass without an angle", 2: "sheet without a size", 3: "box without an area"}
+    out = reading.read_runs(passes, sheets)
+    assert out.runs.count() + out.dropped.count() + out.errors.count() == 4
+
+
+def test_no_break_space_in_numbers(spark):
+    df = spark.createDataFrame([("12,4 m²",), ("Room 1",)], "s string")
+    rows = df.select(T.is_area(F.col("s")).alias("area"), F.regexp_extract("s", T.NUMBER_TAIL_PATTERN, 1).alias("n")).collect()
+    assert rows[0].area is True and rows[1].n == "1"
+
+
+def test_intake_takes_old_files(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "new.pdf").write_bytes(b"%PDF-1.4")
+    run = lambda: intake.run_available(
+        intake.stream_intake(spark, str(folder)), str(tmp_path / "out"), str(tmp_path / "state"))
+    run()
+    old = time.time() - 30 * 86400
+    for name in ("old.pdf", "old2.pdf"):
+        (folder / name).write_bytes(b"%PDF-1.4")
+        os.utime(folder / name, (old, old))
+    run()
+    run()
+    paths = sorted(r.path.rsplit("/", 1)[1] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert paths == ["new.pdf", "old.pdf", "old2.pdf"]
