@@ -304,9 +304,11 @@ def _snap_weighted(t):
 TRIAGE = f"""WITH labelled AS (SELECT d.sheet_id, d.det_idx, d.x0, d.y0, d.x1, d.y1, d.conf, l.raw AS label FROM detections AS d
   JOIN raw_labels AS l ON l.sheet_id = d.sheet_id AND l.det_idx = d.det_idx),
 {S.snap_steps('labelled', 'label').strip()},
-tri AS (SELECT *, CASE WHEN EXISTS (SELECT 1 FROM regions AS r WHERE r.sheet_id = snapped.sheet_id AND (snapped.x0+snapped.x1)/2 BETWEEN r.x0 AND r.x1
-      AND (snapped.y0+snapped.y1)/2 BETWEEN r.y0 AND r.y1) THEN 'protected'
-    WHEN {S.symbol('label')} OR (kind = 'unknown' AND LENGTH(label) <= 2) THEN 'symbol' ELSE 'run' END AS disposition FROM snapped)
+covered AS (SELECT DISTINCT d.sheet_id, d.det_idx FROM detections AS d JOIN regions AS r ON r.sheet_id = d.sheet_id
+    AND (d.x0+d.x1)/2 BETWEEN r.x0 AND r.x1 AND (d.y0+d.y1)/2 BETWEEN r.y0 AND r.y1),
+tri AS (SELECT snapped.*, CASE WHEN covered.det_idx IS NOT NULL THEN 'protected'
+    WHEN {S.symbol('label')} OR (kind = 'unknown' AND LENGTH(label) <= 2) THEN 'symbol' ELSE 'run' END AS disposition
+  FROM snapped LEFT JOIN covered ON covered.sheet_id = snapped.sheet_id AND covered.det_idx = snapped.det_idx)
 SELECT sheet_id, det_idx, disposition, CASE disposition WHEN 'protected' THEN '' WHEN 'symbol' THEN 'non-text-symbol'
   ELSE CONCAT_WS(',', CASE WHEN conf < 0.85::DOUBLE THEN 'low-confidence' END, CASE WHEN changed THEN 'lexicon-snap' END,
     CASE WHEN warned AND kind = 'annotation' AND changed THEN 'annotation-confusable' WHEN warned THEN 'implausible' END) END AS codes
