@@ -98,8 +98,7 @@ def dimension_warning(s: Column) -> Column:
     """Message for a dimension outside the plausible range, else NULL."""
     value = s.try_cast("int")
     text = F.format_string(
-        f"%d mm is outside the plausible range {K.DIM_MIN_MM}-{K.DIM_MAX_MM} mm; "
-        "probably a truncated or misread run.", value)
+        f"Dimension of %d mm; expected {K.DIM_MIN_MM} to {K.DIM_MAX_MM} mm.", value)
     return F.when(is_dimension(s) & ~value.between(K.DIM_MIN_MM, K.DIM_MAX_MM), text)
 
 

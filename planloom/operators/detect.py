@@ -217,12 +217,12 @@ def triage_runs(dets: DataFrame, vocab: Vocabulary = Vocabulary(), protected: Da
     disposition = (F.when(F.col("_in"), "protected")
                    .when(symbol | short, "symbol").otherwise("run"))
     symbol_flag = FL.flag("non-text-symbol", F.format_string(
-        "'%s' (confidence %.2f) looks like a drafting symbol, not text; left as geometry.",
+        "Treated as part of the drawing: '%s', confidence %.2f.",
         text, F.col("conf")))
     confusable = (snap["kind"] == "annotation") & snap["changed"]
     run_flags = FL.flags_where(
         (F.col("conf") < K.LOW_CONFIDENCE, FL.flag("low-confidence", F.format_string(
-            "Confidence %.2f for '%s'.", F.col("conf"), text), "warn")),
+            "Read with confidence %.2f only: '%s'.", F.col("conf"), text), "warn")),
         (snap["changed"], FL.flag("lexicon-snap", F.format_string(
             "'%s' -> '%s'", snap["raw"], snap["text"]), "info")),
         (snap["warning"].isNotNull() & confusable,

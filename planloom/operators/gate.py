@@ -317,6 +317,12 @@ class GateResult:
     report: DataFrame       # one row per sheet
 
 
+def _state(runs: DataFrame) -> tuple:
+    """Count and checksum of the runs, to see whether a pass has changed any."""
+    row = F.xxhash64(*[F.col(c) for c in sorted(runs.columns)])
+    return tuple(runs.agg(F.count("*"), F.sum(row.cast("decimal(38,0)"))).first())
+
+
 def run_gate(t: GateTables, sheets: DataFrame, checks=None, corrector=correct,
              max_passes: int = K.GATE_PASSES) -> GateResult:
     """Check, correct what can be corrected, check again: at most
@@ -333,6 +339,7 @@ def run_gate(t: GateTables, sheets: DataFrame, checks=None, corrector=correct,
     for n in range(1, max_passes + 1):
         if found.where("correctable").isEmpty():
             break
+        before = _state(t.runs)
         t = corrector(t)
         t.runs = cut_lineage(t.runs)
         again = cut_lineage(run_checks(t, checks))
@@ -343,7 +350,8 @@ def run_gate(t: GateTables, sheets: DataFrame, checks=None, corrector=correct,
         fixed = cut_lineage(found.where("correctable").alias("a")
                             .join(again.alias("b"), cond, "left_anti").withColumn("pass_no", F.lit(n)))
         corrected = fixed if corrected is None else corrected.unionByName(fixed)
-        progress = not fixed.isEmpty()
+        # any change counts, also one too small to alter a message
+        progress = _state(t.runs) != before
         found = again
         if n < max_passes:
             history = history.unionByName(found.withColumn("pass_no", F.lit(n + 1)))

@@ -231,8 +231,8 @@ def missed_text(dropped: DataFrame, kept: DataFrame, on=("sheet_id",), ids=("det
                         extra=G.coverage(G.box_of(), G.box_of("k_")) > K.MISSED_TEXT_COVER)
     cx, cy = G.box_center(G.box_of())
     message = F.format_string(
-        "'%s' was read (confidence %.2f) near (%.0f, %.0f) but is not in the final result; "
-        "check that nothing was lost here.", "text", "conf", cx, cy)
+        "Dropped read without a kept run over it: '%s', confidence %.2f, centre (%.0f, %.0f).",
+        "text", "conf", cx, cy)
     return (notable.join(covered, key, "left_anti")
             .withColumn("flag", flag("possible-missed-text", message, "warn")))
 

@@ -50,9 +50,14 @@ def enlarge(pixels: DataFrame, scales: DataFrame) -> DataFrame:
 
 
 def diff_pixels(left: DataFrame, right: DataFrame, threshold: int = K.DIFF_THRESHOLD) -> DataFrame:
-    """Pixels whose luma differs by more than the threshold."""
-    a = left.select(*PIXEL, F.col("luma").alias("luma_a"))
-    b = right.select(*PIXEL, F.col("luma").alias("luma_b"))
+    """Pixels whose luma differs by more than the threshold.
+
+    A pixel that is absent counts as paper, so paper (most of a sheet) is left
+    out before the shuffle.
+    """
+    inked = F.coalesce("luma", F.lit(PAPER)) != PAPER
+    a = left.where(inked).select(*PIXEL, F.col("luma").alias("luma_a"))
+    b = right.where(inked).select(*PIXEL, F.col("luma").alias("luma_b"))
     gap = F.abs(F.coalesce("luma_a", F.lit(PAPER)) - F.coalesce("luma_b", F.lit(PAPER)))
     return a.join(b, PIXEL, "full").withColumn("gap", gap).where(F.col("gap") > threshold).select(*PIXEL, "gap")
 

@@ -55,13 +55,16 @@ def split_hot(df: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame, Da
     return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
 
 
-#: A dimension table up to this many rows may be broadcast.
+#: A dimension table up to this many rows and bytes (written as JSON) may be broadcast.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def join_small(df: DataFrame, dim: DataFrame, on, how: str = "inner",
                max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a dimension table: broadcast if a count proves it small,
-    otherwise leave the choice (and skew handling) to adaptive execution."""
-    small = dim.limit(max_rows + 1).count() <= max_rows
+    """Join with a dimension table: broadcast if its rows and their bytes prove it
+    small, otherwise leave the choice (and skew handling) to adaptive execution."""
+    width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in dim.columns])))
+    rows, size = dim.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    small = rows <= max_rows and size <= BROADCAST_BYTES
     return df.join(F.broadcast(dim) if small else dim, on, how)

@@ -40,8 +40,8 @@ def route_files(files: DataFrame) -> DataFrame:
     named = route_by_suffix(F.col("path"))
     route = F.coalesce(named, F.when(named.isNull(), route_by_content(F.col("content"))))
     return files.select("path", route.alias("route")).withColumn(
-        "problem", F.when(F.col("route").isNull(), "unrecognised format: expected a vector PDF or a PNG, "
-                          "JPEG, TIFF or BMP image"))
+        "problem", F.when(F.col("route").isNull(), "no route: neither the suffix nor the first bytes name a "
+                          "supported document or picture"))
 
 
 def read_routes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

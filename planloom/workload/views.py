@@ -196,7 +196,7 @@ FROM {lineitem}
 
 VIEWS["file_list"] = """
 SELECT o_orderkey AS seq, CONCAT('/in/', CAST(o_custkey % 50 AS STRING), '//', CASE o_orderkey % 4 WHEN 0 THEN './' ELSE '' END,
-    CASE o_orderkey % 5 WHEN 0 THEN CONCAT('634-', CAST(o_custkey % 20 AS STRING), '-A00-S-V00-R00') WHEN 1 THEN CONCAT('T04-R-V', CAST(o_custkey % 20 AS STRING))
+    CASE o_orderkey % 5 WHEN 0 THEN CONCAT('PLAN-', CAST(o_custkey % 20 AS STRING), '-A00-S-V00-R00') WHEN 1 THEN CONCAT('T04-R-V', CAST(o_custkey % 20 AS STRING))
       WHEN 2 THEN CONCAT('A-R-V1-S-V2-', CAST(o_custkey % 30 AS STRING)) ELSE CONCAT('plan ', CAST(o_custkey % 40 AS STRING)) END,
     CASE o_orderkey % 7 WHEN 0 THEN '.PDF' WHEN 1 THEN '.png' WHEN 2 THEN '' ELSE '.pdf' END) AS path,
   o_orderkey % 11 <> 0 AS exists, CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'completed' ELSE 'queued' END AS status,

@@ -30,7 +30,7 @@ def test_mirror_twice_and_vertical_text(spark):
 
 
 def test_quad_angle(spark):
-    quads = [[(784, 488), (793, 558), (760, 562), (751, 492)], [(725, 1132), (843, 1132), (843, 1177), (725, 1177)]]
+    quads = [[(100, 200), (112, 290), (70, 295), (58, 205)], [(300, 400), (420, 400), (420, 450), (300, 450)]]
     df = spark.createDataFrame([([{"x": float(x), "y": float(y)} for x, y in q],) for q in quads],
                                "quad array<struct<x:double,y:double>>")
     a, b = [r.a for r in df.select(G.quad_angle("quad", F.lit(0.0)).alias("a")).collect()]
@@ -68,8 +68,8 @@ def test_size_clusters(spark):
 
 
 def test_names(spark):
-    cases = {"634-0001-0044-4418-T04-A00-S-V00-R00.pdf": ("634-0001-0044-4418-T04-A00-R-V00-R00.pdf", False),
-             "634-T04-A00-V20-R00.pdf": ("634-T04-A00-V20-R00_mirrored.pdf", True),
+    cases = {"PLAN-77-0310-K02-S-V03-B01.pdf": ("PLAN-77-0310-K02-R-V03-B01.pdf", False),
+             "PLAN-K02-V31-R07.pdf": ("PLAN-K02-V31-R07_mirrored.pdf", True),
              "A-R-V1-S-V2.pdf": ("A-S-V1-S-V2.pdf", False)}
     df = spark.createDataFrame([(k,) for k in cases], "n string")
     got = {r.n: (r.c.name, r.c.naming_warning) for r in df.select("n", batch.counterpart_name(F.col("n")).alias("c")).collect()}
@@ -228,7 +228,7 @@ def test_reads_in_are_reads_out(spark):
     quad = [(10.0, 10.0), (60.0, 10.0), (60.0, 20.0), (10.0, 20.0)]
     flat = [(5.0, 5.0)] * 4
     passes = spark.createDataFrame(
-        [(1, 0, 0, quad, "2105", 0.9), (1, 1, 9, quad, "x", 0.9), (2, 2, 0, quad, "2105", 0.9), (1, 3, 0, flat, "y", 0.9)],
+        [(1, 0, 0, quad, "3470", 0.9), (1, 1, 9, quad, "x", 0.9), (2, 2, 0, quad, "3470", 0.9), (1, 3, 0, flat, "y", 0.9)],
         "sheet_id int, det_idx int, pass_id int, quad array<struct<x:double,y:double>>, text string, conf double")
     sheets = spark.createDataFrame([(1, 800.0, 600.0)], "sheet_id int, width double, height double")
     placed = reading.place_candidates(passes, sheets)

@@ -8,8 +8,6 @@ from check_queries import compare, duck
 
 SF = "/root/testdata/sf0.001"
 ORACLES = entry.oracle_sql()
-#: Slow plans that share their steps with faster queries; run by check_queries.py.
-SLOW = {"compare_passes", "mirror_records", "mirror_runs", "read_dropped", "gate_refusals", "gate_split"}
 
 
 def test_registry():
@@ -19,7 +17,7 @@ def test_registry():
     assert names - set(ORACLES) == {"snap_text_weighted", "place_clear"}
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, name):
     con = duck(SF)
     text, ok = compare(spark, con, name, entry.queries()[name], ORACLES[name], SF)
