@@ -20,16 +20,19 @@ class VectorResult:
 
 
 def mirror_traces(traces: DataFrame, matrices: DataFrame, pages: DataFrame, rendered: DataFrame, axis: str,
-                  flags: DataFrame | None = None) -> VectorResult:
+                  flags: DataFrame | None = None, rendered_again: DataFrame | None = None) -> VectorResult:
     """Reflect every run, calibrate on a first rendering and check it.
 
-    ``rendered`` has the measured text, ends and matrix per run. A document
-    with an error or a failed run gets no record.
+    ``rendered`` has the measured text, ends and matrix per run,
+    ``rendered_again`` the same of a rendering with the calibrated matrices,
+    which is then the one that is checked. A document with an error or a
+    failed run gets no record.
     """
     expected = cut_lineage(vector.expected_transforms(traces, matrices, pages, axis))
     good = expected.where(F.col("error").isNull())
     calibrated = vector.calibrate_translations(good, rendered, axis)
-    checks = vector.verify_transforms(good, rendered)
+    checks = (vector.verify_transforms(good, rendered) if rendered_again is None
+              else vector.verify_transforms(calibrated, rendered_again))
     bad = expected.where(F.col("error").isNotNull()).select(*vector.RUN, F.col("error").alias("failure"))
     checks = cut_lineage(checks.join(bad, vector.RUN, "left_anti").unionByName(bad))
     documents = vector.verify_documents(checks)
