@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planloom import constants as K
@@ -225,13 +225,26 @@ def _moves() -> Column:
 
 
 def hidden_share(boxes: DataFrame, occupied: DataFrame, keys: list[str], cell: float = CELL) -> DataFrame:
-    """(sheet_id, keys..., overlap): share of each box the rectangles cover,
-    areas summed and capped at 1."""
+    """(sheet_id, keys..., overlap): share of each box that lies under any rectangle.
+
+    Rectangles that cross or coincide count once: each box is cut at the vertical
+    edges within it, and in every strip the covered stretches are joined.
+    """
+    box = ["sheet_id", *keys]
     rects = prefixed(occupied.select("sheet_id", *G.BOX), "o_", ["sheet_id"])
     pairs = box_pairs(boxes.select("sheet_id", *keys, *G.BOX), rects, ["sheet_id"],
                       ["o_" + c for c in G.BOX], cell=cell)
-    covered = (pairs.groupBy("sheet_id", *keys)
-               .agg(F.sum(G.intersection(G.box_of(), G.box_of("o_"))).alias("_sum")))
+    clipped = pairs.select(
+        *box, F.greatest("x0", "o_x0").alias("_l"), F.least("x1", "o_x1").alias("_r"),
+        F.greatest("y0", "o_y0").alias("_t"), F.least("y1", "o_y1").alias("_b")).distinct()
+    edges = clipped.select(*box, F.explode(F.array("_l", "_r")).alias("_from")).distinct()
+    strips = edges.withColumn("_to", F.lead("_from").over(Window.partitionBy(*box).orderBy("_from"))).where("_to IS NOT NULL")
+    under = strips.join(clipped, box).where("_l <= _from AND _r >= _to")
+    above = F.max("_b").over(Window.partitionBy(*box, "_from").orderBy("_t", "_b")
+                             .rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.greatest(F.lit(0.0), F.col("_b") - F.greatest("_t", F.coalesce(above, "_t")))
+    covered = (under.withColumn("_new", fresh * (F.col("_to") - F.col("_from")))
+               .groupBy(*box).agg(F.sum("_new").alias("_sum")))
     return (boxes.join(covered, ["sheet_id", *keys], "left")
             .withColumn("overlap", F.least(F.lit(1.0), F.coalesce("_sum", F.lit(0.0))
                                            / F.greatest(F.lit(1.0), G.area(G.box_of()))))

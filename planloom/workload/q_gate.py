@@ -251,7 +251,14 @@ def _place(t):
         {"y0": F.col("y0") - 3.0, "y1": F.col("y1") + 3.0})).select(*ID, "cx_out", "cy_out", "hidden", "moved")
 
 
-@query("hidden_share", f"""SELECT r.sheet_id, r.run_id, ROUND(LEAST(1, COALESCE(SUM({S.inter('r', 'g')}), 0) / GREATEST(1, ANY_VALUE({S.area('r')}))), 6) AS overlap
-FROM runs AS r LEFT JOIN regions AS g ON g.sheet_id = r.sheet_id GROUP BY r.sheet_id, r.run_id""", ("runs", "regions"))
+@query("hidden_share", f"""WITH c AS (SELECT DISTINCT r.sheet_id, r.run_id, GREATEST(r.x0, g.x0) AS l, LEAST(r.x1, g.x1) AS rr, GREATEST(r.y0, g.y0) AS t, LEAST(r.y1, g.y1) AS b
+  FROM runs AS r JOIN regions AS g ON g.sheet_id = r.sheet_id AND r.x0 < g.x1 AND g.x0 < r.x1 AND r.y0 < g.y1 AND g.y0 < r.y1),
+e AS (SELECT sheet_id, run_id, l AS x FROM c UNION SELECT sheet_id, run_id, rr FROM c),
+s AS (SELECT *, LEAD(x) OVER (PARTITION BY sheet_id, run_id ORDER BY x) AS x2 FROM e),
+u AS (SELECT s.sheet_id, s.run_id, s.x, s.x2, c.t, c.b, MAX(c.b) OVER (PARTITION BY s.sheet_id, s.run_id, s.x ORDER BY c.t, c.b
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM s JOIN c ON c.sheet_id = s.sheet_id AND c.run_id = s.run_id AND c.l <= s.x AND c.rr >= s.x2),
+h AS (SELECT sheet_id, run_id, SUM((x2 - x) * GREATEST(0.0::DOUBLE, b - GREATEST(t, COALESCE(seen, t)))) AS hidden FROM u GROUP BY 1, 2)
+SELECT r.sheet_id, r.run_id, ROUND(LEAST(1, COALESCE(h.hidden, 0) / GREATEST(1, {S.area('r')})), 6) AS overlap
+FROM runs AS r LEFT JOIN h ON h.sheet_id = r.sheet_id AND h.run_id = r.run_id""", ("runs", "regions"))
 def _hidden(t):
     return gate.hidden_share(t.runs, t.regions, ["run_id"]).select(*ID, F.round("overlap", 6).alias("overlap"))

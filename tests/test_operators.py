@@ -259,3 +259,16 @@ def test_intake_takes_old_files(spark, tmp_path):
     run()
     paths = sorted(r.path.rsplit("/", 1)[1] for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert paths == ["new.pdf", "old.pdf", "old2.pdf"]
+
+
+def test_hidden_share_counts_crossing_rectangles_once(spark):
+    box = "sheet_id int, run_id int, x0 double, y0 double, x1 double, y1 double"
+    boxes = spark.createDataFrame([(1, 0, 0., 0., 10., 10.), (1, 1, 50., 50., 60., 60.), (2, 0, 0., 0., 10., 10.)], box)
+    rng = random.Random(3)
+    rects = [(1, 0., 0., 4., 10.), (1, 0., 0., 4., 10.), (1, 0., 3., 10., 5.), (1, 100., 0., 101., 1.)]
+    many = [(2, *sorted(rng.sample(range(-2, 13), 2)), *sorted(rng.sample(range(-2, 13), 2))) for _ in range(9)]
+    rects += [(s, float(a), float(c), float(b), float(d)) for s, a, b, c, d in many]
+    occupied = spark.createDataFrame(rects, "sheet_id int, x0 double, y0 double, x1 double, y1 double")
+    got = {(r.sheet_id, r.run_id): r.overlap for r in gate.hidden_share(boxes, occupied, ["run_id"]).collect()}
+    cells = sum(any(a <= x < b and c <= y < d for _, a, b, c, d in many) for x in range(10) for y in range(10))
+    assert got[1, 1] == 0 and abs(got[1, 0] - 0.52) < 1e-9 and abs(got[2, 0] - cells / 100) < 1e-9
