@@ -72,10 +72,12 @@ def read_runs(passes: DataFrame, sheets: DataFrame, protected: DataFrame | None
 def mirror_runs(reading: Reading, sheets: DataFrame, axis, fonts: DataFrame | None = None) -> DataFrame:
     """Runs in output space: text, kind, mirrored box, centre and angle, flags.
 
+    Sheets that are refused, as their text is too small to be read, have none.
     With ``fonts`` the runs carry a style (font, px_size, tracking, width_scale,
     ink_along) and equal sizes are given to labels of one size cluster.
     """
-    runs = reading.runs.where(F.col("disposition") == "run")
+    refused = reading.decisions.where(F.col("decision") == "refuse").select("sheet_id")
+    runs = reading.runs.where(F.col("disposition") == "run").join(refused, "sheet_id", "left_anti")
     runs = runs.withColumns({"text_raw": F.col("text"), "text": F.col("snap.text"), "kind": F.col("snap.kind")})
     if fonts is not None:
         runs = sizes.snap_sizes(runs, fonts)

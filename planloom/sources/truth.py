@@ -40,6 +40,9 @@ def read_lexicon(spark: SparkSession, path: str) -> Vocabulary:
     """The closed vocabulary as literals (at most MAX_WORDS words are fetched)."""
     rooms, short, notes = lexicon_tables(spark, path)
 
+    # the order of the rooms decides between words that fit equally well
+    rooms = rooms.orderBy("ord")
+
     def words(df, *cols):
         rows = df.select(*cols).limit(MAX_WORDS + 1).collect()
         return tuple(tuple(r) if len(cols) > 1 else r[0] for r in rows)

@@ -64,15 +64,29 @@ def _dropped(t):
             .withColumn("missed", F.coalesce("missed", F.lit(False))))
 
 
-@query("mirror_runs", f"""WITH {READ} SELECT c.sheet_id, det_idx, text_out AS text, c.kind, width - x1 AS ox0, y0 AS oy0, width - x0 AS ox1, y1 AS oy1, width - (x0+x1)/2 AS cx_out, (y0+y1)/2 AS cy_out, angle_deg AS angle_out
-FROM coded AS c JOIN sheets AS s ON s.sheet_id = c.sheet_id WHERE disposition = 'run'""", READ_VIEWS, recursive=True)
+CAP = f"""cap AS (SELECT sheet_id, COALESCE(QUANTILE_CONT(cap, 0.5) FILTER (ok), QUANTILE_CONT(cap, 0.5)) AS med FROM (SELECT sheet_id, (CASE WHEN ABS(angle_deg) > 45 THEN x1-x0 ELSE y1-y0 END) * 0.72::DOUBLE AS cap, NOT {S.symbol('text')} AS ok FROM kept) GROUP BY sheet_id)"""
+
+
+@query("read_errors", """SELECT d.sheet_id, d.det_idx, CASE WHEN d.sheet_id % 7 = 0 THEN 'sheet without a size' WHEN d.det_idx % 5 = 4 THEN 'pass without an angle'
+  WHEN (x1-x0) * (y1-y0) > 0 AND x1 > x0 THEN NULL ELSE 'box without an area' END AS error
+FROM detections AS d JOIN sheets AS s ON s.sheet_id = d.sheet_id JOIN raw_labels AS l ON l.sheet_id = d.sheet_id AND l.det_idx = d.det_idx""",
+       ("detections", "sheets", "raw_labels"))
+def _read_errors(t):
+    """All reads, some of them of sheets without a size and of unknown passes: each comes out."""
+    passes = frames(t).withColumn("pass_id", F.when(F.col("det_idx") % 5 == 4, F.lit(9)).otherwise(F.col("pass_id")))
+    sheets = t.sheets.withColumn("width", F.when(F.col("sheet_id") % 7 != 0, F.col("width")))
+    return reading.place_candidates(passes, sheets).select("sheet_id", "det_idx", "error")
+
+
+@query("mirror_runs", f"""WITH {READ}, {CAP} SELECT c.sheet_id, det_idx, text_out AS text, c.kind, width - x1 AS ox0, y0 AS oy0, width - x0 AS ox1, y1 AS oy1, width - (x0+x1)/2 AS cx_out, (y0+y1)/2 AS cy_out, angle_deg AS angle_out
+FROM coded AS c JOIN sheets AS s ON s.sheet_id = c.sheet_id LEFT JOIN cap ON cap.sheet_id = c.sheet_id WHERE disposition = 'run' AND COALESCE(med >= 8, TRUE)""", READ_VIEWS, recursive=True)
 def _mirror(t):
     out = reading.mirror_runs(reading.read_runs(frames(t), t.sheets, t.regions), t.sheets, "v")
     return out.select("sheet_id", "det_idx", "text", "kind", "ox0", "oy0", "ox1", "oy1", "cx_out", "cy_out", "angle_out")
 
 
 @query("mirror_records", f"""WITH {READ},
-cap AS (SELECT sheet_id, COALESCE(QUANTILE_CONT(cap, 0.5) FILTER (ok), QUANTILE_CONT(cap, 0.5)) AS med FROM (SELECT sheet_id, (CASE WHEN ABS(angle_deg) > 45 THEN x1-x0 ELSE y1-y0 END) * 0.72::DOUBLE AS cap, NOT {S.symbol('text')} AS ok FROM kept) GROUP BY sheet_id),
+{CAP},
 acc AS (SELECT s.sheet_id, s.width, s.height, med < 14 AS enlarged FROM sheets AS s LEFT JOIN cap ON cap.sheet_id = s.sheet_id WHERE med IS NULL OR med >= 8),
 dr AS (SELECT * FROM lab AS d WHERE NOT EXISTS (SELECT 1 FROM kept AS k WHERE k.sheet_id = d.sheet_id AND k.det_idx = d.det_idx)),
 ms AS (SELECT sheet_id FROM dr WHERE LENGTH(text) >= 3 AND conf >= 0.85::DOUBLE AND NOT EXISTS (SELECT 1 FROM kept AS k WHERE k.sheet_id = dr.sheet_id AND {S.inter('dr', 'k')} / GREATEST(1.0::DOUBLE, {S.area('dr')}) > 0.5::DOUBLE)),
