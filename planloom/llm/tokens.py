@@ -15,7 +15,7 @@ from functools import lru_cache
 from tokenizers import Tokenizer
 
 #: Pieces held by one cache; it is emptied when full.
-MOST_PIECES = 700_000
+MOST_PIECES = 1_000_000
 
 #: The splitting pattern of word tokenizers, and the byte-to-letter rule
 #: of byte-level models (printable bytes stand for themselves, others follow from 256).
@@ -26,9 +26,14 @@ _LETTER = [chr(b) if b in _PRINTABLE else chr(256 + _OTHER.index(b)) for b in ra
 
 #: Separators of ASCII that Python counts as white space and patterns do not.
 _UNSURE = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: What both count as white space, besides space and line end.
+_RARE = ("\t", "\r", "\x0b", "\x0c", "\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)),
+         "\u2028", "\u2029", "\u202f", "\u205f", "\u3000")
+#: Blanks that do not stand alone between two runs of other characters.
+_DOUBLE = ("  ", "\n\n", "\n ", " \n")
 _RUN = re.compile(r"\s*\S+|\s+")
-#: Letters that are one pre-token, and one mark that is the next.
-_WORD = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: Letters that are one pre-token, and marks that are the next; no apostrophe, which may belong to letters.
+_WORD = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%&$#*()\"-]*)")
 
 
 def ids_bytes(ids: list[int]) -> bytes:
@@ -74,7 +79,7 @@ class Encoder:
         self.model = self.tokenizer.model
         self.kind = _kind(self.tokenizer)
         self.cached = _Pieces(self, str)
-        self.spaced = _Pieces(self, lambda key: key if key[0] == "\n" else " " + key)
+        self.spaced = _Pieces(self, lambda key: " " + key)
 
     def whole(self, text: str) -> bytes:
         return ids_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -83,12 +88,12 @@ class Encoder:
         match = _WORD.fullmatch(text)
         if not match:
             return self.whole(text)
-        space, word, mark = match.groups()
-        if self.kind == "words":
-            word = word.lower()
+        space, word, marks = match.groups()
+        lower = word.lower() if self.kind == "words" else word
+        if marks or lower != word:
+            return (self.spaced if space else self.cached)[lower] + (self.cached[marks] if marks else b"")
         letters = "".join([_LETTER[b] for b in (space + word).encode()])
-        found = ids_bytes([token.id for token in self.model.tokenize(letters)])
-        return found + self.cached[mark] if mark else found
+        return ids_bytes([token.id for token in self.model.tokenize(letters)])
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -97,15 +102,14 @@ class Encoder:
             return self.whole(text)
         if self.kind == "words":
             return b"".join(map(self.cached.__getitem__, text.split()))
-        runs = None
-        if "  " not in text and "\n\n" not in text and "\n " not in text and " \n" not in text:
-            first, *runs = text.replace("\n", " \n").split(" ")
-            # one blank or line end between any two runs, and no other white space
-            if not first or not runs or runs[-1] in ("", "\n") or len(text.split()) != len(runs) + 1:
-                runs = None
-        if runs is None:
+        if any(x in text for x in _DOUBLE) or any(x in text for x in _RARE) or text[0] in " \n" or text[-1] in " \n":
             return b"".join(map(self.cached.__getitem__, _RUN.findall(text)))
-        return self.cached[first] + b"".join(map(self.spaced.__getitem__, runs))
+        # single spaces, which open the next piece, and single line ends, which are pieces of their own
+        lines = []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            lines.append(self.cached[first] + b"".join(map(self.spaced.__getitem__, rest)))
+        return self.cached["\n"].join(lines)
 
 
 @lru_cache(maxsize=2)
