@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planloom.llm import chat, decontaminate, licenses, line_dedup, packing, quality, simhash, suffix_dedup, token_files, warc
+from planloom.llm.shared import importable
 
 #: Tokenizer files; where they lie is the environment's choice.
 WORD_BPE, WORD_BPE_END = "word_bpe_49k.json", 1
@@ -19,7 +20,11 @@ ORACLES: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def register(fn):
-        QUERIES[fn.__name__] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            importable(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[fn.__name__] = run
         if sql is not None:
             ORACLES[fn.__name__] = sql
         return fn

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 
@@ -11,6 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 from planloom.session import checkpoint_dir
 
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    For sessions whose workers start in another folder. Where the package is installed,
+    or its path doesn't exist on a worker's machine, this changes nothing.
+    """
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if _ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, paths)])
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """URI of a fresh folder beside the checkpoints of the session."""
     top = re.sub(r"^file:/(?!/)", "file:///", checkpoint_dir(spark)).rstrip("/")
