@@ -15,9 +15,13 @@ TRUTH_SCHEMA = ("image string, dpi int, zoom double, width_px int, height_px int
 LEXICON_SCHEMA = ("rooms array<string>, abbreviations map<string,string>, annotations array<string>")
 
 
-def read_truth(spark: SparkSession, path: str) -> DataFrame:
-    """One row per truth run; the position in the file is truth_idx."""
-    raw = spark.read.schema(TRUTH_SCHEMA).json(path, multiLine=True)
+def read_truth(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """One row per truth run; the position in the sheet's list is truth_idx.
+
+    A file is one sheet (``one_per_file``), or has a sheet in each line, as
+    ``write_truth`` leaves them.
+    """
+    raw = spark.read.schema(TRUTH_SCHEMA).json(path, multiLine=one_per_file)
     runs = raw.select("image", "dpi", "zoom", "width_px", "height_px",
                       F.posexplode("runs").alias("truth_idx", "r"))
     box = [F.col("r.bbox_px")[i].alias(n) for i, n in enumerate(G.BOX)]

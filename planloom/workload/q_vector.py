@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from planloom.functions import geometry as G, text as T
 from planloom.operators import labels, vector
+from planloom.session import checkpoint_dir
 from planloom.sources import pdf_tables, truth
 from planloom.workload import sqltext as S
 from planloom.workload.registry import query
@@ -344,6 +347,19 @@ def _build_truth(t):
     return out.select(*RUN, "text", "x0", "y1", "angle_deg", "kind", "cap_height_px")
 
 
+@query("read_truth", """SELECT CAST(sheet_id AS VARCHAR) AS image, ROW_NUMBER() OVER (PARTITION BY sheet_id ORDER BY truth_idx) - 1 AS truth_idx, text, x0, y0, x1, y1, angle_deg, kind,
+  y1 - y0 AS cap_height_px FROM truth WHERE sheet_id IN (SELECT sheet_id FROM sheets)""", ("truth", "sheets"))
+def _read_truth(t):
+    """All truth written sheet by sheet and read back."""
+    sheets = t.sheets.select("sheet_id", F.col("sheet_id").cast("string").alias("image"), F.lit(150).alias("dpi"), F.lit(2.5).alias("zoom"),
+                             F.col("width").cast("int").alias("width_px"), F.col("height").cast("int").alias("height_px"))
+    runs = t.truth.withColumn("cap_height_px", F.col("y1") - F.col("y0"))
+    folder = f"{checkpoint_dir(t.spark).rstrip('/')}/truth-{uuid.uuid4().hex}"
+    truth.write_truth(truth.truth_payload(runs, sheets), folder)
+    return truth.read_truth(t.spark, folder, one_per_file=False).select(
+        "image", "truth_idx", "text", *G.BOX, "angle_deg", "kind", "cap_height_px")
+
+
 @query("flatten_traces", """SELECT sheet_id AS doc_id, COUNT(*) AS runs, MIN(text) AS lo, MAX(text) AS hi, SUM(x0) AS sx FROM detections WHERE det_idx % 3 <> 0 GROUP BY sheet_id""", ("detections",))
 def _flatten_traces(t):
     box = F.struct(*G.BOX)

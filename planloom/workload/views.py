@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from planloom import constants as K
+
 VIEWS: dict[str, str] = {}
 
 VIEWS["detections"] = """
@@ -60,15 +62,8 @@ SELECT o_orderkey AS sheet_id, CAST(o_custkey % 60 AS DOUBLE) AS x0, CAST(o_cust
 FROM {orders}
 """
 
-VIEWS["rooms"] = """
-SELECT * FROM (VALUES (0,'Stue'),(1,'Opholdsrum'),(2,'Køkken'),(3,'Køkken/alrum'),(4,'Alrum'),
-(5,'Spisestue'),(6,'Værelse'),(7,'Vær.'),(8,'Soveværelse'),(9,'Kammer'),(10,'Bad'),(11,'Badeværelse'),
-(12,'Toilet'),(13,'WC'),(14,'Bad/WC'),(15,'Entré'),(16,'Entre'),(17,'Gang'),(18,'Repos'),(19,'Trappe'),
-(20,'Bryggers'),(21,'Vaskerum'),(22,'Depot'),(23,'Pulterrum'),(24,'Skab'),(25,'Garderobe'),(26,'Walk-in'),
-(27,'Teknik'),(28,'Teknikrum'),(29,'Fordeler'),(30,'Loft'),(31,'Kælder'),(32,'Kælderrum'),(33,'Altan'),
-(34,'Terrasse'),(35,'Have'),(36,'Karnap'),(37,'Kontor'),(38,'Hall'),(39,'Vindfang'),(40,'Elevator'),
-(41,'Skunk'),(42,'Emhætte'),(43,'Køl/frys'),(44,'Ovn'),(45,'Opvask')) AS r(ord, word)
-"""
+VIEWS["rooms"] = "SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, '{w}')" for i, w in enumerate(K.ROOMS)) + ") AS r(ord, word)"
 
 VIEWS["raw_labels"] = """
 SELECT k.sheet_id, k.det_idx, k.conf, r.word AS truth_word,
