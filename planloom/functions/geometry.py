@@ -193,6 +193,13 @@ def quarter_turn(dx: Column, dy: Column) -> Column:
                     (angle - n * 90.0).alias("deviation"))
 
 
+def redraw_turn(angle: Column) -> Column:
+    """STRUCT<turn, error>: the turn for lettering drawn anew, which reads along
+    0, 90 or -90 degrees exactly; any other angle is an error."""
+    turn = F.when(angle == 0, 0).when(angle == 90, 90).when(angle == -90, 270)
+    return F.struct(turn.alias("turn"), F.when(turn.isNull(), F.lit("no quarter turn to draw at")).alias("error"))
+
+
 # --- affine maps: ARRAY<DOUBLE> of 6 (a, b, c, d, e, f) -----------------------
 
 def affine(*six) -> Column:

@@ -322,15 +322,20 @@ def check_layer_ordering(canvas: DataFrame, plate: DataFrame, coverage: DataFram
         "%d px of solid drawing were overwritten by text.", "n"), F.col("n"), F.lit(0.0), False, True)
 
 
-def verify_report(sheets: DataFrame, diffs: DataFrame, regions: DataFrame, issues: DataFrame) -> DataFrame:
-    """One row per sheet: totals, share differing, outside regions, issues."""
+def verify_report(sheets: DataFrame, diffs: DataFrame, regions: DataFrame, issues: DataFrame,
+                  expected: DataFrame) -> DataFrame:
+    """One row per sheet: totals, share differing, outside regions, issues, and what was
+    checked: text boxes left out of the pixel check, and runs read back (``expected``)."""
+    e = expected.groupBy("sheet_id").agg(F.count("x0").alias("text_regions_checked"),
+                                         F.count("*").alias("text_runs_checked"))
     d = diffs.groupBy("sheet_id").agg(F.count("*").alias("differing_px"))
     r = regions.groupBy("sheet_id").agg(F.count("*").alias("outside_regions"), F.sum("area").alias("outside_px"))
     i = issues.groupBy("sheet_id").agg(F.count("*").alias("issues"))
     out = sheets.select("sheet_id", (F.col("width") * F.col("height")).cast("long").alias("total_px"))
-    for part in (d, r, i):
+    for part in (d, r, i, e):
         out = out.join(part, "sheet_id", "left")
-    out = out.fillna(0, ["differing_px", "outside_regions", "outside_px", "issues"])
+    out = out.fillna(0, ["differing_px", "outside_regions", "outside_px", "issues", "text_regions_checked",
+                         "text_runs_checked"])
     pct = F.when(F.col("total_px") > 0, 100.0 * F.col("differing_px") / F.col("total_px")).otherwise(0.0)
     return out.withColumns({"differing_pct": pct,
                             "passed": (F.col("outside_regions") == 0) & (F.col("issues") == 0)})

@@ -46,5 +46,5 @@ def verify_corpus(source: DataFrame, output: DataFrame, source_sizes: DataFrame,
     outside = P.outside_boxes(diffs, expected.select("sheet_id", *G.BOX), pad=K.TEXT_EXCLUSION_PAD_PX)
     regions = P.diff_regions(outside)
     issues = match.check_wording(expected, output_dets, vocab=vocab, source_conf=True)
-    return Verification(P.verify_report(sizes, diffs, regions, issues), regions, issues,
+    return Verification(P.verify_report(sizes, diffs, regions, issues, expected), regions, issues,
                         scales.where(F.col("scale").isNull()))

@@ -156,6 +156,13 @@ def _quarter(t):
     return t.tilts.select(*ID, q["turn"].alias("turn"), r6(q["deviation"]).alias("deviation"))
 
 
+@query("redraw_turn", """SELECT sheet_id, det_idx, CASE angle_deg WHEN 0 THEN 0 WHEN 90 THEN 90 WHEN -90 THEN 270 END AS turn, angle_deg NOT IN (0, 90, -90) AS refused
+FROM tilts""", ("tilts",))
+def _redraw(t):
+    q = G.redraw_turn(F.col("angle_deg"))
+    return t.tilts.select(*ID, q["turn"].alias("turn"), q["error"].isNotNull().alias("refused"))
+
+
 @query("outside_protected", """SELECT sheet_id, det_idx FROM detections AS d WHERE NOT EXISTS (
   SELECT 1 FROM regions AS r WHERE r.sheet_id = d.sheet_id AND (d.x0+d.x1)/2 BETWEEN r.x0 AND r.x1
   AND (d.y0+d.y1)/2 BETWEEN r.y0 AND r.y1)""", ("detections", "regions"))

@@ -234,15 +234,16 @@ def _wording(t):
 
 @query("verify_report", f"""WITH {OUT}, {BOXES}, {OUTSIDE}, {grow_sql('ob')}
 SELECT s.sheet_id, CAST(97 * 41 AS BIGINT) AS total_px, COALESCE(d.n, 0) AS differing_px, COALESCE(r.n, 0) AS outside_regions, COALESCE(r.a, 0)::BIGINT AS outside_px, COALESCE(i.n, 0) AS issues,
-  ROUND(100 * COALESCE(d.n, 0) / (97 * 41), 9) AS differing_pct, r.n IS NULL AND i.n IS NULL AS passed
-FROM sheets AS s LEFT JOIN (SELECT sheet_id, COUNT(*) AS n FROM dif GROUP BY sheet_id) AS d ON d.sheet_id = s.sheet_id
+  ROUND(100 * COALESCE(d.n, 0) / (97 * 41), 9) AS differing_pct, r.n IS NULL AND i.n IS NULL AS passed,
+  COALESCE(c.n, 0) AS text_regions_checked, COALESCE(c.n, 0) AS text_runs_checked
+FROM sheets AS s LEFT JOIN (SELECT sheet_id, COUNT(*) AS n FROM detections GROUP BY sheet_id) AS c ON c.sheet_id = s.sheet_id LEFT JOIN (SELECT sheet_id, COUNT(*) AS n FROM dif GROUP BY sheet_id) AS d ON d.sheet_id = s.sheet_id
 LEFT JOIN (SELECT sheet_id, COUNT(*) AS n, SUM(area) AS a FROM reg GROUP BY sheet_id) AS r ON r.sheet_id = s.sheet_id
 LEFT JOIN (SELECT sheet_id, COUNT(*) AS n FROM run_flags WHERE severity = 'error' GROUP BY sheet_id) AS i ON i.sheet_id = s.sheet_id""",
-       ("pixels", "regions", "sheets", "run_flags"), recursive=True)
+       ("pixels", "regions", "sheets", "run_flags", "detections"), recursive=True)
 def _report(t):
     d = diffs(t)
     regions = P.diff_regions(P.outside_boxes(d, boxes_out(t), pad=2))
-    out = P.verify_report(sizes(t), d, regions, t.run_flags.where(F.col("severity") == "error"))
+    out = P.verify_report(sizes(t), d, regions, t.run_flags.where(F.col("severity") == "error"), t.detections)
     return out.withColumn("differing_pct", F.round("differing_pct", 9))
 
 

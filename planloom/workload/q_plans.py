@@ -158,8 +158,9 @@ want AS (SELECT sheet_id, det_idx AS truth_idx, x0, y0, x1, y1 FROM seen),
 iss AS (SELECT sheet_id, SUM(n)::BIGINT AS n FROM (SELECT sheet_id, 1 AS n FROM snapped WHERE conf < 0.85::DOUBLE
   UNION ALL SELECT w.sheet_id, (a.text_out IS NULL OR a.text_out <> e.text_out OR a.conf < 0.85::DOUBLE)::INT FROM want AS w JOIN snapped AS e ON e.sheet_id = w.sheet_id AND e.det_idx = w.truth_idx
     LEFT JOIN matches AS m ON m.sheet_id = w.sheet_id AND m.truth_idx = w.truth_idx LEFT JOIN snapped AS a ON a.sheet_id = m.sheet_id AND a.det_idx = m.det_idx) GROUP BY sheet_id HAVING SUM(n) > 0)
-SELECT s.sheet_id, COALESCE(d.n, 0) AS differing_px, COALESCE(r.n, 0) AS outside_regions, COALESCE(r.a, 0)::BIGINT AS outside_px, COALESCE(i.n, 0) AS issues, r.n IS NULL AND i.n IS NULL AS passed
-FROM sheets AS s LEFT JOIN (SELECT sheet_id, COUNT(*) AS n FROM dif GROUP BY sheet_id) AS d ON d.sheet_id = s.sheet_id
+SELECT s.sheet_id, COALESCE(d.n, 0) AS differing_px, COALESCE(r.n, 0) AS outside_regions, COALESCE(r.a, 0)::BIGINT AS outside_px, COALESCE(i.n, 0) AS issues, r.n IS NULL AND i.n IS NULL AS passed,
+  COALESCE(c.n, 0) AS text_regions_checked, COALESCE(c.n, 0) AS text_runs_checked
+FROM sheets AS s LEFT JOIN (SELECT sheet_id, COUNT(*) AS n FROM detections GROUP BY sheet_id) AS c ON c.sheet_id = s.sheet_id LEFT JOIN (SELECT sheet_id, COUNT(*) AS n FROM dif GROUP BY sheet_id) AS d ON d.sheet_id = s.sheet_id
 LEFT JOIN (SELECT sheet_id, COUNT(*) AS n, SUM(area) AS a FROM reg GROUP BY sheet_id) AS r ON r.sheet_id = s.sheet_id LEFT JOIN iss AS i ON i.sheet_id = s.sheet_id""",
        ("pixels", "detections", "sheets", "rooms"), recursive=True)
 def _verify(t):
@@ -167,7 +168,8 @@ def _verify(t):
     # what was drawn reads back exactly: observed boxes are the mirrored ones
     seen = dets.withColumns(dict(zip(G.BOX, G.mirror_box(G.box_of(), F.lit(97.0), F.lit(41.0), "v"))))
     out = verifying.verify_corpus(t.pixels, output_of(t), sizes(t), sizes(t), dets, seen, "v").report
-    return out.select("sheet_id", "differing_px", "outside_regions", "outside_px", "issues", "passed")
+    return out.select("sheet_id", "differing_px", "outside_regions", "outside_px", "issues", "passed",
+                      "text_regions_checked", "text_runs_checked")
 
 
 @query("mirror_traces", f"""WITH {expected_sql('v').strip()}, f AS (SELECT *, CASE WHEN error IS NOT NULL THEN error ELSE {FAILURE} END AS failure FROM expected),
