@@ -61,13 +61,9 @@ def picture_label_candidates(dets: DataFrame, placements: DataFrame,
         "include": include, "ocr_text": F.col("text")})
 
 
-def label_review_flags(labels: DataFrame, pages: DataFrame, list_max: int = 200) -> DataFrame:
+def label_review_flags(labels: DataFrame, pages: DataFrame) -> DataFrame:
     """Page flags after the review: picture-linework for every page, one
-    picture-text per redrawn label, picture-text-skipped for the rest.
-
-    A page that skipped more than ``list_max`` labels lists them in several
-    flags, chosen by a hash of the label, so no list grows with the data.
-    """
+    picture-text per redrawn label, one picture-text-skipped for each of the rest."""
     linework = pages.select(*PAGE, FL.flag(
         "picture-linework", "Walls and lines of this page are a picture and were mirrored as one; lettering in it "
         "that was not confirmed is mirrored too.", "warn").alias("f"))
@@ -80,12 +76,6 @@ def label_review_flags(labels: DataFrame, pages: DataFrame, list_max: int = 200)
         "info").alias("f"))
     skipped = known.where(~F.col("include")).select(
         *PAGE, F.when(F.coalesce("ocr_text", F.lit("")) != "", F.col("ocr_text")).otherwise(F.col("text")).alias("shown"))
-    sizes = skipped.groupBy(*PAGE).agg(F.ceil(F.count("*") / list_max).alias("parts"))
-    counted = skipped.groupBy(*PAGE, "shown").agg(F.count("*").alias("n")).withColumn(
-        "copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-    parted = counted.join(sizes, PAGE).withColumn("part", F.pmod(F.xxhash64("shown", "copy"), F.col("parts")))
-    listed = parted.groupBy(*PAGE, "part").agg(F.count("*").alias("n"), F.array_join(F.array_sort(
-        F.collect_list(F.concat(F.lit("'"), "shown", F.lit("'")))), ", ").alias("names"))
-    left = listed.select(*PAGE, FL.flag("picture-text-skipped", F.format_string(
-        "%d find(s) left as drawing: %s.", "n", "names")).alias("f"))
+    left = skipped.select(*PAGE, FL.flag("picture-text-skipped", F.format_string(
+        "Left as drawing: '%s'.", F.coalesce("shown", F.lit("")))).alias("f"))
     return linework.unionByName(redrawn).unionByName(left).select(*PAGE, "f.*")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planloom import constants as K
@@ -28,19 +28,30 @@ class Reading:
     errors: DataFrame       # reads that cannot be placed, with an ``error``
 
 
+#: Sheet sizes beyond the sheet at which a box cannot be a read any more.
+FAR = 10
+
+
+def _near(low: Column, high: Column, size: Column) -> Column:
+    return (low > -FAR * size) & (high < (1 + FAR) * size) & ~F.isnan(low) & ~F.isnan(high)
+
+
 def place_candidates(passes: DataFrame, sheets: DataFrame) -> DataFrame:
     """Candidates in upright coordinates with box, pass angle, ``plausible``,
     final angle and ``error``. ``passes`` has pass_id and quads in frame coordinates.
 
     No read is left out: one of a sheet without a size, of a pass without an
-    angle or without an area has an ``error`` instead of a place.
+    angle, without an area or farther out than FAR sheet sizes has an ``error``
+    instead of a place. (A box is listed in each grid cell that it touches.)
     """
     sized = join_small(passes, sheets.select("sheet_id", "width", "height"), "sheet_id", "left")
     claimed = F.try_element_at(F.create_map(*[F.lit(v) for p in K.PASS_ANGLES for v in p]), F.col("pass_id"))
     work = detect.with_bbox(detect.unrotate_quads(sized.withColumn("pass_angle", claimed)))
     error = (F.when(F.col("width").isNull() | F.col("height").isNull(), "sheet without a size")
              .when(F.col("pass_angle").isNull(), "pass without an angle")
-             .when(~F.coalesce(G.area(G.box_of()) > 0, F.lit(False)), "box without an area"))
+             .when(~F.coalesce(G.area(G.box_of()) > 0, F.lit(False)), "box without an area")
+             .when(~_near(F.col("x0"), F.col("x1"), F.col("width")) | ~_near(F.col("y0"), F.col("y1"), F.col("height")),
+                   "box far outside its sheet"))
     # plausibility looks at the angle of the pass, before the quad refines it
     return work.withColumns({
         "plausible": detect.orientation_plausible(F.col("text"), F.col("pass_angle")),

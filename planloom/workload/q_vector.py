@@ -308,14 +308,15 @@ def _labels(t):
 
 @query("label_review_flags", f"""WITH {LABELS},
 k AS (SELECT c.* FROM cand AS c JOIN plan_pages AS p ON p.doc_id = c.doc_id AND p.page_index = c.page_index)
-SELECT doc_id, page_index, 'picture-linework' AS code, 'warn' AS severity, CAST(0 AS BIGINT) AS listed FROM plan_pages
-UNION ALL SELECT doc_id, page_index, 'picture-text', 'info', 0 FROM k WHERE include
-UNION ALL SELECT doc_id, page_index, 'picture-text-skipped', 'info', COUNT(*) FROM k WHERE NOT include GROUP BY doc_id, page_index""",
+SELECT doc_id, page_index, 'picture-linework' AS code, 'warn' AS severity, NULL AS skipped FROM plan_pages
+UNION ALL SELECT doc_id, page_index, 'picture-text', 'info', NULL FROM k WHERE include
+UNION ALL SELECT k.doc_id, k.page_index, 'picture-text-skipped', 'info', CONCAT('Left as drawing: ', CHR(39), d.text, CHR(39), '.') FROM k
+  JOIN detections AS d ON d.sheet_id = k.doc_id AND d.det_idx = k.det_idx WHERE NOT include""",
        ("detections", "page_images", "plan_pages"))
 def _review(t):
     out = labels.label_review_flags(label_candidates(t), t.plan_pages)
-    listed = F.when(F.col("code") == "picture-text-skipped", F.split("message", " ")[0].cast("long")).otherwise(0)
-    return out.select("doc_id", "page_index", "code", "severity", listed.cast("long").alias("listed"))
+    skipped = F.when(F.col("code") == "picture-text-skipped", F.col("message"))
+    return out.select("doc_id", "page_index", "code", "severity", skipped.alias("skipped"))
 
 
 def span_pages(t):
