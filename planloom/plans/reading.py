@@ -54,7 +54,8 @@ def place_candidates(passes: DataFrame, sheets: DataFrame) -> DataFrame:
                    "box far outside its sheet"))
     # plausibility looks at the angle of the pass, before the quad refines it
     return work.withColumns({
-        "plausible": detect.orientation_plausible(F.col("text"), F.col("pass_angle")),
+        # a read without a text says nothing against its place
+        "plausible": F.coalesce(detect.orientation_plausible(F.col("text"), F.col("pass_angle")), F.lit(True)),
         "angle_deg": G.quad_angle("quad", F.col("pass_angle")), "error": error}).drop("width", "height")
 
 

@@ -227,17 +227,18 @@ def test_passes_beyond_the_known_angles_are_refused(spark):
 def test_reads_in_are_reads_out(spark):
     quad = [(10.0, 10.0), (60.0, 10.0), (60.0, 20.0), (10.0, 20.0)]
     flat = [(5.0, 5.0)] * 4
+    far = [(300.0, 300.0), (360.0, 300.0), (360.0, 320.0), (300.0, 320.0)]
     wide = [(0.0, 0.0), (1e12, 0.0), (1e12, 9.0), (0.0, 9.0)]
     passes = spark.createDataFrame(
-        [(1, 0, 0, quad, "3470", 0.9), (1, 1, 9, quad, "x", 0.9), (2, 2, 0, quad, "3470", 0.9), (1, 3, 0, flat, "y", 0.9), (1, 4, 0, wide, "z", 0.9)],
+        [(1, 0, 0, quad, "3470", 0.9), (1, 1, 9, quad, "x", 0.9), (2, 2, 0, quad, "3470", 0.9), (1, 3, 0, flat, "y", 0.9), (1, 4, 0, wide, "z", 0.9), (1, 5, 0, far, None, 0.9)],
         "sheet_id int, det_idx int, pass_id int, quad array<struct<x:double,y:double>>, text string, conf double")
     sheets = spark.createDataFrame([(1, 800.0, 600.0)], "sheet_id int, width double, height double")
     placed = reading.place_candidates(passes, sheets)
     assert {r.det_idx: r.error for r in placed.collect()} == {
         0: None, 1: "pass without an angle", 2: "sheet without a size", 3: "box without an area",
-        4: "box far outside its sheet"}
+        4: "box far outside its sheet", 5: None}
     out = reading.read_runs(passes, sheets)
-    assert out.runs.count() + out.dropped.count() + out.errors.count() == 5
+    assert out.runs.count() + out.dropped.count() + out.errors.count() == 6
 
 
 def test_no_break_space_in_numbers(spark):
