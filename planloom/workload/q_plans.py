@@ -235,9 +235,14 @@ def _events_as_files(t, n=6):
     return folder
 
 
-def _run(stream, name, folder):
-    (stream.writeStream.format("memory").queryName(name).outputMode("complete")
+def _run(stream, folder):
+    """The counts after the last batch; each batch replaces the table of the one before."""
+    def put(batch, _number):
+        batch.write.mode("overwrite").parquet(folder + "/counts")
+
+    (stream.writeStream.foreachBatch(put).outputMode("complete")
      .option("checkpointLocation", folder + "/state").trigger(availableNow=True).start().awaitTermination())
+    return stream.sparkSession.read.schema(stream.schema).parquet(folder + "/counts")
 
 
 @query("status_counts", """SELECT DATE_TRUNC('hour', ts) AS hour, status, COUNT(*) AS n FROM job_events GROUP BY 1, 2""", ("job_events",))
@@ -249,19 +254,15 @@ def _status(t):
 def _stream_status(t):
     folder = _events_as_files(t)
     source = t.spark.readStream.schema(t.job_events.schema).option("maxFilesPerTrigger", 2).parquet(folder + "/events")
-    name = "status_" + uuid.uuid4().hex
-    _run(streams.running_status(source), name, folder)
-    return t.spark.table(name)
+    return _run(streams.running_status(source), folder)
 
 
 @query("stream_hourly", """SELECT DATE_TRUNC('hour', ts) AS hour, status, COUNT(*) AS n FROM job_events GROUP BY 1, 2""", ("job_events",))
 def _stream_hourly(t):
     folder = _events_as_files(t)
     source = t.spark.readStream.schema(t.job_events.schema).option("maxFilesPerTrigger", 2).parquet(folder + "/events")
-    name = "hourly_" + uuid.uuid4().hex
     # the files may be taken in any order, so nothing may count as late
-    _run(streams.status_counts(source, delay="400 days"), name, folder)
-    return t.spark.table(name)
+    return _run(streams.status_counts(source, delay="400 days"), folder)
 
 
 @query("recognise_hook", """SELECT sheet_id, pass_id, COUNT(*) AS found FROM detections WHERE det_idx % 19 <> 0 GROUP BY sheet_id, pass_id""", ("detections",))
