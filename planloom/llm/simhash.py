@@ -39,20 +39,25 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BLOCK = 1 << 16
 
 
-def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
-    """SimHash of a text as a signed 64-bit number (see the module's docstring)."""
+def shingles_of(text: str | None, shingle: int = SHINGLE) -> list[bytes]:
+    """Runs of ``shingle`` lower-cased words; all words where there are fewer."""
     # bytes.split() parts at space and 0x09 to 0x0D
     words = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     if len(words) < shingle:
-        parts = [joined]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.concatenate(([0], ends[:-1]))
-        parts = [joined[a:b] for a, b in zip(starts[:len(words) - shingle + 1].tolist(),
-                                             (ends[shingle - 1:] - 1).tolist())]
+        return [joined]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-1]))
+    return [joined[a:b] for a, b in zip(starts[:len(words) - shingle + 1].tolist(), (ends[shingle - 1:] - 1).tolist())]
+
+
+def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
+    """SimHash of a text as a signed 64-bit number (see the module's docstring)."""
+    parts = shingles_of(text, shingle)
+    if not parts:
+        return 0
     counts = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, len(parts), _BLOCK):
@@ -116,15 +121,20 @@ def assign(docs: DataFrame) -> DataFrame:
     return rows.join(smallest, "root").select("doc_id", "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The row with the smallest doc_id of each component, with all its columns.
+def smallest_of_each(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are the smallest of each root of ``rooted`` (doc_id, text_key, root).
 
     Of repeated rows one stays; of rows with equal doc_id and different texts, the one whose
     text has the smaller hash.
     """
     at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    first = _assigned(docs).groupBy("root").agg(F.min(at).alias("at")).select(
+    first = rooted.groupBy("root").agg(F.min(at).alias("at")).select(
         F.col("at.doc_id").alias("_doc_id"), F.col("at.text_key").alias("_text_key"))
     keyed = docs.withColumn("_key", F.xxhash64("text"))
     kept = keyed.join(first, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_key") == F.col("_text_key")))
     return kept.dropDuplicates(["_doc_id", "_text_key"]).select(*docs.columns)
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The row with the smallest doc_id of each component, with all its columns (see ``smallest_of_each``)."""
+    return smallest_of_each(docs, _assigned(docs))
