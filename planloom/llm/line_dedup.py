@@ -10,6 +10,12 @@ equal lines at both ends, then those that are unique on both sides in their long
 then the same between them; where no line is unique, the n-th of one side is taken for the n-th of the
 other. Lines so aligned are deleted from the later document; lines in crossing order stay.
 
+With ``short_lines``, which the query and ``keep`` use, what is hashed and aligned are runs of lines: from each line with
+a word, the shortest run forward and the shortest backward that has MIN_WORDS words (a line of so many is a run by
+itself; a run has MIN_WORDS lines with words at most, and lines without a word don't count). So a common block of that many words
+goes whole, its short lines at both ends too, also where all its lines are short. Lines without a word go where the next line
+with one is deleted on both sides, or on one side at an end of the text. Without ``short_lines``, lines of fewer words stay.
+
 Only hashes and places are shuffled for this, and each text once, to be cut.
 
 Defined results: a null text stays null and has no lines; null doc_ids are later than all others; rows with
@@ -24,9 +30,10 @@ from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
 
 from planloom.llm.text import words
 from planloom.session import cut_lineage
@@ -97,16 +104,51 @@ def _order(doc_id: str, text_key: str):
     return F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("doc_id"), F.col(text_key).alias("text_key"))
 
 
-def shared_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(line, doc, place, first): every place of lines that several documents have.
+def runs_of(text: str | None, min_words: int = MIN_WORDS) -> list[tuple[bytes, int, int]]:
+    """(hash, first line, last line) of the shortest runs of lines with ``min_words`` words, forward and backward from each
+    line that has a word."""
+    lines = [(i, x, n) for i, x in enumerate((text or "").encode("utf-8", "replace").split(b"\n"))
+             if (n := len(x.split(None, min_words)))]
+    spans = set()
+    for step in (1, -1):
+        for k in range(len(lines)):
+            n, end = 0, k
+            while 0 <= end < len(lines):
+                n += lines[end][2]
+                if n >= min_words:
+                    spans.add((min(k, end), max(k, end)))
+                    break
+                end += step
+    return [(xxhash.xxh3_128_digest(b"\n".join([x for _, x, _ in lines[a:b + 1]])), lines[a][0], lines[b][0])
+            for a, b in sorted(spans)]
+
+
+def _runs(min_words: int):
+    fields = [StructField("line", BinaryType()), StructField("place", IntegerType()), StructField("last", IntegerType())]
+
+    @F.pandas_udf(ArrayType(StructType(fields)))
+    def runs(texts: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("line", "place", "last"), x)) for x in runs_of(t, min_words)] for t in texts], dtype=object)
+
+    return runs
+
+
+def shared_lines(docs: DataFrame, min_words: int = MIN_WORDS, short_lines: bool = False) -> DataFrame:
+    """(line, doc, place, last, first): every place (to the line ``last``) of lines or runs that several documents have.
 
     ``doc`` and ``first`` are structs that order documents. Written to the shared folder.
     """
-    lines = (docs.select(_key("text").alias("text_key"), "doc_id", F.posexplode(F.split("text", "\n")).alias("place", "text"))
-             .where(F.size(words(F.col("text"))) >= min_words)
-             .select(F.unhex(F.md5("text")).alias("line"), _order("doc_id", "text_key").alias("doc"), "place"))
-    firsts = cut_lineage(lines.groupBy("line").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-                         .where("first <> last").drop("last"))
+    keyed = docs.select(_key("text").alias("text_key"), "doc_id", "text")
+    if short_lines:
+        lines = keyed.select("text_key", "doc_id", F.explode(_runs(min_words)("text")).alias("run")).select(
+            "run.line", _order("doc_id", "text_key").alias("doc"), "run.place", "run.last")
+    else:
+        lines = (keyed.select("text_key", "doc_id", F.posexplode(F.split("text", "\n")).alias("place", "text"))
+                 .where(F.size(words(F.col("text"))) >= min_words)
+                 .select(F.unhex(F.md5("text")).alias("line"), _order("doc_id", "text_key").alias("doc"), "place",
+                         F.col("place").alias("last")))
+    firsts = cut_lineage(lines.groupBy("line").agg(F.min("doc").alias("first"), F.max("doc").alias("latest"))
+                         .where("first <> latest").drop("latest"))
     return cut_lineage(lines.join(firsts, "line"))
 
 
@@ -116,18 +158,19 @@ def _key(text: str):
 
 def alignments(shared: DataFrame) -> DataFrame:
     """(doc, first, aligned): places in each later document that are aligned with an earlier one."""
-    early = shared.where("doc = first").groupBy("line").agg(F.collect_list("place").alias("early"))
+    early = shared.where("doc = first").groupBy("line").agg(F.collect_list(F.struct("place", "last")).alias("early"))
     late = shared.where("doc <> first")
     pairs = late.join(cut_lineage(early), "line").groupBy("doc", "first").agg(
-        F.collect_list(F.struct("place", "line", "early")).alias("lines"))
+        F.collect_list(F.struct("place", "last", "line", "early")).alias("lines"))
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
             for lines in batch["lines"]:
-                a = sorted({(int(p), x["line"]) for x in lines for p in x["early"]})
-                b = sorted((int(x["place"]), x["line"]) for x in lines)
-                found.append([b[j][0] for _, j in patience([x for _, x in a], [x for _, x in b])])
+                a = sorted({(int(p["place"]), int(p["last"]), x["line"]) for x in lines for p in x["early"]})
+                b = sorted((int(x["place"]), int(x["last"]), x["line"]) for x in lines)
+                met = patience([x for *_, x in a], [x for *_, x in b])
+                found.append(sorted({i for _, j in met for i in range(b[j][0], b[j][1] + 1)}))
             yield pd.DataFrame({"no_id": batch["no_id"], "doc_id": batch["doc_id"].astype("Int64"),
                                 "text_key": batch["text_key"], "aligned": found})
 
@@ -135,31 +178,50 @@ def alignments(shared: DataFrame) -> DataFrame:
     return flat.mapInPandas(align, "no_id boolean, doc_id long, text_key long, aligned array<int>")
 
 
-@F.pandas_udf(StringType())
-def _without(texts: pd.Series, deleted: pd.Series) -> pd.Series:
-    made = []
-    for text, places in zip(texts, deleted):
-        if places is not None and len(places):
-            gone = set(places)
-            text = "\n".join([x for i, x in enumerate(text.split("\n")) if i not in gone])
-        made.append(text)
-    return pd.Series(made, dtype=object)
-
-
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def _with_blanks(lines: list[str], gone: set[int]) -> set[int]:
+    """``gone`` and the lines without a word that lie between two of it, or between one and an end of the text."""
+    more, blanks, inside, near = set(gone), [], True, False
+    for i, line in enumerate(lines):
+        if i in gone:
+            more.update(blanks if inside else [])
+            blanks, inside, near = [], True, True
+        elif line.encode("utf-8", "replace").split():
+            blanks, inside, near = [], False, False
+        else:
+            blanks.append(i)
+    return more.union(blanks) if near else more
+
+
+def _cut(short_lines: bool):
+    @F.pandas_udf(StructType([StructField("text", StringType()), StructField("deleted", ArrayType(IntegerType()))]))
+    def cut(texts: pd.Series, deleted: pd.Series) -> pd.DataFrame:
+        made, gone = [], []
+        for text, places in zip(texts, deleted):
+            if places is not None and len(places):
+                lines = text.split("\n")
+                places = _with_blanks(lines, set(places)) if short_lines else set(places)
+                text = "\n".join([x for i, x in enumerate(lines) if i not in places])
+            made.append(text)
+            gone.append(None if places is None else sorted(map(int, places)))
+        return pd.DataFrame({"text": pd.Series(made, dtype=object), "deleted": pd.Series(gone, dtype=object)})
+
+    return cut
+
+
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, short_lines: bool = False) -> DataFrame:
     """``docs`` with texts cut, and _n_partners and _deleted (places of lines; null: none)."""
-    aligned = alignments(shared_lines(docs, min_words))
+    aligned = alignments(shared_lines(docs, min_words, short_lines))
     deleted = aligned.groupBy("doc_id", "text_key").agg(
-        F.count("*").alias("_n_partners"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("aligned")))).alias("_deleted"))
-    deleted = deleted.select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key"), "_n_partners", "_deleted")
+        F.count("*").alias("_n_partners"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("aligned")))).alias("_places"))
+    deleted = deleted.select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key"), "_n_partners", "_places")
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (_key("text") == F.col("_text_key"))
-    joined = docs.join(deleted, same, "left")
-    cut = joined.withColumn("text", _without("text", "_deleted"))
+    cut = docs.join(deleted, same, "left").withColumn("_cut", _cut(short_lines)("text", "_places"))
+    cut = cut.withColumn("text", F.col("_cut.text")).withColumn("_deleted", F.col("_cut.deleted"))
     return cut.select(*docs.columns, "_n_partners", "_deleted")
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """``docs`` with texts cut; documents whose every line with a word is gone are dropped."""
-    cut = dedup(docs)
+    """``docs`` with texts cut, short lines too; documents whose every line with a word is gone are dropped."""
+    cut = dedup(docs, short_lines=True)
     emptied = F.col("_deleted").isNotNull() & (F.size(words(F.col("text"))) == 0)
     return cut.where(~emptied).select(*docs.columns)

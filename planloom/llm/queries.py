@@ -165,7 +165,7 @@ def op10_warc_segments(spark, sf_dir):
 
 @query()
 def op8_line_dedup(spark, sf_dir):
-    found = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), short_lines=True)
     text = F.coalesce("text", F.lit(""))
     n_removed = F.coalesce(F.size("_deleted"), F.lit(0))
     return found.select(
