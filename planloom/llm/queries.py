@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planloom.llm import chat, decontaminate, licenses, line_dedup, packing, quality, simhash, suffix_dedup, token_files, warc
+from planloom.llm import (
+    chat, decontaminate, fill_middle, licenses, line_dedup, packing, quality, simhash, suffix_dedup, token_files, warc)
 from planloom.llm.shared import importable
 
 #: Tokenizer files; where they lie is the environment's choice.
@@ -215,3 +216,33 @@ def op7_suffix_dedup(spark, sf_dir):
     return found.select(
         "doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length("_kept")).alias("n_removed"),
         F.coalesce(F.size("_spans"), F.lit(0)).cast("long").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
+
+
+FILL_MIDDLE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id::VARCHAR) AS h,
+                  regexp_extract_all(coalesce(text, ''),
+                                     '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w FROM documents),
+k AS (SELECT doc_id, text, w, len(w) AS n, ('0x' || h[1:8])::BIGINT % (len(w) + 1) AS a,
+             ('0x' || h[9:16])::BIGINT % (len(w) + 1) AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                       OR ('0x' || h[17:24])::BIGINT % 100 >= 50 THEN 'plain'
+                  WHEN ('0x' || h[25:32])::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, array_to_string(w[1:least(a, b)], '') AS prefix,
+             array_to_string(w[least(a, b) + 1:greatest(a, b)], '') AS middle,
+             array_to_string(w[greatest(a, b) + 1:], '') AS suffix FROM k)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+@query(FILL_MIDDLE_SQL)
+def op13_fill_in_middle(spark, sf_dir):
+    made = fill_middle.fill_middle(table(spark, sf_dir, "documents"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("fim_text")).alias("output_sha256"),
+        digest(fill_middle.restored(F.col("fim_text"), F.col("form"))).alias("restored_sha256"))
