@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planloom.llm import (
-    chat, decontaminate, fill_middle, licenses, line_dedup, packing, quality, simhash, suffix_dedup, token_files, warc)
+    chat, decontaminate, exact_topk, fill_middle, licenses, line_dedup, packing, quality, simhash, suffix_dedup, token_files, warc)
 from planloom.llm.shared import importable
 
 #: Tokenizer files; where they lie is the environment's choice.
@@ -246,3 +246,19 @@ def op13_fill_in_middle(spark, sf_dir):
     return made.select(
         "doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("fim_text")).alias("output_sha256"),
         digest(fill_middle.restored(F.col("fim_text"), F.col("form"))).alias("restored_sha256"))
+
+
+TOP_K_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+      FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+
+@query(TOP_K_SQL)
+def op12_exact_top_k(spark, sf_dir):
+    return exact_topk.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
