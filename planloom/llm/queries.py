@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planloom.llm import (
-    chat, decontaminate, exact_topk, fill_middle, licenses, line_dedup, packing, quality, simhash, suffix_dedup, token_files, warc)
+    chat, decontaminate, exact_topk, fill_middle, licenses, line_dedup, packing, prefix_trie,
+    quality, simhash, suffix_dedup, token_files, warc)
 from planloom.llm.shared import importable
 
 #: Tokenizer files; where they lie is the environment's choice.
@@ -262,3 +263,38 @@ FROM s QUALIFY rank <= 5
 @query(TOP_K_SQL)
 def op12_exact_top_k(spark, sf_dir):
     return exact_topk.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+TRIE_SQL = """
+WITH RECURSIVE crc AS (  -- bit by bit over the decimal id
+    SELECT DISTINCT conv_id, conv_id::VARCHAR AS s, 0 AS i, 4294967295::BIGINT AS c FROM conversations WHERE conv_id IS NOT NULL
+    UNION ALL
+    SELECT conv_id, s, i + 1, xor(x >> 1, (x & 1) * 3988292384)
+    FROM (SELECT conv_id, s, i, CASE WHEN i % 8 = 0 THEN xor(c, ascii(s[i // 8 + 1])::BIGINT) ELSE c END AS x
+          FROM crc WHERE i < 8 * length(s))),
+h AS (SELECT conv_id, xor(c, 4294967295) % 9 AS h FROM crc WHERE i = 8 * length(s)),
+t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS n
+      FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY n) AS turns FROM t GROUP BY conv_id),
+r AS (SELECT l.conv_id, list_concat(coalesce(b.turns, [])[1:h.h], l.turns[h.h + 1:]) AS turns
+      FROM l JOIN h ON h.conv_id = l.conv_id LEFT JOIN l b ON b.conv_id = l.conv_id - l.conv_id % 5),
+p AS (SELECT conv_id, d, turns[1:d] AS prefix, len(turns) = d AS last
+      FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM r)),
+n AS (SELECT prefix, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+             coalesce(octet_length(encode(prefix[d].text)), 0) AS bytes,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256
+      FROM p GROUP BY prefix, d),
+c AS (SELECT prefix[1:d - 1] AS prefix, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+u AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c ON c.prefix = n.prefix AND c.d = n.d),
+s AS (SELECT prefix[1:e] AS prefix, e AS d, sum((n_children = 0)::INT) AS n_leaves, sum((n_convs - 1) * bytes) AS saved_tokens
+      FROM (SELECT prefix, n_children, n_convs, bytes, unnest(range(0, d + 1)) AS e FROM u) GROUP BY ALL)
+SELECT u.conv_id, u.d::BIGINT AS depth, a.conv_id AS parent_conv_id, u.n_convs, u.n_children::BIGINT AS n_children,
+       s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, u.ends_sha256
+FROM u JOIN s ON s.prefix = u.prefix AND s.d = u.d LEFT JOIN n a ON a.d = u.d - 1 AND a.prefix = u.prefix[1:u.d - 1]
+"""
+
+
+@query(TRIE_SQL)
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
