@@ -8,6 +8,7 @@ import uuid
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from planloom.session import checkpoint_dir
 
@@ -64,3 +65,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     folder = new_folder(spark, name)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` in one column ``row``, so that no working column can clash with theirs."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))

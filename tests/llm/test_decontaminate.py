@@ -83,3 +83,34 @@ def test_leaks_equal_brute_force(spark):
     assert kept.columns == frame.columns
     assert decontaminate.leaks(frame, bench.limit(0)).collect() == []
     assert decontaminate.leaks(frame.limit(0), bench).collect() == []
+
+
+def test_repeated_words_end_soon():
+    # a phrase that repeats itself on both sides makes no product of places
+    assert decontaminate.tiles([1] * 1000, [1] * 100_000, 5) == [(1000, 0, 0)]
+    found = decontaminate.tiles([1, 2] * 400 + [3] * 5, [2, 1] * 20_000, 5)
+    assert found == [(800, 0, 1)]
+
+
+def test_long_repetitive_text(spark):
+    docs = spark.createDataFrame([(1, "again " * 100_000), (2, "again " * 3), (3, "some thing else is said here")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "again " * 1000), (8, "again " * 7 + "some thing else is said")], "item_id long, text string")
+    got = {(r.item_id, r.n_words, r.n_covered, r.n_tiles) for r in decontaminate.leaks(docs, bench).collect()}
+    assert got == {(7, 1000, 1000, 1), (8, 12, 7, 1)}
+
+
+def test_join_without_broadcast(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{i + j}" for j in range(20))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(rows[::3], "item_id long, text string")
+    read = lambda: sorted(tuple(r) for r in decontaminate.leaks(docs, bench).collect())
+    want = read()
+    monkeypatch.setattr(decontaminate, "MAX_WINDOWS", 1)
+    assert read() == want and {(r[0], r[2]) for r in want} >= {(i, i) for i in range(0, 40, 3)}
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 1, 2, 3)], "doc_id long, text string, _doc_id long, _key int, row int")
+    bench = spark.createDataFrame([(7, "a b c d e f g"), (None, "v w x y z")], "item_id long, text string")
+    assert decontaminate.keep_clean(docs, bench).collect() == []
+    assert decontaminate.keep_clean(docs, bench.where("item_id IS NULL")).collect() == docs.collect()
