@@ -2,25 +2,31 @@
 
 Lines of at least MIN_WORDS words are hashed (128 bits). Of the documents that share a
 line, the first holder is the one with the smallest doc_id; every later one is paired with
-it, and with nobody else, for that line. So a line that thousands hold makes as many pairs
+it for that line. So a line that thousands hold makes as many pairs
 as it has holders, no line is too frequent to count, and rare and frequent lines go one way.
 
 Each pair is aligned by patience diff over the lines whose first holder is the earlier document:
 equal lines at both ends, then those that are unique on both sides in their longest common order,
 then the same between them; where no line is unique, the n-th of one side is taken for the n-th of the
-other. Lines so aligned are deleted from the later document; lines in crossing order stay.
+other. Lines so aligned are deleted from the later document.
+
+What is left of the shared lines of a document, as it stands there in another order than in their first holders, is paired
+again: by the shared lines that stand two, four, eight ... in a row, of which a line left is the first or the last.
+The first holder of such a row, which is rarer than its lines, is one more document to align with, until no line left
+stands in a row that an earlier document has. So every round again makes two pairs for each line left at most.
 
 With ``short_lines``, which the query and ``keep`` use, what is hashed and aligned are runs of lines: from each line with
 a word, the shortest run forward and the shortest backward that has MIN_WORDS words (a line of so many is a run by
 itself; a run has MIN_WORDS lines with words at most, and lines without a word don't count). So a common block of that many words
 goes whole, its short lines at both ends too, also where all its lines are short. Lines without a word go where the next line
-with one is deleted on both sides, or on one side at an end of the text. Without ``short_lines``, lines of fewer words stay.
+with one is deleted on both sides, or on one side at an end of the text. An exact copy of an earlier text of that many words goes
+whole and takes no other part. Without ``short_lines``, lines of fewer words stay.
 
 Only hashes and places are shuffled for this, and each text once, to be cut.
 
 Defined results: a null text stays null and has no lines; null doc_ids are later than all others; rows with
 equal doc_id and text are one document and treated alike; of equal doc_ids with different texts the one with
-the smaller text hash is earlier. Other columns are kept.
+the smaller text hash is earlier. Other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,10 +37,11 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
 
+from planloom.llm.shared import packed
 from planloom.llm.text import words
 from planloom.session import cut_lineage
 
@@ -133,6 +140,15 @@ def _runs(min_words: int):
     return runs
 
 
+def copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc, n_lines): documents whose text, of ``min_words`` words or more, an earlier one has too."""
+    keyed = docs.where(F.size(words(F.col("text"))) >= min_words).select(
+        "doc_id", _key("text").alias("text_key"), F.md5("text").alias("digest"), F.size(F.split("text", "\n")).alias("n_lines"))
+    keyed = keyed.select(_order("doc_id", "text_key").alias("doc"), "digest", "n_lines")
+    firsts = keyed.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("latest")).where("first <> latest")
+    return keyed.join(firsts, "digest").where("doc <> first").select("doc", "n_lines").distinct()
+
+
 def shared_lines(docs: DataFrame, min_words: int = MIN_WORDS, short_lines: bool = False) -> DataFrame:
     """(line, doc, place, last, first): every place (to the line ``last``) of lines or runs that several documents have.
 
@@ -147,6 +163,8 @@ def shared_lines(docs: DataFrame, min_words: int = MIN_WORDS, short_lines: bool
                  .where(F.size(words(F.col("text"))) >= min_words)
                  .select(F.unhex(F.md5("text")).alias("line"), _order("doc_id", "text_key").alias("doc"), "place",
                          F.col("place").alias("last")))
+    if short_lines:
+        lines = lines.join(copies(docs, min_words).select("doc"), "doc", "left_anti")
     firsts = cut_lineage(lines.groupBy("line").agg(F.min("doc").alias("first"), F.max("doc").alias("latest"))
                          .where("first <> latest").drop("latest"))
     return cut_lineage(lines.join(firsts, "line"))
@@ -156,26 +174,90 @@ def _key(text: str):
     return F.xxhash64(text)
 
 
-def alignments(shared: DataFrame) -> DataFrame:
-    """(doc, first, aligned): places in each later document that are aligned with an earlier one."""
-    early = shared.where("doc = first").groupBy("line").agg(F.collect_list(F.struct("place", "last")).alias("early"))
-    late = shared.where("doc <> first")
-    pairs = late.join(cut_lineage(early), "line").groupBy("doc", "first").agg(
-        F.collect_list(F.struct("place", "last", "line", "early")).alias("lines"))
+def _places():
+    return F.collect_list(F.struct("place", "last"))
+
+
+def _in_pandas(df: DataFrame, structs: list[str], others: list[str], fn, schema: str) -> DataFrame:
+    """``df.mapInPandas`` with the documents of ``structs`` taken apart, as a column with a null would turn into doubles."""
+    parts = [x.alias(f"{s}_{n}") for s in structs for n, x in (
+        ("no", F.col(f"{s}.no_id")), ("id", F.coalesce(f"{s}.doc_id", F.lit(0).cast("bigint"))), ("key", F.col(f"{s}.text_key")))]
+    kinds = ", ".join(f"{s}_no boolean, {s}_id bigint, {s}_key bigint" for s in structs)
+    made = df.select(*parts, *others).mapInPandas(fn, f"{kinds}, {schema}")
+    whole = [F.struct(F.col(f"{s}_no").alias("no_id"), F.when(~F.col(f"{s}_no"), F.col(f"{s}_id")).alias("doc_id"),
+                      F.col(f"{s}_key").alias("text_key")).alias(s) for s in structs]
+    return made.select(*whole, *[x.split()[0] for x in schema.split(", ")])
+
+
+def _align(late: DataFrame, early: DataFrame, on: list[str]) -> DataFrame:
+    """(doc, first, aligned): lines of ``late`` (doc, first, line, place, last) that are aligned with ``early``
+    (``on``, early). Each side's places are listed once for a pair."""
+    lines = late.groupBy("doc", "first", "line").agg(_places().alias("late")).join(early, on)
+    pairs = lines.groupBy("doc", "first").agg(F.collect_list(F.struct("line", "late", "early")).alias("lines"))
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
             for lines in batch["lines"]:
-                a = sorted({(int(p["place"]), int(p["last"]), x["line"]) for x in lines for p in x["early"]})
-                b = sorted((int(x["place"]), int(x["last"]), x["line"]) for x in lines)
+                side = lambda name: sorted((int(p["place"]), int(p["last"]), x["line"]) for x in lines for p in x[name])  # noqa: B023, E731
+                a, b = side("early"), side("late")
                 met = patience([x for *_, x in a], [x for *_, x in b])
                 found.append(sorted({i for _, j in met for i in range(b[j][0], b[j][1] + 1)}))
-            yield pd.DataFrame({"no_id": batch["no_id"], "doc_id": batch["doc_id"].astype("Int64"),
-                                "text_key": batch["text_key"], "aligned": found})
+            yield batch.drop(columns="lines").assign(aligned=found)
 
-    flat = pairs.select("doc.*", "lines")
-    return flat.mapInPandas(align, "no_id boolean, doc_id long, text_key long, aligned array<int>")
+    return _in_pandas(pairs, ["doc", "first"], ["lines"], align, "aligned array<int>")
+
+
+def _rest(lines: DataFrame, aligned: DataFrame) -> DataFrame:
+    """(doc, line, place, last) of ``lines`` that are not deleted whole by what is ``aligned``."""
+    gone = aligned.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("aligned"))).alias("gone"))
+    by_doc = lines.groupBy("doc").agg(F.collect_list(F.struct("line", "place", "last")).alias("lines")).join(gone, "doc", "left")
+
+    def left(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            names, rows = ["doc_no", "doc_id", "doc_key"], []
+            for *doc, lines, gone in zip(*(batch[x] for x in (*names, "lines", "gone"))):
+                gone = set() if gone is None else set(gone.tolist())
+                rows += [(*doc, x["line"], x["place"], x["last"]) for x in lines
+                         if not gone.issuperset(range(x["place"], x["last"] + 1))]
+            yield pd.DataFrame(rows, columns=[*names, "line", "place", "last"])
+
+    return _in_pandas(by_doc, ["doc"], ["lines", "gone"], left, "line binary, place int, last int")
+
+
+def alignments(shared: DataFrame) -> DataFrame:
+    """(doc, first, aligned): lines in each later document that are aligned with an earlier one."""
+    late = shared.where("doc <> first")
+    early = shared.where("doc = first").groupBy("line").agg(_places().alias("early"))
+    found = cut_lineage(_align(late, early, ["line"]))
+    rest = cut_lineage(_rest(late.select("doc", "line", "place", "last"), found))
+    in_doc = Window.partitionBy("doc").orderBy("place", "last")
+    rows, n = None, 1
+    while not rest.isEmpty():
+        if rows is None:  # rows of one line, of the documents that have any line left
+            asked = shared.join(rest.select("line").distinct(), "line", "left_semi").select("doc").distinct()
+            rows = shared.join(asked, "doc", "left_semi").select("doc", "line", "place", "last", F.xxhash64("line").alias("h"),
+                                                               F.xxhash64(F.lit(1), "line").alias("h2"))
+        both = [F.when(F.lead("h", n).over(in_doc).isNotNull(), F.xxhash64(*first, x, F.lead(x, n).over(in_doc))).alias(x)
+                for x, first in (("h", ()), ("h2", (F.lit(n),)))]
+        rows, n = cut_lineage(rows.select("doc", "line", "place", "last", *both)), 2 * n
+        firsts = (rows.where("h IS NOT NULL").groupBy("h", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("latest"))
+                  .where("first <> latest").drop("latest"))
+        row = F.struct("h", "h2")
+        ends = rows.select("doc", "place", "last", F.array(row, F.lag(row, n - 1).over(in_doc)).alias("rows")).select(
+            "doc", "place", "last", F.explode("rows").alias("row"))
+        known = (ends.where("row.h IS NOT NULL").join(rest.select("doc", "place", "last"), ["doc", "place", "last"])
+                 .select("doc", "row.h", "row.h2").distinct().join(firsts, ["h", "h2"]).where("first <> doc")
+                 .select("doc", "first").distinct())
+        known = cut_lineage(known)
+        if known.isEmpty():
+            break
+        new = known.join(found.select("doc", "first"), ["doc", "first"], "left_anti")
+        holders = rows.select(F.col("doc").alias("first"), "line", "place", "last").groupBy("first", "line").agg(_places().alias("early"))
+        more = cut_lineage(_align(rest.join(new, "doc"), holders, ["first", "line"]))
+        found = cut_lineage(found.unionByName(more))
+        rest = cut_lineage(_rest(rest, more))
+    return found
 
 
 def _with_blanks(lines: list[str], gone: set[int]) -> set[int]:
@@ -210,18 +292,21 @@ def _cut(short_lines: bool):
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, short_lines: bool = False) -> DataFrame:
     """``docs`` with texts cut, and _n_partners and _deleted (places of lines; null: none)."""
-    aligned = alignments(shared_lines(docs, min_words, short_lines))
-    deleted = aligned.groupBy("doc_id", "text_key").agg(
-        F.count("*").alias("_n_partners"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("aligned")))).alias("_places"))
-    deleted = deleted.select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key"), "_n_partners", "_places")
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (_key("text") == F.col("_text_key"))
-    cut = docs.join(deleted, same, "left").withColumn("_cut", _cut(short_lines)("text", "_places"))
-    cut = cut.withColumn("text", F.col("_cut.text")).withColumn("_deleted", F.col("_cut.deleted"))
-    return cut.select(*docs.columns, "_n_partners", "_deleted")
+    deleted = alignments(shared_lines(docs, min_words, short_lines)).groupBy("doc").agg(
+        F.count("*").alias("n_partners"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("aligned")))).alias("places"))
+    if short_lines:
+        deleted = deleted.unionByName(copies(docs, min_words).select(
+            "doc", F.lit(1).cast("bigint").alias("n_partners"), F.sequence(F.lit(0), F.col("n_lines") - 1).alias("places")))
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc.doc_id")) & (_key("row.text") == F.col("doc.text_key"))
+    cut = packed(docs).join(deleted, same, "left").select(
+        "row", "n_partners", "places", _cut(short_lines)("row.text", "places").alias("cut"))
+    kept = [F.col("cut.text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return cut.select(*kept, F.col("n_partners").alias("_n_partners"), F.col("cut.deleted").alias("_deleted"))
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """``docs`` with texts cut, short lines too; documents whose every line with a word is gone are dropped."""
-    cut = dedup(docs, short_lines=True)
+    rest = packed(docs).select(F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), "row")
+    cut = dedup(rest, short_lines=True)
     emptied = F.col("_deleted").isNotNull() & (F.size(words(F.col("text"))) == 0)
-    return cut.where(~emptied).select(*docs.columns)
+    return cut.where(~emptied).select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

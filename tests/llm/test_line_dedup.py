@@ -25,24 +25,84 @@ def test_patience_keeps_unique_lines_in_order():
     assert line_dedup.patience("abab", "ab") == [(0, 0), (1, 1)]
 
 
-def brute(rows, min_words=5):
-    """Kept text of each row: pairs by scanning all documents, in order."""
+def all_words(text):
+    return [w for w in text.replace("\t", " ").replace("\n", " ").split(" ") if w]
+
+
+def runs_of(lines, min_words, short_lines):
+    """(content, first line, last line), sorted by place, of what is hashed."""
+    if not short_lines:
+        return [(x, i, i) for i, x in enumerate(lines) if len(all_words(x)) >= min_words]
+    full = [i for i, x in enumerate(lines) if all_words(x)]
+    spans = set()
+    for k in range(len(full)):
+        for last in range(k, len(full)):
+            if sum(len(all_words(lines[i])) for i in full[k:last + 1]) >= min_words:
+                spans.add((k, last))
+                break
+        for first in range(k, -1, -1):
+            if sum(len(all_words(lines[i])) for i in full[first:k + 1]) >= min_words:
+                spans.add((first, k))
+                break
+    return sorted((("\n".join(lines[i] for i in full[a:b + 1]), full[a], full[b]) for a, b in spans), key=lambda x: x[1:])
+
+
+def brute(rows, min_words=5, short_lines=False):
+    """Kept text of each row: every pair by scanning all documents, in order."""
     order = sorted({(d is None, d or 0, t) for d, t in rows if t is not None})
-    held, out = {}, {}
-    for key in order:
-        lines = key[2].split("\n")
-        fit = [i for i, x in enumerate(lines) if len([w for w in x.replace("\t", " ").split(" ") if w]) >= min_words]
+    lines = {key: key[2].split("\n") for key in order}
+    gone = {key: set() for key in order}
+    first_text = {}
+    for key in order if short_lines else []:
+        if len(all_words(key[2])) >= min_words and first_text.setdefault(key[2], key) != key:
+            gone[key] = set(range(len(lines[key])))
+    parts = [key for key in order if not gone[key]]
+    runs = {key: runs_of(lines[key], min_words, short_lines) for key in parts}
+    holders = {}
+    for key in parts:
+        for x, *_ in runs[key]:
+            holders.setdefault(x, set()).add(key)
+    runs = {key: [x for x in runs[key] if len(holders[x[0]]) > 1] for key in parts}
+
+    def align(key, first, some):
+        wanted = {x[0] for x in some}
+        a = [x for x in runs[first] if x[0] in wanted]
+        return {i for _, j in line_dedup.patience([x[0] for x in a], [x[0] for x in some]) for i in range(some[j][1], some[j][2] + 1)}
+
+    tried, rest = set(), {}
+    for key in parts:
         by_first = {}
-        for i in fit:
-            held.setdefault(lines[i], key)
-            if held[lines[i]] != key:
-                by_first.setdefault(held[lines[i]], []).append(i)
-        gone = set()
-        for first, places in by_first.items():
-            wanted = {lines[i] for i in places}
-            a = [x for x in first[2].split("\n") if x in wanted]
-            gone |= {places[j] for _, j in line_dedup.patience(a, [lines[i] for i in places])}
-        out[key] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+        for x in runs[key]:
+            if (first := min(holders[x[0]])) != key:
+                by_first.setdefault(first, []).append(x)
+        for first, some in by_first.items():
+            tried.add((key, first))
+            gone[key] |= align(key, first, some)
+        rest[key] = [x for some in by_first.values() for x in some]
+    n = 2
+    while True:
+        rest = {key: sorted((x for x in some if not set(range(x[1], x[2] + 1)) <= gone[key]), key=lambda x: x[1:])
+                for key, some in rest.items()}
+        rows_of = {key: [tuple(x[0] for x in runs[key][i:i + n]) for i in range(len(runs[key]) - n + 1)] for key in parts}
+        pairs = set()
+        for key, some in rest.items():
+            for x in some:
+                at = runs[key].index(x)
+                for i in (at, at - n + 1):
+                    if 0 <= i < len(rows_of[key]):
+                        first = min(k for k in parts if rows_of[key][i] in rows_of[k])
+                        pairs |= {(key, first)} if first != key else set()
+        if not pairs:
+            break
+        for key, first in pairs - tried:
+            shared = [x for x in rest[key] if any(x[0] == y[0] for y in runs[first])]
+            gone[key] |= align(key, first, shared)
+        tried |= pairs
+        n *= 2
+    out = {}
+    for key in order:
+        cut = line_dedup._with_blanks(lines[key], gone[key]) if short_lines and gone[key] else gone[key]
+        out[key] = "\n".join(x for i, x in enumerate(lines[key]) if i not in cut)
     return [(d, None if t is None else out[d is None, d or 0, t]) for d, t in rows]
 
 
@@ -75,3 +135,49 @@ def test_equals_brute_force(spark):
     assert kept.columns == docs.columns
     assert kept.where("doc_id = 200 OR doc_id IN (300, 301, 302)").count() == 4
     assert line_dedup.dedup(docs.limit(0)).collect() == []
+
+
+def shuffled_blocks(seed):
+    """Documents of blocks of short and long lines that stand in different orders."""
+    rng = random.Random(seed)
+    pool = [[" ".join(rng.choices("abcdefgh", k=rng.randint(1, 7))) for _ in range(rng.randint(1, 4))] for _ in range(12)]
+    rows = []
+    for i in range(50):
+        blocks = [list(rng.choice(pool)) for _ in range(rng.randint(1, 5))] + [[f"own {i} " + " ".join(rng.choices("xyz", k=rng.randint(1, 5)))]]
+        rng.shuffle(blocks)
+        rows.append((i, "\n".join(x for block in blocks for x in [*block, *[""] * rng.randint(0, 1)])))
+    rows += [(100 + i, rows[rng.randrange(50)][1]) for i in range(20)] + [(None, rows[0][1]), (7, rows[7][1]), (None, None), (150, "")]
+    rng.shuffle(rows)
+    return rows
+
+
+def test_short_lines_equal_brute_force(spark):
+    for seed in (1, 2):
+        rows = shuffled_blocks(seed)
+        docs = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA).repartition(5)
+        got = sorted([(r.doc_id, r.text) for r in line_dedup.dedup(docs, short_lines=True).collect()], key=repr)
+        assert got == sorted(brute(rows, short_lines=True), key=repr)
+
+
+def test_lines_in_crossing_order_meet_a_further_holder(spark):
+    x, y = "the first line has five words", "the second line has five too"
+    rows = [(1, f"{x}\n{y}"), (2, f"{y}\n{x}\nof its own"), (3, f"{y}\n{x}\nquite another")]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
+    got = {r.doc_id: r.text for r in line_dedup.dedup(docs).collect()}
+    assert got[1] == rows[0][1] and len(got[2].split("\n")) == 2 and got[3] == "quite another"
+
+
+def test_many_equal_lines(spark):
+    text = "\n".join(["this line stands here again and again"] * 20_000)
+    rows = [(1, text), (2, text + "\nand one more line of the second"), (3, text)]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
+    got = {r.doc_id: r.text for r in line_dedup.dedup(docs, short_lines=True).collect()}
+    assert got == {1: text, 2: "and one more line of the second", 3: ""}
+
+
+def test_clashing_names(spark):
+    text = "one two three four five"
+    docs = spark.createDataFrame([(1, text, 7, "a"), (2, text, 8, "b"), (3, "six", 9, "c")],
+                                 "doc_id long, text string, _doc_id int, places string")
+    docs = docs.withColumn("row", docs.doc_id).withColumn("doc", docs.doc_id)
+    assert sorted(line_dedup.keep(docs).collect()) == sorted(docs.where("doc_id <> 2").collect())
