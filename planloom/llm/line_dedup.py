@@ -106,9 +106,13 @@ def patience(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
     return sorted(aligned)
 
 
-def _order(doc_id: str, text_key: str):
+def _order_of(doc_id, text_key):
     """Sorts documents from early to late."""
-    return F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("doc_id"), F.col(text_key).alias("text_key"))
+    return F.struct(doc_id.isNull().alias("no_id"), doc_id.alias("doc_id"), text_key.alias("text_key"))
+
+
+def _order(doc_id: str, text_key: str):
+    return _order_of(F.col(doc_id), F.col(text_key))
 
 
 def runs_of(text: str | None, min_words: int = MIN_WORDS) -> list[tuple[bytes, int, int]]:
@@ -142,15 +146,17 @@ def _runs(min_words: int):
 
 def copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, n_lines): documents whose text, of ``min_words`` words or more, an earlier one has too."""
-    keyed = docs.where(F.size(words(F.col("text"))) >= min_words).select(
-        "doc_id", _key("text").alias("text_key"), F.md5("text").alias("digest"), F.size(F.split("text", "\n")).alias("n_lines"))
-    keyed = keyed.select(_order("doc_id", "text_key").alias("doc"), "digest", "n_lines")
-    firsts = keyed.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("latest")).where("first <> latest")
-    return keyed.join(firsts, "digest").where("doc <> first").select("doc", "n_lines").distinct()
+    enough = rf"^[ \x09-\x0D]*(?:[^ \x09-\x0D]+[ \x09-\x0D]+){{{min_words - 1}}}[^ \x09-\x0D]"
+    keyed = docs.where(F.col("text").rlike(enough)).select(
+        _order_of(F.col("doc_id"), _key("text")).alias("doc"), F.md5("text").alias("digest"), F.length("text").alias("n_chars"),
+        (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).alias("n_lines"))
+    firsts = keyed.groupBy("digest", "n_chars").agg(F.min("doc").alias("first"), F.max("doc").alias("latest")).where("first <> latest")
+    return cut_lineage(keyed.join(firsts, ["digest", "n_chars"]).where("doc <> first").select("doc", "n_lines").distinct())
 
 
-def shared_lines(docs: DataFrame, min_words: int = MIN_WORDS, short_lines: bool = False) -> DataFrame:
-    """(line, doc, place, last, first): every place (to the line ``last``) of lines or runs that several documents have.
+def shared_lines(docs: DataFrame, min_words: int = MIN_WORDS, short_lines: bool = False, without: DataFrame | None = None) -> DataFrame:
+    """(line, doc, place, last, first): every place (to the line ``last``) of lines or runs that several documents have,
+    not counting those that stand in ``without``.
 
     ``doc`` and ``first`` are structs that order documents. Written to the shared folder.
     """
@@ -163,8 +169,8 @@ def shared_lines(docs: DataFrame, min_words: int = MIN_WORDS, short_lines: bool
                  .where(F.size(words(F.col("text"))) >= min_words)
                  .select(F.unhex(F.md5("text")).alias("line"), _order("doc_id", "text_key").alias("doc"), "place",
                          F.col("place").alias("last")))
-    if short_lines:
-        lines = lines.join(copies(docs, min_words).select("doc"), "doc", "left_anti")
+    if without is not None:
+        lines = lines.join(without.select("doc"), "doc", "left_anti")
     firsts = cut_lineage(lines.groupBy("line").agg(F.min("doc").alias("first"), F.max("doc").alias("latest"))
                          .where("first <> latest").drop("latest"))
     return cut_lineage(lines.join(firsts, "line"))
@@ -228,7 +234,7 @@ def _rest(lines: DataFrame, aligned: DataFrame) -> DataFrame:
 def alignments(shared: DataFrame) -> DataFrame:
     """(doc, first, aligned): lines in each later document that are aligned with an earlier one."""
     late = shared.where("doc <> first")
-    early = shared.where("doc = first").groupBy("line").agg(_places().alias("early"))
+    early = cut_lineage(shared.where("doc = first").groupBy("line").agg(_places().alias("early")))
     found = cut_lineage(_align(late, early, ["line"]))
     rest = cut_lineage(_rest(late.select("doc", "line", "place", "last"), found))
     in_doc = Window.partitionBy("doc").orderBy("place", "last")
@@ -292,10 +298,11 @@ def _cut(short_lines: bool):
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, short_lines: bool = False) -> DataFrame:
     """``docs`` with texts cut, and _n_partners and _deleted (places of lines; null: none)."""
-    deleted = alignments(shared_lines(docs, min_words, short_lines)).groupBy("doc").agg(
+    whole = copies(docs, min_words) if short_lines else None
+    deleted = alignments(shared_lines(docs, min_words, short_lines, whole)).groupBy("doc").agg(
         F.count("*").alias("n_partners"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("aligned")))).alias("places"))
     if short_lines:
-        deleted = deleted.unionByName(copies(docs, min_words).select(
+        deleted = deleted.unionByName(whole.select(
             "doc", F.lit(1).cast("bigint").alias("n_partners"), F.sequence(F.lit(0), F.col("n_lines") - 1).alias("places")))
     same = F.col("row.doc_id").eqNullSafe(F.col("doc.doc_id")) & (_key("row.text") == F.col("doc.text_key"))
     cut = packed(docs).join(deleted, same, "left").select(
