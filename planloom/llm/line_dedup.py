@@ -36,6 +36,7 @@ from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -180,19 +181,11 @@ def _key(text: str):
     return F.xxhash64(text)
 
 
-def _places():
-    return F.collect_list(F.struct("place", "last"))
+_DOC = "struct<no_id:boolean,doc_id:bigint,text_key:bigint>"
 
 
-def _in_pandas(df: DataFrame, structs: list[str], others: list[str], fn, schema: str) -> DataFrame:
-    """``df.mapInPandas`` with the documents of ``structs`` taken apart, as a column with a null would turn into doubles."""
-    parts = [x.alias(f"{s}_{n}") for s in structs for n, x in (
-        ("no", F.col(f"{s}.no_id")), ("id", F.coalesce(f"{s}.doc_id", F.lit(0).cast("bigint"))), ("key", F.col(f"{s}.text_key")))]
-    kinds = ", ".join(f"{s}_no boolean, {s}_id bigint, {s}_key bigint" for s in structs)
-    made = df.select(*parts, *others).mapInPandas(fn, f"{kinds}, {schema}")
-    whole = [F.struct(F.col(f"{s}_no").alias("no_id"), F.when(~F.col(f"{s}_no"), F.col(f"{s}_id")).alias("doc_id"),
-                      F.col(f"{s}_key").alias("text_key")).alias(s) for s in structs]
-    return made.select(*whole, *[x.split()[0] for x in schema.split(", ")])
+def _places():
+    return F.collect_list(F.struct("place", "last"))
 
 
 def _align(late: DataFrame, early: DataFrame, on: list[str]) -> DataFrame:
@@ -201,17 +194,19 @@ def _align(late: DataFrame, early: DataFrame, on: list[str]) -> DataFrame:
     lines = late.groupBy("doc", "first", "line").agg(_places().alias("late")).join(early, on)
     pairs = lines.groupBy("doc", "first").agg(F.collect_list(F.struct("line", "late", "early")).alias("lines"))
 
-    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for lines in batch["lines"]:
-                side = lambda name: sorted((int(p["place"]), int(p["last"]), x["line"]) for x in lines for p in x[name])  # noqa: B023, E731
+            for row in batch["lines"]:  # one pair at a time becomes Python objects
+                lines = row.as_py()
+                side = lambda name: sorted((p["place"], p["last"], x["line"]) for x in lines for p in x[name])  # noqa: B023, E731
                 a, b = side("early"), side("late")
                 met = patience([x for *_, x in a], [x for *_, x in b])
                 found.append(sorted({i for _, j in met for i in range(b[j][0], b[j][1] + 1)}))
-            yield batch.drop(columns="lines").assign(aligned=found)
+            yield pa.RecordBatch.from_arrays([batch["doc"], batch["first"], pa.array(found, pa.list_(pa.int32()))],
+                                             names=["doc", "first", "aligned"])
 
-    return _in_pandas(pairs, ["doc", "first"], ["lines"], align, "aligned array<int>")
+    return pairs.mapInArrow(align, f"doc {_DOC}, first {_DOC}, aligned array<int>")
 
 
 def _rest(lines: DataFrame, aligned: DataFrame) -> DataFrame:
@@ -219,16 +214,20 @@ def _rest(lines: DataFrame, aligned: DataFrame) -> DataFrame:
     gone = aligned.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("aligned"))).alias("gone"))
     by_doc = lines.groupBy("doc").agg(F.collect_list(F.struct("line", "place", "last")).alias("lines")).join(gone, "doc", "left")
 
-    def left(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, rows = ["doc_no", "doc_id", "doc_key"], []
-            for *doc, lines, gone in zip(*(batch[x] for x in (*names, "lines", "gone"))):
-                gone = set() if gone is None else set(gone.tolist())
-                rows += [(*doc, x["line"], x["place"], x["last"]) for x in lines
-                         if not gone.issuperset(range(x["place"], x["last"] + 1))]
-            yield pd.DataFrame(rows, columns=[*names, "line", "place", "last"])
-
-    return _in_pandas(by_doc, ["doc"], ["lines", "gone"], left, "line binary, place int, last int")
+            at, rows = [], []
+            for i, (lines, gone) in enumerate(zip(batch["lines"], batch["gone"])):
+                gone = set(gone.as_py() or ())
+                some = [x for x in lines.as_py() if not gone.issuperset(range(x["place"], x["last"] + 1))]
+                at += [i] * len(some)
+                rows += some
+            kinds = (("line", pa.binary()), ("place", pa.int32()), ("last", pa.int32()))
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc"].take(pa.array(at, pa.int64())), *[pa.array([x[c] for x in rows], kind) for c, kind in kinds]],
+                names=["doc", "line", "place", "last"])
+
+    return by_doc.mapInArrow(left, f"doc {_DOC}, line binary, place int, last int")
 
 
 def alignments(shared: DataFrame) -> DataFrame:
