@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from planloom.llm.components import components
+from planloom.llm.shared import packed
 from planloom.session import cut_lineage
 
 SHINGLE = 3
@@ -128,11 +129,9 @@ def smallest_of_each(docs: DataFrame, rooted: DataFrame) -> DataFrame:
     text has the smaller hash.
     """
     at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    first = rooted.groupBy("root").agg(F.min(at).alias("at")).select(
-        F.col("at.doc_id").alias("_doc_id"), F.col("at.text_key").alias("_text_key"))
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    kept = keyed.join(first, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_key") == F.col("_text_key")))
-    return kept.dropDuplicates(["_doc_id", "_text_key"]).select(*docs.columns)
+    first = rooted.groupBy("root").agg(F.min(at).alias("at")).select("at")
+    same = F.col("row.doc_id").eqNullSafe(F.col("at.doc_id")) & (F.xxhash64("row.text") == F.col("at.text_key"))
+    return packed(docs).join(first, same).dropDuplicates(["at"]).select("row.*")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@ import itertools
 import random
 
 import corpus_pipeline
+import numpy as np
+import pytest
 
-from planloom.llm import near_copies
+from planloom.llm import near_copies, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -69,9 +71,41 @@ def test_stage_links_copies_with_a_few_edits(spark):
 
 def test_long_text_is_taken_in_blocks(monkeypatch):
     hashes = near_copies.hashes_of(" ".join(f"w{i % 977} v{i % 13}" for i in range(3000)))
-    whole = near_copies.bands_of(hashes)
+    whole, bits = near_copies.minima_of(hashes).tolist(), near_copies.fingerprint_of(hashes)
     monkeypatch.setattr(near_copies, "_BLOCK", 64)
-    assert near_copies.bands_of(hashes) == whole and len(whole) == near_copies.BANDS
+    assert near_copies.minima_of(hashes).tolist() == whole and near_copies.fingerprint_of(hashes) == bits
+    assert len(near_copies.bands_of(near_copies.minima_of(hashes))) == near_copies.BANDS
+
+
+def test_common_members_are_counted_in_pieces(monkeypatch):
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 200, rng.integers(1, 90))) for _ in range(20)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    for columns in (7, 64, 4096):
+        monkeypatch.setattr(near_copies, "_COLUMNS", columns)
+        assert near_copies._common(sets).tolist() == want
+
+
+@pytest.mark.parametrize("edits, whole", [(4, 1024), (5, 1024)])
+def test_one_large_group_of_near_copies(spark, monkeypatch, edits, whole):
+    # most pairs of the group are below the threshold, so each copy has few partners among many alike
+    monkeypatch.setattr(near_copies, "WHOLE", whole)
+    rng = random.Random(edits)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    rows = [(d, " ".join(edited(rng, base, edits))) for d in range(400)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], SCHEMA)
+    kept, want = near_copies.keep_one(docs).count(), len(brute(rows))
+    print("copies merged", 400 - kept, "of", 400 - want)
+    assert kept >= want and 400 - kept >= 0.9 * (400 - want)
+
+
+def test_clashing_names(spark):
+    rows = [(1, "a b c d e f g", 5), (2, "a b c d e f g", 6), (3, "x y z", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _doc_id long")
+    docs = docs.withColumn("_key", docs.text).withColumn("row", docs.doc_id).withColumn("at", docs.doc_id)
+    want = sorted(docs.where("doc_id <> 2").collect())
+    assert sorted(near_copies.keep_one(docs).collect()) == want
+    assert sorted(simhash.keep_one(docs).collect()) == want
 
 
 def test_empty(spark):
