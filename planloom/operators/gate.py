@@ -16,7 +16,7 @@ from planloom import constants as K
 from planloom.functions import flags as FL, geometry as G
 from planloom.operators.match import prefixed
 from planloom.operators.sizes import _advance, characters
-from planloom.operators.spatial import CELL, box_pairs, boxes_hit, with_cells
+from planloom.operators.spatial import CELL, box_pairs, boxes_hit, first_in_cells, first_near, levels_of
 from planloom.session import cut_lineage, join_small
 
 VIOLATION = ("sheet_id", "run_id", "rule", "kind", "message", "measured", "threshold", "correctable")
@@ -290,12 +290,10 @@ def place_clear(runs: DataFrame, occupied: DataFrame, cell: float = CELL) -> Dat
         reach = movers.select("sheet_id", "run_id", *[
             (F.least(a, b) - reach_by if i < 2 else F.greatest(a, b) + reach_by).alias(n)
             for i, (n, a, b) in enumerate(zip(G.BOX, pad, ink))])
-        celled = with_cells(reach, cell=cell, prefix="l")
-        first = celled.groupBy("sheet_id", "cx", "cy").agg(F.min("run_id").alias("first"))
-        ready = (celled.join(first, ["sheet_id", "cx", "cy"]).groupBy("sheet_id", "run_id")
-                 .agg(F.min("first").alias("first")).where(F.col("first") == F.col("run_id"))
-                 .select("sheet_id", "run_id"))
-        ready = cut_lineage(ready)
+        levels = levels_of(reach, cell=cell)
+        firsts = first_in_cells(reach, ["sheet_id"], "run_id", levels, cell=cell)
+        ready = cut_lineage(first_near(reach, ["sheet_id"], "run_id", firsts, levels, cell=cell)
+                            .where(F.col("first") == F.col("run_id")).select("sheet_id", "run_id"))
         moves = _best_moves(state, movers.join(ready, ["sheet_id", "run_id"], "left_semi"),
                             occupied, cell)
         better = F.coalesce(F.col("overlap") < F.col("hidden"), F.lit(False))

@@ -72,6 +72,24 @@ def _merge(t):
     return merge.merge_detections(t.detections).select("sheet_id", "det_idx", "text", "conf", "kept")
 
 
+#: All sheets side by side on so many boards: far beyond the limits of the folds at every scale.
+BOARDS, TILE, PER_ROW = 2, 16384.0, 64
+
+
+def _pinned(df):
+    """Boxes of each sheet on a tile of its own of a large board; their numbers are unique over all sheets."""
+    tile = F.floor(F.col("sheet_id") / BOARDS)
+    right, down = (tile % PER_ROW) * TILE, F.floor(tile / PER_ROW) * TILE
+    return df.withColumns({"x0": F.col("x0") + right, "x1": F.col("x1") + right, "y0": F.col("y0") + down, "y1": F.col("y1") + down,
+                           "board": F.col("sheet_id") % BOARDS})
+
+
+@query("merge_detections_dense", MERGE_SQL, ("detections",), recursive=True)
+def _merge_dense(t):
+    merged = merge.merge_detections(_pinned(t.detections), on=("board",))
+    return merged.select("sheet_id", "det_idx", "text", "conf", "kept")
+
+
 def match_steps(ties: str, truth: str = "truth", dets: str = "detections") -> str:
     order = "t.truth_idx, d.det_idx" if ties == "first" else "t.truth_idx DESC, d.det_idx DESC"
     return f"""
@@ -106,6 +124,13 @@ def _match(t):
     return match.match_one_to_one(t.truth, t.detections)
 
 
+@query("match_dense", f"WITH {match_steps('first').strip()} SELECT * FROM matches",
+       ("truth", "detections"), recursive=True)
+def _match_dense(t):
+    matched = match.match_one_to_one(_pinned(t.truth), _pinned(t.detections), on=("board",))
+    return matched.join(t.truth.select("sheet_id", "truth_idx"), "truth_idx").select("sheet_id", "truth_idx", "det_idx", "iou")
+
+
 @query("match_last_ties", f"WITH {match_steps('last').strip()} SELECT * FROM matches",
        ("truth", "detections"), recursive=True)
 def _match_last(t):

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from planloom.operators import merge, spatial
 from planloom.operators.match import match_one_to_one, missed_text
 from planloom.operators.merge import merge_detections
 from planloom.operators.ranking import rank_within
@@ -113,6 +114,57 @@ def test_merge_random_fold_and_rounds_agree_with_loop(spark):
         assert {(r.sheet_id, r.det_idx) for r in out.where("kept").collect()} == want
 
 
+def test_boxes_of_all_sizes_meet(spark):
+    rng = random.Random(23)
+    def boxes(n):
+        out = []
+        for i in range(n):
+            w, h = (10 ** rng.uniform(0, 6) for _ in "wh")
+            x, y = rng.uniform(-1e5, 1e5) / rng.choice([1, 100]), rng.uniform(-1e5, 1e5) / rng.choice([1, 100])
+            out.append((i % 3, i, x, y, x + w, y + h))
+        return out + [(0, n, -1e12, 0., 1e12, 1.), (1, n + 1, 128., 128., 256., 256.), (1, n + 2, 256., 128., 256., 300.)]
+    left, right = boxes(120), boxes(130)
+    bad = [(0, 900, float("nan"), 0., 1., 1.), (0, 901, 0., 0., float("inf"), 1.), (0, 902, None, 0., 1., 1.)]
+    a = spark.createDataFrame(left + bad, "s int, a int, x0 double, y0 double, x1 double, y1 double")
+    b = spark.createDataFrame(right + bad, "s int, b int, r0 double, r1 double, r2 double, r3 double")
+    rbox = ("r0", "r1", "r2", "r3")
+    for closed in (False, True):
+        meets = lambda p, q: (p[2] <= q[4] and q[2] <= p[4] and p[3] <= q[5] and q[3] <= p[5]) if closed else (  # noqa: B023, E731
+            p[2] < q[4] and q[2] < p[4] and p[3] < q[5] and q[3] < p[5])
+        want = sorted((p[0], p[1], q[1]) for p in left for q in right if p[0] == q[0] and meets(p, q))
+        got = spatial.box_pairs(a, b, ["s"], rbox, closed=closed)
+        assert sorted((r.s, r.a, r.b) for r in got.collect()) == want
+        hit = spatial.boxes_hit(a, b, ["s"], ["s", "a"], rbox, closed=closed)
+        assert sorted((r.s, r.a) for r in hit.collect()) == sorted({x[:2] for x in want})
+    listed = spatial.grid_cells(a, spatial.levels_of(a))
+    assert listed.groupBy("s", "a", "_lvl").count().agg({"count": "max"}).first()[0] <= 4
+    points = spark.createDataFrame([(s, i, rng.uniform(-2e5, 2e5), rng.uniform(-2e5, 2e5)) for i in range(200) for s in range(3)],
+                                   "s int, p int, x double, y double")
+    inside = sorted((r.s, r.p, q[1]) for r in points.collect() for q in right
+                    if r.s == q[0] and q[2] <= r.x <= q[4] and q[3] <= r.y <= q[5])
+    join = lambda how: spatial.points_join(points, b, ["s"], how, rbox).collect()
+    assert sorted((r.s, r.p, r.b) for r in join("inner")) == inside
+    held = {x[:2] for x in inside}
+    assert sorted((r.s, r.p) for r in join("left_semi")) == sorted(held)
+    assert len(join("left_anti")) == 600 - len(held) > 0
+
+
+def test_wide_box_adds_few_rounds(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = random_sheet(rng, 1, 150, 200)
+    wide = (1, 1000, "w", 0., 0., 100_000., 100_000., .9)
+    rounds = []
+    kept_pairs = merge.box_pairs
+    monkeypatch.setattr(merge, "box_pairs", lambda *a, **k: rounds.append(1) or kept_pairs(*a, **k))
+    took = []
+    for some in (rows, [*rows, wide]):
+        rounds.clear()
+        out = merge_detections(frame(spark, some), fold_limit=0)
+        assert {(r.sheet_id, r.det_idx) for r in out.where("kept").collect()} == slow_merge(some)
+        took.append(len(rounds))
+    assert took[1] <= took[0] + 4
+
+
 @pytest.mark.parametrize("ties", ["first", "last"])
 def test_match_random_fold_and_rounds_agree_with_loop(spark, ties):
     rng = random.Random(11)
