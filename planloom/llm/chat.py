@@ -7,9 +7,11 @@ others become messages of named users, and system messages stay. A message is wr
 
 and the loss mask holds the spans (characters, end exclusive) of the assistant's texts with their end mark.
 
-A dialogue is cut into parts of PART_TURNS messages, so one conversation may hold any share of the rows:
+A dialogue is written in parts of PART_TURNS messages, so one conversation may hold any share of the rows:
 messages are numbered by range partitioning and offsets, no task needs a whole conversation, and a
-part is a bounded group. A part is rendered for those who speak in it; for others its mask would be empty.
+part is a bounded group. Every part is rendered for every participant of the whole dialogue, also where the
+participant is silent in it, and the places of the mask run on from part to part. So the parts of a perspective,
+put together in order, are the dialogue as if it had been rendered at once.
 
 Defined results: messages go by (turn, role, hash of text), nulls first, so ties have an order; a null
 text is empty; a null role is a participant called "unknown"; messages of a null conv_id are one conversation;
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from planloom.session import cut_lineage, join_small
 
 PART_TURNS = 64
+#: Parts whose lengths are summed together first.
+BLOCK_PARTS = 1000
 SYSTEM = "system"
 END = "<|end|>"
 
@@ -78,13 +82,28 @@ def _rendered(perspective: Column, messages: Column) -> Column:
         F.array_join(acc["parts"], "").alias("text"), acc["length"].alias("n_chars"), acc["mask"].alias("mask")))
 
 
+def _offsets(lengths: DataFrame) -> DataFrame:
+    """(no_id, conv, assistant, part, offset): characters of a perspective before each part, by sums over blocks of parts."""
+    key = ["no_id", "conv", "assistant"]
+    before = lambda *more: Window.partitionBy(*key, *more).rowsBetween(Window.unboundedPreceding, -1)
+    sum_before = lambda name, window: F.coalesce(F.sum(name).over(window), F.lit(0).cast("bigint"))
+    blocks = lengths.withColumn("block", F.floor(F.col("part") / BLOCK_PARTS))
+    starts = blocks.groupBy(*key, "block").agg(F.sum("n_chars").alias("n")).select(
+        *key, "block", sum_before("n", before().orderBy("block")).alias("start"))
+    inside = blocks.withColumn("inside", sum_before("n_chars", before("block").orderBy("part")))
+    return inside.join(starts, [*key, "block"]).select(*key, "part", (F.col("start") + F.col("inside")).alias("offset"))
+
+
 def perspectives(messages: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
-    """(conv_id, part, assistant, text, n_chars, n_turns, mask) of every part and every participant in it."""
-    parts = numbered(messages).groupBy("conv_id", F.floor(F.col("n") / part_turns).alias("part")).agg(
+    """(conv_id, part, assistant, text, n_chars, n_turns, mask): every part of a dialogue for every participant of it."""
+    rows = numbered(messages).select(F.col("conv_id").isNull().alias("no_id"), F.coalesce("conv_id", F.lit(0).cast("bigint")).alias("conv"),
+                                     "speaker", "text", "n")
+    speakers = rows.where(F.col("speaker") != SYSTEM).select("no_id", "conv", F.col("speaker").alias("assistant")).distinct()
+    parts = rows.groupBy("no_id", "conv", F.floor(F.col("n") / part_turns).alias("part")).agg(
         F.sort_array(F.collect_list(F.struct("n", "speaker", "text"))).alias("messages"))
-    speakers = F.array_sort(F.array_distinct(F.transform("messages", lambda x: x["speaker"])))
-    seen = parts.select("conv_id", "part", "messages", F.explode_outer(
-        F.filter(speakers, lambda s: s != SYSTEM)).alias("assistant"))
-    made = seen.withColumn("made", F.when(F.col("assistant").isNotNull(), _rendered(F.col("assistant"), F.col("messages"))))
-    return made.select("conv_id", "part", "assistant", "made.text", "made.n_chars",
-                       F.size("messages").alias("n_turns"), "made.mask").where("assistant IS NOT NULL")
+    made = parts.join(cut_lineage(speakers), ["no_id", "conv"]).withColumn("made", _rendered(F.col("assistant"), F.col("messages")))
+    offsets = cut_lineage(_offsets(made.select("no_id", "conv", "assistant", "part", F.col("made.n_chars").cast("bigint").alias("n_chars"))))
+    moved = F.transform("made.mask", lambda x: F.struct((x["start"] + F.col("offset")).alias("start"), (x["end"] + F.col("offset")).alias("end")))
+    return made.join(offsets, ["no_id", "conv", "assistant", "part"]).select(
+        F.when(~F.col("no_id"), F.col("conv")).alias("conv_id"), "part", "assistant", "made.text", "made.n_chars",
+        F.size("messages").alias("n_turns"), moved.alias("mask"))

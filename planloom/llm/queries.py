@@ -187,18 +187,18 @@ WITH m AS (SELECT conv_id, coalesce(role, 'unknown') AS speaker, coalesce(text,
                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown')) - 1 AS n
            FROM conversations),
 p AS (SELECT *, n // 64 AS part FROM m),
-w AS (SELECT DISTINCT conv_id, part, speaker AS assistant FROM p WHERE speaker <> 'system'),
-t AS (SELECT w.conv_id, w.part, w.assistant, n, speaker = assistant AS own,
+w AS (SELECT DISTINCT conv_id, speaker AS assistant FROM p WHERE speaker <> 'system'),
+t AS (SELECT w.conv_id, p.part, w.assistant, n, speaker = assistant AS own,
              '<|' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = assistant THEN 'assistant'
                           ELSE 'user:' || replace(speaker, '<|', '<\|') END || '|>' AS head,
              replace(said, '<|', '<\|') || '<|end|>' AS body
-      FROM w JOIN p ON p.conv_id = w.conv_id AND p.part = w.part),
+      FROM w JOIN p ON p.conv_id = w.conv_id),
 s AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (
-                    PARTITION BY conv_id, part, assistant ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                    PARTITION BY conv_id, assistant ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
                 + length(head) AS start FROM t)
 SELECT conv_id, part::BIGINT AS part, assistant, string_agg(head || body || chr(10), '' ORDER BY n) AS text,
        sum(length(head) + length(body) + 1)::INT AS n_chars, count(*)::INT AS n_turns,
-       string_agg(start::BIGINT || '-' || (start + length(body))::BIGINT, ',' ORDER BY n) FILTER (own) AS mask
+       coalesce(string_agg(start::BIGINT || '-' || (start + length(body))::BIGINT, ',' ORDER BY n) FILTER (own), '') AS mask
 FROM s GROUP BY conv_id, part, assistant
 """
 
@@ -216,7 +216,8 @@ def op7_suffix_dedup(spark, sf_dir):
     n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
     return found.select(
         "doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length("_kept")).alias("n_removed"),
-        F.coalesce(F.size("_spans"), F.lit(0)).cast("long").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
+        F.coalesce(F.size("_spans"), F.lit(0)).cast("long").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"),
+        F.octet_length("_kept").cast("long").alias("kept_bytes"))
 
 
 FILL_MIDDLE_SQL = r"""

@@ -14,9 +14,10 @@ def brute(rows, part_turns):
     out = set()
     for conv, all_messages in by_conv.items():
         all_messages.sort(key=lambda m: m[:3])
-        for part in range(-(-len(all_messages) // part_turns)):
-            messages = all_messages[part * part_turns:(part + 1) * part_turns]
-            for who in {m[2] for m in messages} - {"system"}:
+        for who in {m[2] for m in all_messages} - {"system"}:
+            offset = 0
+            for part in range(-(-len(all_messages) // part_turns)):
+                messages = all_messages[part * part_turns:(part + 1) * part_turns]
                 text, mask = "", []
                 for *_, speaker, said in messages:
                     own = speaker == who
@@ -25,9 +26,10 @@ def brute(rows, part_turns):
                     start = len(text)
                     text += said.replace("<|", "<\\|") + "<|end|>"
                     if own:
-                        mask.append((start, len(text)))
+                        mask.append((offset + start, offset + len(text)))
                     text += "\n"
                 out.add((conv, part, who, text, len(text), len(messages), tuple(mask)))
+                offset += len(text)
     return out
 
 
@@ -51,5 +53,13 @@ def test_equals_brute_force(spark, part_turns):
     assert got == brute(rows, part_turns)
 
 
+def test_silent_participants_have_every_part(spark):
+    rows = [(1, 0, "system", "rules", "")] + [(1, t, "b" if t == 65 else "a", f"m{t}", "") for t in range(1, 130)]
+    got = result(chat.perspectives(spark.createDataFrame(rows, SCHEMA)))
+    assert got == brute(rows, 64)
+    assert sorted((r[1], r[2], r[5], len(r[6])) for r in got) == [
+        (0, "a", 64, 63), (0, "b", 64, 0), (1, "a", 64, 63), (1, "b", 64, 1), (2, "a", 2, 2), (2, "b", 2, 0)]
+
+
 def test_empty(spark):
     assert chat.perspectives(spark.createDataFrame([], SCHEMA)).collect() == []
