@@ -11,12 +11,12 @@ from planloom.operators.ranking import rank_within
 from planloom.operators.vocab import MAX_WORDS, Vocabulary
 
 TRUTH_SCHEMA = ("image string, dpi int, zoom double, width_px int, height_px int, runs array<struct<"
-                "text:string,bbox_px:array<double>,angle_deg:double,kind:string,cap_height_px:double>>")
+                "index:bigint,text:string,bbox_px:array<double>,angle_deg:double,kind:string,cap_height_px:double>>")
 LEXICON_SCHEMA = ("rooms array<string>, abbreviations map<string,string>, annotations array<string>")
 
 
 def read_truth(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
-    """One row per truth run; the position in the sheet's list is truth_idx.
+    """One row per truth run; truth_idx is the ``index`` written with it, or its position in the list without one.
 
     A file is one sheet (``one_per_file``), or has a sheet in each line, as
     ``write_truth`` leaves them.
@@ -26,7 +26,7 @@ def read_truth(spark: SparkSession, path: str, one_per_file: bool = True) -> Dat
                       F.posexplode("runs").alias("truth_idx", "r"))
     box = [F.col("r.bbox_px")[i].alias(n) for i, n in enumerate(G.BOX)]
     return runs.select("image", "dpi", "zoom", "width_px", "height_px",
-                       F.col("truth_idx").cast("long").alias("truth_idx"), F.col("r.text").alias("text"),
+                       F.coalesce("r.index", "truth_idx").alias("truth_idx"), F.col("r.text").alias("text"),
                        *box, F.col("r.angle_deg").alias("angle_deg"), F.col("r.kind").alias("kind"),
                        F.col("r.cap_height_px").alias("cap_height_px"))
 
@@ -75,15 +75,16 @@ def truth_payload(truth: DataFrame, sheets: DataFrame, part_runs: int = 10_000)
     """Nested payload per sheet: image, dpi, zoom (4 digits), size, runs[].
 
     A sheet with more than ``part_runs`` runs is written as several numbered
-    parts in run order, so no list grows with the data.
+    parts in run order, so no list grows with the data. Each run has its index
+    in the sheet, so parts may be read in any order.
     """
     numbered = rank_within(truth, ["sheet_id"], ["truth_idx"], "_n")
-    run = F.struct("truth_idx", "text", F.array(*[F.col(c) for c in G.BOX]).alias("bbox_px"), "angle_deg",
+    run = F.struct("_n", "text", F.array(*[F.col(c) for c in G.BOX]).alias("bbox_px"), "angle_deg",
                    "kind", "cap_height_px")
     parts = (numbered.withColumn("part", F.floor((F.col("_n") - 1) / part_runs))
              .groupBy("sheet_id", "part").agg(F.array_sort(F.collect_list(run)).alias("_runs")))
     runs = F.transform("_runs", lambda r: F.struct(
-        r["text"].alias("text"), r["bbox_px"].alias("bbox_px"), r["angle_deg"].alias("angle_deg"),
+        (r["_n"] - 1).alias("index"), r["text"].alias("text"), r["bbox_px"].alias("bbox_px"), r["angle_deg"].alias("angle_deg"),
         r["kind"].alias("kind"), r["cap_height_px"].alias("cap_height_px")))
     return (sheets.withColumn("zoom", F.bround("zoom", 4)).join(parts, "sheet_id", "left")
             .withColumn("runs", runs).withColumn("part", F.coalesce("part", F.lit(0).cast("long")))

@@ -301,11 +301,14 @@ def _snap(t):
         F.round(s["confidence"], 9).alias("confidence"), s["warning"].isNotNull().alias("warned"))
 
 
-@query("snap_text_weighted")
-def _snap_weighted(t):
+@query("snap_text_open", f"""WITH {S.snap_steps('raw_labels', 'raw').strip()}
+SELECT sheet_id, det_idx, raw, text_out AS text, kind, changed, ROUND(confidence, 9) AS confidence, warned FROM snapped""", ("raw_labels", "rooms"))
+def _snap_open(t):
+    """The vocabulary as a table, joined with the different heads."""
     s = F.col("snap")
-    return vocab.snap_text(t.raw_labels, "raw", scorer="weighted").select(
-        *ID, "raw", s["text"].alias("text"), s["kind"].alias("kind"), s["confidence"].alias("confidence"))
+    return vocab.snap_text(t.raw_labels, "raw", words=t.rooms.select("ord", "word")).select(
+        *ID, "raw", s["text"].alias("text"), s["kind"].alias("kind"), s["changed"].alias("changed"),
+        F.round(s["confidence"], 9).alias("confidence"), s["warning"].isNotNull().alias("warned"))
 
 
 TRIAGE = f"""WITH labelled AS (SELECT d.sheet_id, d.det_idx, d.x0, d.y0, d.x1, d.y1, d.conf, l.raw AS label FROM detections AS d

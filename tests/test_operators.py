@@ -179,6 +179,12 @@ def test_truth_round_trip(spark, tmp_path):
     truth.write_truth(truth.truth_payload(runs, sheets), str(tmp_path / "out"))
     back = spark.read.json(str(tmp_path / "out")).first()
     assert back.zoom == 2.0833 and [r.text for r in back.runs] == ["Køkken", "3200"]
+    many = spark.range(25).select(F.lit(1).alias("sheet_id"), (F.col("id") * 7).alias("truth_idx"), F.lit("t").alias("text"), *[
+        F.col("id").cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")], F.lit(0.0).alias("angle_deg"), F.lit("room").alias("kind"),
+        F.lit(1.0).alias("cap_height_px"))
+    truth.write_truth(truth.truth_payload(many, sheets, part_runs=10), str(tmp_path / "parts"))
+    again = truth.read_truth(spark, str(tmp_path / "parts"), one_per_file=False)
+    assert sorted((r.truth_idx, r.x0) for r in again.collect()) == [(i, float(i)) for i in range(25)]
     lex = {"rooms": ["Stue"], "abbreviations": {"St": "Stue"}, "annotations": ["T"]}
     (tmp_path / "lex.json").write_text(json.dumps(lex), encoding="utf-8")
     v = truth.read_lexicon(spark, str(tmp_path / "lex.json"))

@@ -14,7 +14,7 @@ def test_registry():
     assert set(ORACLES) <= set(entry.queries())
     names = set(entry.workload.queries())
     assert len(names) > 120
-    assert names - set(ORACLES) == {"snap_text_weighted", "place_clear"}
+    assert names - set(ORACLES) == {"place_clear"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

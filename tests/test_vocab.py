@@ -1,11 +1,14 @@
-"""Vocabulary cases, folding and the weighted similarity."""
+"""Vocabulary cases, folding and vocabularies as tables."""
+
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from planloom.functions import fuzzy, text as T
+from planloom import constants as K
+from planloom.functions import text as T
 from planloom.operators.detect import triage_runs
-from planloom.operators.vocab import snap_text
+from planloom.operators.vocab import Vocabulary, nearest_words, snap_text
 
 CASES = {
     "Kokken": ("Køkken", "room"), "Vaer.": ("Vær.", "room"), "Vaer. 1": ("Vær. 1", "room"),
@@ -21,10 +24,11 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("scorer", [T.similarity, "weighted"])
-def test_snap_cases(spark, scorer):
+@pytest.mark.parametrize("as_table", [False, True])
+def test_snap_cases(spark, as_table):
     df = spark.createDataFrame([(k, 0.99) for k in CASES], "text string, conf double")
-    got = {r.text: (r.snap.text, r.snap.kind) for r in snap_text(df, scorer=scorer).collect()}
+    words = spark.createDataFrame(list(enumerate(K.ROOMS)), "ord int, word string") if as_table else None
+    got = {r.text: (r.snap.text, r.snap.kind) for r in snap_text(df, words=words).collect()}
     assert got == CASES
 
 
@@ -44,12 +48,43 @@ def test_fold_matches_plain_python(spark):
         assert r.f == T.fold_word(r.w), r.w
 
 
-def test_weighted_ratio():
-    assert fuzzy.weighted_ratio("bad", "bad") == 100
-    assert fuzzy.lcs_ratio("abcd", "abxd") == 75
-    assert fuzzy.window_ratio("bad", "xx bad yy") == 100
-    assert fuzzy.weighted_ratio("qzxwv", "stue") < 82
-    assert fuzzy.weighted_ratio("", "stue") == 0
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_nearest_words_equal_brute_force(spark):
+    rng = random.Random(17)
+    words = ["".join(rng.choices("abcde", k=rng.randint(1, 14))) for _ in range(150)]
+    heads = ["".join(rng.choices("abcde", k=rng.randint(1, 14))) for _ in range(60)]
+    for w in words[:90]:
+        w = list(w)
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(w) + 1)
+            w[at:at + rng.randint(0, 1)] = rng.choice(["", "x", "a"])
+        heads.append("".join(w) or "e")
+    want = {}
+    for h in set(heads):
+        score, order = max((100.0 * (1.0 - distance(h, w) / max(len(h), len(w))), -i) for i, w in enumerate(words))
+        if score >= 70:
+            want[h] = (round(score, 6), words[-order])
+    table = spark.createDataFrame([(i, w, w) for i, w in enumerate(words)], "ord int, word string, folded string")
+    got = nearest_words(spark.createDataFrame([(h,) for h in heads], "fold string"), table).collect()
+    assert {r.fold: (round(r.best.score, 6), r.best.word) for r in got} == want and len(want) > 60
+
+
+def test_vocabulary_beyond_the_limit_of_literals(spark):
+    words = [f"rum {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}q" for i in range(6000)]
+    with pytest.raises(ValueError):
+        Vocabulary(rooms=tuple(words))
+    df = spark.createDataFrame([(words[5000], .9), (words[17].upper(), .9), (words[99] + "xx", .9)], "text string, conf double")
+    table = spark.createDataFrame(list(enumerate(words)), "ord int, word string")
+    got = {r.text: r.snap for r in snap_text(df, words=table).collect()}
+    assert [got[t].kind for t in got] == ["room"] * 3 and got[words[17].upper()].text == words[17]
 
 
 def test_triage_order(spark):
