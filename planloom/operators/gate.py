@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from planloom import constants as K
 from planloom.functions import flags as FL, geometry as G
 from planloom.operators.match import prefixed
-from planloom.operators.sizes import _advance, characters
+from planloom.operators.sizes import characters, glyphs_of
 from planloom.operators.spatial import CELL, box_pairs, boxes_hit, first_in_cells, first_near, levels_of
 from planloom.session import cut_lineage, join_small
 
@@ -124,11 +124,27 @@ class GateTables:
     fixed_violations: list[DataFrame] = field(default_factory=list)
 
 
-def missing_glyphs(text: Column, advances: Column) -> Column:
-    """Sorted distinct non-space characters the font has no glyph for."""
-    lacking = F.filter(F.array_distinct(characters(text)), lambda c: ~c.rlike(r"(?U)^\s$")
-                       & _advance(advances, c).isNull())
-    return F.array_join(F.array_sort(lacking), "")
+def needed_characters(texts: DataFrame) -> DataFrame:
+    """``texts`` with one row for each different character, but for white space, of the column ``text``."""
+    each = texts.withColumn("char", F.explode(F.array_distinct(characters(F.col("text")))))
+    return each.where(~F.col("char").rlike(r"(?U)^\s$")).withColumn("cp", F.ascii("char"))
+
+
+def missing_glyphs(runs: DataFrame, fonts: DataFrame) -> DataFrame:
+    """(font, text, missing) of each different font and text: the sorted characters that the font has no glyph for.
+
+    Only different texts are taken apart, and looked up in the dictionary of glyphs.
+    """
+    texts = runs.select("font", "text").distinct()
+    lacking = needed_characters(texts).join(glyphs_of(fonts), ["font", "cp"], "left_anti")
+    return lacking.groupBy("font", "text").agg(F.array_join(F.array_sort(F.collect_set("char")), "").alias("missing"))
+
+
+def with_missing(runs: DataFrame, fonts: DataFrame, name: str) -> DataFrame:
+    """``runs`` with ``name``: what ``missing_glyphs`` has for a run, empty where nothing is missing."""
+    found = missing_glyphs(runs, fonts).select(F.col("font").alias("_font"), F.col("text").alias("_text"), F.col("missing").alias(name))
+    same = F.col("font").eqNullSafe(F.col("_font")) & (F.col("text") == F.col("_text"))
+    return join_small(runs, found, same, "left").drop("_font", "_text").withColumn(name, F.coalesce(name, F.lit("")))
 
 
 def check_text_fidelity(t: GateTables) -> DataFrame:
@@ -140,9 +156,7 @@ def check_text_fidelity(t: GateTables) -> DataFrame:
         "'%s' is drawn at %.0f%% of its measured height.", F.col("text"), F.col("_r") * 100),
         F.col("_r"), F.when(F.col("_r") < lo, lo).otherwise(hi), False)
     if t.fonts is not None:
-        bare = (join_small(t.runs, t.fonts, "font", "left")
-                .withColumn("_m", missing_glyphs(F.col("text"), F.col("advances")))
-                .where(F.col("_m") != ""))
+        bare = with_missing(t.runs, t.fonts, "_m").where(F.col("_m") != "")
         out = out.unionByName(violation(bare, "text-fidelity", "font-coverage", F.format_string(
             "'%s' has no glyph for '%s' in %s.", F.col("text"), F.col("_m"), F.col("font")),
             F.lit(0.0), F.lit(1.0), True))
@@ -190,22 +204,26 @@ def pick_font(runs: DataFrame, candidates: DataFrame, fonts: DataFrame) -> DataF
     """Add ``new_font``: first available candidate with every character.
 
     ``candidates`` (bold, font, priority) lists the choices for regular and
-    bold runs. There is one packed row per value of ``bold``, so this is a
-    join on a flag, without exploding characters or fonts.
+    bold runs. A font fits a text if it has as many of the text's different characters as the
+    text has; that is counted once for each different text.
     """
-    packed = (candidates.join(fonts, "font")
-              .groupBy("bold").agg(F.array_sort(F.collect_list(
-                  F.struct("priority", "font", "advances"))).alias("choices")))
-    fitting = F.filter("choices", lambda c: F.forall(
-        F.filter(characters(F.col("text")), lambda ch: ~ch.rlike(r"(?U)^\s$")),
-        lambda ch: _advance(c["advances"], ch).isNotNull()))
-    return (join_small(runs, packed, "bold", "left")
-            .withColumn("new_font", F.get(fitting, F.lit(0))["font"]).drop("choices"))
+    glyphs = glyphs_of(fonts)
+    choices = candidates.join(glyphs.select("font").distinct(), "font", "left_semi")
+    texts = runs.select("bold", "text").distinct()
+    needed = needed_characters(texts)
+    sizes = needed.groupBy("bold", "text").agg(F.count("*").alias("n"))
+    covered = (needed.join(choices, "bold").join(glyphs.select("font", "cp"), ["font", "cp"])
+               .groupBy("bold", "text", "font", "priority").agg(F.count("*").alias("n")))
+    # a text of white space fits any font
+    blank = texts.join(sizes, ["bold", "text"], "left_anti").join(choices, "bold").select("bold", "text", "font", "priority")
+    fitting = covered.join(sizes, ["bold", "text", "n"]).select("bold", "text", "font", "priority").unionByName(blank)
+    best = fitting.groupBy("bold", "text").agg(F.min(F.struct("priority", "font")).alias("best")).select(
+        "bold", "text", F.col("best.font").alias("new_font"))
+    return join_small(runs, best, ["bold", "text"], "left").select(*runs.columns, "new_font")
 
 
 def swap_fonts(t: GateTables) -> DataFrame:
-    runs = join_small(t.runs, t.fonts.select("font", "advances"), "font", "left")
-    runs = runs.withColumn("_bare", missing_glyphs(F.col("text"), F.col("advances")) != "").drop("advances")
+    runs = with_missing(t.runs, t.fonts, "_missing").withColumn("_bare", F.col("_missing") != "").drop("_missing")
     chosen = pick_font(runs, t.candidates, t.fonts)
     return (chosen.withColumn("font", F.when(
         F.col("_bare") & F.col("new_font").isNotNull(), F.col("new_font")).otherwise(F.col("font")))

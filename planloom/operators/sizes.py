@@ -25,6 +25,13 @@ def font_tables(glyphs: DataFrame) -> DataFrame:
     return packed.select("font", F.transform("a", lambda g: g["em"]).alias("advances"))
 
 
+def glyphs_of(fonts: DataFrame) -> DataFrame:
+    """(font, cp, em) of the glyphs that fonts have, from such a table or from ``font_tables``."""
+    if "advances" not in fonts.columns:
+        return fonts.select("font", F.col("cp").cast("int").alias("cp"), "em")
+    return fonts.select("font", F.posexplode("advances").alias("cp", "em")).where("em IS NOT NULL")
+
+
 def characters(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 

@@ -166,9 +166,7 @@ MISSING = """bare AS (SELECT s.sheet_id, s.run_id, STRING_AGG(DISTINCT ch, '' OR
 
 @query("missing_glyphs", f"WITH {MISSING} SELECT * FROM bare", ("styled", "glyphs"))
 def _missing(t):
-    df = join_small(t.styled, sizes.font_tables(t.glyphs), "font", "left")
-    return (df.withColumn("missing", gate.missing_glyphs(F.col("text"), F.col("advances")))
-            .where(F.col("missing") != "").select(*ID, "missing"))
+    return gate.with_missing(t.styled, t.glyphs, "missing").where(F.col("missing") != "").select(*ID, "missing")
 
 
 PICKED = """picked AS (SELECT sheet_id, run_id, new_font FROM (
@@ -181,15 +179,14 @@ PICKED = """picked AS (SELECT sheet_id, run_id, new_font FROM (
 @query("pick_font", f"""WITH {PICKED} SELECT s.sheet_id, s.run_id, p.new_font FROM styled AS s
 LEFT JOIN picked AS p ON p.sheet_id = s.sheet_id AND p.run_id = s.run_id""", ("styled", "glyphs", "font_choices"))
 def _pick(t):
-    return gate.pick_font(t.styled, t.font_choices, sizes.font_tables(t.glyphs)).select(*ID, "new_font")
+    return gate.pick_font(t.styled, t.font_choices, t.glyphs).select(*ID, "new_font")
 
 
 def gate_tables(t, fonts=True):
     flags = t.run_flags.where(F.col("severity") != "error").groupBy(*ID).agg(F.array_sort(F.collect_list(
         F.struct("code", "message", "severity"))).alias("flags"))
     runs = t.styled.join(flags, ID, "left").withColumn("flags", F.coalesce("flags", FL.no_flags()))
-    packed = sizes.font_tables(t.glyphs) if fonts else None
-    return gate.GateTables(runs, packed, t.font_choices if fonts else None)
+    return gate.GateTables(runs, t.glyphs if fonts else None, t.font_choices if fonts else None)
 
 
 VIOLATIONS = MISSING + """,

@@ -281,3 +281,16 @@ def test_hidden_share_counts_crossing_rectangles_once(spark):
     got = {(r.sheet_id, r.run_id): r.overlap for r in gate.hidden_share(boxes, occupied, ["run_id"]).collect()}
     cells = sum(any(a <= x < b and c <= y < d for _, a, b, c, d in many) for x in range(10) for y in range(10))
     assert got[1, 1] == 0 and abs(got[1, 0] - 0.52) < 1e-9 and abs(got[2, 0] - cells / 100) < 1e-9
+
+
+def test_fonts_fit_by_their_different_characters(spark):
+    glyphs = spark.createDataFrame([("A", ord(c), 0.5) for c in "abc￿"] + [("B", ord(c), 0.5) for c in "abcd"], "font string, cp int, em double")
+    choices = spark.createDataFrame([(False, "none", 0), (False, "A", 1), (False, "B", 2), (True, "B", 1)], "bold boolean, font string, priority int")
+    rows = [(0, "abba", False, "A"), (1, "a d", False, "A"), (2, "  ", False, "A"), (3, "xyz", False, "B"), (4, "a￿", False, "B"),
+            (5, "abc", True, "A"), (6, "", True, "no"), (7, "a", None, None)]
+    runs = spark.createDataFrame(rows, "run_id int, text string, bold boolean, font string")
+    for fonts in (glyphs, sizes.font_tables(glyphs)):
+        picked = {r.run_id: r.new_font for r in gate.pick_font(runs, choices, fonts).collect()}
+        assert picked == {0: "A", 1: "B", 2: "A", 3: None, 4: "A", 5: "B", 6: "B", 7: None}
+        missing = {r.run_id: r.m for r in gate.with_missing(runs, fonts, "m").collect()}
+        assert missing == {0: "", 1: "d", 2: "", 3: "xyz", 4: "￿", 5: "", 6: "", 7: "a"}
