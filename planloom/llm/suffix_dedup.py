@@ -18,7 +18,7 @@ are sorted and merged across shards by binary search.
 Hashes of 64 bits choose anchors and tell contexts of one anchor apart; inside blocks, bytes are compared.
 
 Defined results: a null text is empty; texts shorter than ``window`` are kept; repeated rows remove each other's
-bytes; null doc_ids are documents like others. Other columns are kept.
+bytes; null doc_ids are documents like others. Other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from planloom.llm import suffixes
-from planloom.llm.shared import written
+from planloom.llm.shared import packed, written
 from planloom.session import cut_lineage, join_small
 
 WINDOW = 400
@@ -251,10 +251,11 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_context
     """
     spans = repeated_spans(docs, window, gram, shard_contexts).groupBy(*KEY).agg(
         F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_found"))
-    spans = spans.select(*[F.col(c).alias(f"_{c}") for c in KEY], "_found")
-    own = (F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.xxhash64("text"))
-    same = [value == F.col(f"_{c}") for value, c in zip(own, KEY)]
-    joined = docs.join(spans, same[0] & same[1] & same[2], "left")
-    whole = F.coalesce("text", F.lit("")).cast("binary")
+    spans = spans.select(F.struct(*KEY).alias("place"), "_found")
+    text = F.col("row.text")
+    own = (F.col("row.doc_id").isNull(), F.coalesce("row.doc_id", F.lit(0)), F.xxhash64(text))
+    same = [value == F.col(f"place.{c}") for value, c in zip(own, KEY)]
+    joined = packed(docs).join(spans, same[0] & same[1] & same[2], "left")
+    whole = F.coalesce(text, F.lit("")).cast("binary")
     cut = joined.withColumn("_cut", _cut(F.when(F.col("_found").isNotNull(), whole), "_found"))
-    return cut.select(*docs.columns, F.col("_cut.spans").alias("_spans"), F.coalesce("_cut.kept", whole).alias("_kept"))
+    return cut.select("row.*", F.col("_cut.spans").alias("_spans"), F.coalesce("_cut.kept", whole).alias("_kept"))

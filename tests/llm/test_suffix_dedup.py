@@ -88,3 +88,11 @@ def test_equals_brute_force(spark, monkeypatch, block, shard):
 
 def test_empty(spark):
     assert suffix_dedup.dedup(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_clashing_names(spark):
+    rows = [(1, "abcdefgh" * 3, 7), (2, "xx" + "abcdefgh" * 3, 8), (None, "q", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _doc_id int")
+    docs = docs.withColumn("row", docs.doc_id).withColumn("place", docs.text).withColumn("_found", docs.doc_id)
+    out = suffix_dedup.dedup(docs, window=20, gram=6).drop("_spans", "_kept")
+    assert out.columns == docs.columns and sorted(map(repr, out.collect())) == sorted(map(repr, docs.collect()))
