@@ -279,7 +279,9 @@ def read(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFra
     source = pages.where("record_type = 'response'").select(
         F.col("origin_id").alias("refers_to"), F.col("page_id").alias("r_page_id"), F.col("payload").alias("r_payload"),
         F.col("payload_bytes").alias("r_bytes"), F.col("payload_digest").alias("r_digest"))
-    joined = pages.join(source, "refers_to", "left")
+    # only revisits are joined: all the others have no response to look for, and would meet under one empty key
+    asks = F.coalesce((F.col("record_type") == "revisit") & F.col("refers_to").isNotNull(), F.lit(False))
+    joined = pages.where(asks).join(source, "refers_to", "left").unionByName(pages.where(~asks), allowMissingColumns=True)
     revisit = F.col("record_type") == "revisit"
     lost = revisit & ~F.coalesce(F.col("r_digest") == F.col("stated_digest"), F.lit(False))
     return joined.select(
