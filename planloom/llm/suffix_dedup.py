@@ -11,9 +11,12 @@ contexts, each of which is fetched once.
 
 Shards. Contexts are dealt out by anchor. A task puts contexts together to blocks of BLOCK_BYTES, sorts the
 suffixes of each (Larsson-Sadakane), and takes the common prefixes of neighbours (Kasai): windows whose
-neighbour shares ``window`` bytes are repeated. An anchor with more than SHARD_CONTEXTS different contexts
-is dealt out to several shards; these also give the digests (128 bits) of their windows, each once, which
-are sorted and merged across shards by binary search.
+neighbour shares ``window`` bytes are repeated. The contexts of an anchor with more than SHARD_CONTEXTS different ones
+are dealt anew, by longer strings: the windows of a context are cut into blocks by their distance from the anchor, and the
+core of a block, the bytes that all its windows have, names the new shard. Equal windows have equal distances and
+equal cores. Sorted cores of all shards are merged by binary search: a block whose core stands in one context
+only has no repeated window and goes; blocks that are still too many for one shard are cut further, down to single
+windows, whose core is the window.
 
 Hashes of 64 bits choose anchors and tell contexts of one anchor apart; inside blocks, bytes are compared.
 
@@ -34,12 +37,12 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 
 from planloom.llm import suffixes
 from planloom.llm.shared import packed, written
-from planloom.session import cut_lineage, join_small
+from planloom.session import cut_lineage
 
 WINDOW = 400
 GRAM = 128
 BLOCK_BYTES = 1_500_000
-SHARD_CONTEXTS = 2_000
+SHARD_CONTEXTS = 500
 
 _SPAN = StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])
 _CUT = StructType([StructField("spans", ArrayType(_SPAN)), StructField("kept", BinaryType())])
@@ -53,35 +56,38 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def contexts(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """KEY, anchor, context (its hash), first, last: the windows of each place of an anchor in each document."""
+    """KEY, anchor, context (its hash), first, last, reach: the windows of each place of an anchor in each document.
+
+    ``reach`` is how far the anchor lies behind the first window.
+    """
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         digest = xxhash.xxh64_intdigest
         for batch in batches:
             found, rows, hashes = [], [], []
             for row, text in enumerate(batch["bytes"]):
-                anchor, _, first, last = suffixes.anchors(np.frombuffer(text, np.uint8), window, gram)
+                anchor, place, first, last = suffixes.anchors(np.frombuffer(text, np.uint8), window, gram)
                 if len(anchor):
-                    found.append((anchor, first, last))
+                    found.append((anchor, first, last, place - first))
                     rows.append((row, len(anchor)))
                     hashes += [digest(text[a:b + window]) for a, b in zip(first.tolist(), last.tolist())]
             if not rows:
                 continue
             at = np.repeat([r for r, _ in rows], [n for _, n in rows])
             made = batch[KEY].iloc[at].reset_index(drop=True)
-            made["anchor"] = np.concatenate([x for x, _, _ in found]).view(np.int64)
+            made["anchor"] = np.concatenate([x[0] for x in found]).view(np.int64)
             made["context"] = np.array(hashes, np.uint64).view(np.int64)
-            made["first"] = np.concatenate([x for _, x, _ in found])
-            made["last"] = np.concatenate([x for _, _, x in found])
+            for n, name in enumerate(("first", "last", "reach"), 1):
+                made[name] = np.concatenate([x[n] for x in found])
             yield made
 
-    kind = "no_id boolean, doc_id long, text_key long, anchor long, context long, first int, last int"
+    kind = "no_id boolean, doc_id long, text_key long, anchor long, context long, first int, last int, reach int"
     return _keyed(docs).where(F.octet_length("bytes") >= window).mapInPandas(find, kind)
 
 
 def fetched(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """(anchor, shard, n_shards, context, n, bytes) of ``wanted``: KEY, first, last and the same columns."""
-    names = ["anchor", "shard", "n_shards", "context", "n"]
+    """(anchor, context, n, reach, hot, bytes) of ``wanted``: KEY, first, last and the same columns."""
+    names = ["anchor", "context", "n", "reach", "hot"]
     by_doc = wanted.groupBy(*KEY).agg(F.collect_list(F.struct("first", "last", *names)).alias("wanted"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,7 +97,7 @@ def fetched(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
             yield pd.DataFrame(rows, columns=[*names, "bytes"])
 
     return _keyed(docs).join(by_doc, KEY).select("bytes", "wanted").mapInPandas(
-        cut, "anchor long, shard int, n_shards int, context long, n long, bytes binary")
+        cut, "anchor long, context long, n long, reach int, hot boolean, bytes binary")
 
 
 def repeated_starts(parts: list[bytes], counts: list[int], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,81 +129,125 @@ def _runs(part: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(([0], ends[:-1] + 1)), ends
 
 
-_FOUND = "anchor long, context long, from_start int, to_start int, lane0 long, lane1 long"
+_FOUND = "anchor long, context long, from_start int, to_start int"
 
 
 def _judge_block(rows: list[tuple], window: int) -> pd.DataFrame:
-    """Repeated runs of starts, and digests of windows whose anchor has other shards."""
-    anchor, n_shards, context, n, parts = map(list, zip(*rows))
+    """Repeated runs of starts."""
+    anchor, context, offset, n, parts = map(list, zip(*rows))
     part, start, group = repeated_starts(parts, n, window)
     again = (group >= 0) | (np.array(n)[part] > 1)
-    hit_part, hit_start = part[again], start[again]
-    tables = []
-    if len(hit_part):
-        a, b = _runs(hit_part, hit_start)
-        tables.append((hit_part[a], hit_start[a], hit_start[b], None, None))
-    shared = np.array(n_shards)[part] > 1
-    if shared.any():
-        # one window of each group stands for it
-        _, lead = np.unique(np.where(group >= 0, group, -2 - np.arange(len(group))), return_index=True)
-        pick = lead[shared[lead]]
-        lanes = []
-        for lane in (0, 1):
-            by_part = {p: suffixes.window_hashes(np.frombuffer(parts[p], np.uint8), window, lane).view(np.int64)
-                       for p in np.unique(part[pick]).tolist()}
-            lanes.append(np.array([by_part[p][s] for p, s in zip(part[pick].tolist(), start[pick].tolist())], np.int64))
-        tables.append((part[pick], start[pick], start[pick], *lanes))
-    made = [pd.DataFrame({
-        "anchor": np.array(anchor, np.int64)[p], "context": np.array(context, np.int64)[p], "from_start": a, "to_start": b,
-        "lane0": pd.array(x if x is not None else [None] * len(p), "Int64"),
-        "lane1": pd.array(y if y is not None else [None] * len(p), "Int64")}) for p, a, b, x, y in tables]
-    return pd.concat(made) if made else pd.DataFrame(columns=[c.split()[0] for c in _FOUND.split(", ")])
+    part, start = part[again], start[again]
+    if not len(part):
+        return pd.DataFrame(columns=[c.split()[0] for c in _FOUND.split(", ")])
+    a, b = _runs(part, start)
+    p, shift = part[a], np.array(offset, np.int64)[part[a]]
+    return pd.DataFrame({"anchor": np.array(anchor, np.int64)[p], "context": np.array(context, np.int64)[p],
+                         "from_start": start[a] + shift, "to_start": start[b] + shift})
 
 
 def _judged(dealt: DataFrame, window: int) -> DataFrame:
+    """Runs of repeated windows within the shards of ``dealt`` (shard, anchor, context, offset, n, bytes)."""
+
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block: list[tuple] = []
         size, last = 0, None
         for batch in batches:
-            for row in zip(*[batch[c].tolist() for c in ("anchor", "shard", "n_shards", "context", "n", "bytes")]):
-                if last and row[:2] != last[:2] and size >= BLOCK_BYTES:
+            for row in zip(*[batch[c].tolist() for c in ("shard", "anchor", "context", "offset", "n", "bytes")]):
+                if last and row[0] != last[0] and size >= BLOCK_BYTES:
                     yield _judge_block(block, window)
                     block, size, last = [], 0, None
-                if last is None or (row[:2], row[3]) != (last[:2], last[3]):  # repeated rows fetch a context twice
-                    block.append((row[0], row[2], row[3], row[4], bytes(row[5])))
+                if last is None or row[:4] != last[:4]:  # repeated rows fetch a context twice
+                    block.append((*row[1:5], bytes(row[5])))
                     size += len(row[5])
                 last = row
         if block:
             yield _judge_block(block, window)
 
-    ordered = dealt.repartition("anchor", "shard").sortWithinPartitions("anchor", "shard", "context")
+    ordered = dealt.repartition("shard").sortWithinPartitions("shard", "anchor", "context", "offset")
     return ordered.mapInPandas(judge, _FOUND)
 
 
-def _merged(digests: DataFrame) -> DataFrame:
-    """Windows that other shards have too: places of equal digests in sorted order, found by binary search."""
+def block_sizes(window: int, gram: int) -> list[int]:
+    """Numbers of distances in one block, from round to round; the last is one."""
+    sizes = [1 << max((window - gram + 1) // 2, 1).bit_length() - 1]
+    while sizes[-1] > 1:
+        sizes.append(max(sizes[-1] // 4, 1))
+    return sizes
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for batch in _with_end(batches):
-            rows = batch if held is None else held if batch is None else pd.concat([held, batch], ignore_index=True)
-            if rows is None or not len(rows):
-                continue
-            keys = np.rec.fromarrays([rows["lane0"].to_numpy(np.int64), rows["lane1"].to_numpy(np.int64)])
-            left, right = np.searchsorted(keys, keys, "left"), np.searchsorted(keys, keys, "right")
-            # the last digest may go on in the next batch
-            keep = len(rows) if batch is None else int(left[-1])
-            found = rows[:keep][(right - left)[:keep] > 1]
-            held = rows[keep:]
-            yield found.assign(lane0=pd.array([None] * len(found), "Int64"), lane1=pd.array([None] * len(found), "Int64"))
 
-    ordered = digests.repartition("lane0", "lane1").sortWithinPartitions("lane0", "lane1")
-    return ordered.mapInPandas(merge, _FOUND)
+def _blocks(rows: DataFrame, window: int, size: int) -> DataFrame:
+    """(anchor, context, n, low, high, core, span, from_start, to_start): blocks of ``size`` distances of each row.
+
+    ``rows`` (anchor, context, n, reach, low, high, bytes): windows at distances low to high from the anchor.
+    """
+    names = ["anchor", "context", "n", "low", "high", "core", "span", "from_start", "to_start"]
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        digest = xxhash.xxh64_intdigest
+        for batch in batches:
+            made = []
+            for anchor, context, n, reach, low, high, text in zip(
+                    *[batch[c].tolist() for c in ("anchor", "context", "n", "reach", "low", "high", "bytes")]):
+                last = len(text) - window
+                near, far = max(low, reach - last), min(high, reach)
+                for a in range(near // size * size, far + 1, size):
+                    b = a + size - 1
+                    # all windows of the block, also those that the context lacks, have these bytes
+                    core = digest(text[reach - a:reach - b + window], (anchor ^ a) & 0xFFFFFFFFFFFFFFFF)
+                    first, final = max(reach - b, reach - far), min(reach - a, reach - near)
+                    span = digest(text[first:final + window], first - reach & 0xFFFF)
+                    made.append((anchor, context, n, a, b, core, span, first, final))
+            table = pd.DataFrame(made, columns=names)
+            for c in ("core", "span"):
+                table[c] = np.array(table[c].tolist(), np.uint64).view(np.int64)
+            yield table
+
+    return rows.mapInPandas(cut, "anchor long, context long, n long, low int, high int, core long, span long, "
+                                 "from_start int, to_start int")
+
+
+def _holders(spans: DataFrame) -> DataFrame:
+    """(core, holders): how many rows have each core. Sorted cores are counted by binary search, then over all shards."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys = batch["core"].to_numpy(np.int64)
+            heads = keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys
+            n = np.searchsorted(keys, heads, "right") - np.searchsorted(keys, heads, "left")
+            yield pd.DataFrame({"core": heads, "n": n})
 
+    counted = spans.select("core").sortWithinPartitions("core").mapInPandas(count, "core long, n long")
+    return counted.groupBy("core").agg(F.sum("n").alias("holders"))
 
-def _with_end(batches: Iterator) -> Iterator:
-    yield from batches
-    yield None
+
+def dealt_anew(hot: DataFrame, window: int, gram: int, shard_contexts: int) -> tuple[DataFrame, DataFrame]:
+    """(rows for _judged, runs of blocks that occur twice as they are) of contexts of hot anchors.
+
+    A span of a core that occurs again is repeated as a whole; one holder of it stays, as partner for other
+    spans of the core. A round leaves at most four blocks of a row, mostly one or two: blocks inside a
+    shared passage have one span, those outside have a core of their own, only those on its edges are cut further.
+    """
+    whole = hot.withColumns({"low": F.lit(0), "high": F.lit(window - gram)})
+    shards, runs = None, None
+    for size in block_sizes(window, gram):
+        made = written(_blocks(whole, window, size), "blocks")
+        spans = cut_lineage(made.groupBy("core", "span").agg(
+            F.sum("n").alias("n"), F.min(F.struct("anchor", "context", "from_start", "to_start", "low", "high")).alias("at")))
+        counted = cut_lineage(spans.join(_holders(spans).where("holders > 1"), "core"))
+        twice = made.join(spans.where("n > 1").select("core", "span"), ["core", "span"]).select(
+            "anchor", "context", "from_start", "to_start")
+        named = counted.select("core", "holders", "n", "at.*")
+        few = named.where(F.col("holders") <= shard_contexts).drop("n").join(hot, ["anchor", "context"]).select(
+            F.col("core").alias("shard"), "anchor", "context", F.col("from_start").alias("offset"), "n",
+            F.expr(f"substring(bytes, from_start + 1, to_start - from_start + {window})").alias("bytes"))
+        shards = few if shards is None else shards.unionByName(few)
+        runs = twice if runs is None else runs.unionByName(twice)
+        many = named.where(F.col("holders") > shard_contexts).select("anchor", "context", "low", "high")
+        if many.isEmpty():
+            break
+        whole = many.join(hot, ["anchor", "context"])
+    return shards, runs
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_contexts: int = SHARD_CONTEXTS) -> DataFrame:
@@ -206,15 +256,20 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
     again = cut_lineage(all_places.groupBy("anchor").count().where("count > 1").select("anchor"))
     places = written(all_places.join(again, "anchor"), "places")
     by_context = cut_lineage(places.groupBy("anchor", "context").agg(
-        F.count("*").alias("n"), F.min(F.struct(*KEY, "first", "last")).alias("at")))
+        F.count("*").alias("n"), F.min(F.struct(*KEY, "first", "last", "reach")).alias("at")))
     sizes = by_context.groupBy("anchor").agg(F.count("*").alias("n_contexts"))
-    contested = cut_lineage(sizes.where("n_contexts > 1").select(
-        "anchor", F.ceil(F.col("n_contexts") / shard_contexts).cast("int").alias("n_shards")))
-    wanted = by_context.join(contested, "anchor").select(
-        "at.*", "anchor", F.expr("cast(pmod(context, n_shards) as int)").alias("shard"), "n_shards", "context", "n")
-    judged = written(_judged(fetched(docs, wanted, window), window), "judged")
-    runs = judged.where("lane0 IS NULL").unionByName(_merged(judged.where("lane0 IS NOT NULL")))
-    within = places.join(runs.select("anchor", "context", "from_start", "to_start"), ["anchor", "context"])
+    contested = cut_lineage(sizes.where("n_contexts > 1").select("anchor", (F.col("n_contexts") > shard_contexts).alias("hot")))
+    wanted = by_context.join(contested, "anchor").select("at.*", "anchor", "context", "n", "hot")
+    bytes_of = written(fetched(docs, wanted, window), "fetched")
+    dealt = bytes_of.where("NOT hot").select(
+        F.col("anchor").alias("shard"), "anchor", "context", F.lit(0).alias("offset"), "n", "bytes")
+    twice = None
+    if not contested.where("hot").isEmpty():
+        anew, twice = dealt_anew(bytes_of.where("hot").drop("hot"), window, gram, shard_contexts)
+        dealt = dealt.unionByName(anew)
+    judged = written(_judged(dealt, window), "judged")
+    runs = judged if twice is None else judged.unionByName(twice)
+    within = places.join(runs, ["anchor", "context"])
     partly = within.select(*KEY, (F.col("first") + F.col("from_start")).alias("start"),
                            (F.col("first") + F.col("to_start") + window).alias("end"))
     # all places of these have one context

@@ -96,3 +96,22 @@ def test_clashing_names(spark):
     docs = docs.withColumn("row", docs.doc_id).withColumn("place", docs.text).withColumn("_found", docs.doc_id)
     out = suffix_dedup.dedup(docs, window=20, gram=6).drop("_spans", "_kept")
     assert out.columns == docs.columns and sorted(map(repr, out.collect())) == sorted(map(repr, docs.collect()))
+
+
+def test_hot_anchor_rows_stay_in_proportion(spark, monkeypatch):
+    """A passage in 200 documents with different neighbours: equal to brute force, a few blocks for each context."""
+    rng = random.Random(5)
+    prose = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage, near = prose(90), prose(120)
+    texts = [prose(rng.randint(20, 60)) + passage + prose(rng.randint(20, 60)) for _ in range(200)]
+    for _ in range(150):
+        at = rng.randrange(len(near))
+        texts.append(near[:at] + rng.choice("abcdefgh") + near[at + 1:])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    made = []
+    blocks = suffix_dedup._blocks
+    monkeypatch.setattr(suffix_dedup, "_blocks", lambda rows, *a: made.append((rows.count(), blocks(rows, *a).count())) or blocks(rows, *a))
+    got = {r.doc_id: bytes(r._kept) for r in suffix_dedup.dedup(docs, 40, 16, 10).collect()}
+    assert [got[i] for i in range(len(texts))] == [x[2] for x in brute(texts, 40)]
+    assert len(made) > 1 and all(out <= 4 * rows for rows, out in made)
+    assert made[-1][1] <= 2 * made[0][1]
