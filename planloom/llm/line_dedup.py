@@ -40,7 +40,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from planloom.llm.shared import packed
 from planloom.llm.text import words
@@ -135,14 +135,33 @@ def runs_of(text: str | None, min_words: int = MIN_WORDS) -> list[tuple[bytes, i
             for a, b in sorted(spans)]
 
 
-def _runs(min_words: int):
-    fields = [StructField("line", BinaryType()), StructField("place", IntegerType()), StructField("last", IntegerType())]
+#: Texts whose runs are in Python's memory at a time.
+_TEXTS_AT_ONCE = 200
 
-    @F.pandas_udf(ArrayType(StructType(fields)))
-    def runs(texts: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(("line", "place", "last"), x)) for x in runs_of(t, min_words)] for t in texts], dtype=object)
 
-    return runs
+def _runs(keyed: DataFrame, min_words: int) -> DataFrame:
+    """(text_key, doc_id, line, place, last): a row for each run of each text of ``keyed`` (text_key, doc_id, text)."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _TEXTS_AT_ONCE):
+                part = batch.slice(at, _TEXTS_AT_ONCE)
+                row, line, place, last = [], [], [], []
+                for n, text in enumerate(part["text"]):  # one text at a time becomes a Python object
+                    for x, a, b in runs_of(text.as_py(), min_words):
+                        row.append(n)
+                        line.append(x)
+                        place.append(a)
+                        last.append(b)
+                row = pa.array(row, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [part["text_key"].take(row), part["doc_id"].take(row), pa.array(line, pa.binary()),
+                     pa.array(place, pa.int32()), pa.array(last, pa.int32())],
+                    names=["text_key", "doc_id", "line", "place", "last"])
+
+    kind = keyed.schema["doc_id"].dataType.simpleString()
+    return keyed.select("text_key", "doc_id", "text").mapInArrow(
+        find, f"text_key long, doc_id {kind}, line binary, place int, last int")
 
 
 def copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -163,8 +182,7 @@ def shared_lines(docs: DataFrame, min_words: int = MIN_WORDS, short_lines: bool
     """
     keyed = docs.select(_key("text").alias("text_key"), "doc_id", "text")
     if short_lines:
-        lines = keyed.select("text_key", "doc_id", F.explode(_runs(min_words)("text")).alias("run")).select(
-            "run.line", _order("doc_id", "text_key").alias("doc"), "run.place", "run.last")
+        lines = _runs(keyed, min_words).select("line", _order("doc_id", "text_key").alias("doc"), "place", "last")
     else:
         lines = (keyed.select("text_key", "doc_id", F.posexplode(F.split("text", "\n")).alias("place", "text"))
                  .where(F.size(words(F.col("text"))) >= min_words)
