@@ -35,7 +35,6 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -169,7 +168,7 @@ def copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     enough = rf"^[ \x09-\x0D]*(?:[^ \x09-\x0D]+[ \x09-\x0D]+){{{min_words - 1}}}[^ \x09-\x0D]"
     keyed = docs.where(F.col("text").rlike(enough)).select(
         _order_of(F.col("doc_id"), _key("text")).alias("doc"), F.md5("text").alias("digest"), F.length("text").alias("n_chars"),
-        (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).alias("n_lines"))
+        (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("n_lines"))
     firsts = keyed.groupBy("digest", "n_chars").agg(F.min("doc").alias("first"), F.max("doc").alias("latest")).where("first <> latest")
     return cut_lineage(keyed.join(firsts, ["digest", "n_chars"]).where("doc <> first").select("doc", "n_lines").distinct())
 
@@ -298,17 +297,18 @@ def _with_blanks(lines: list[str], gone: set[int]) -> set[int]:
 
 
 def _cut(short_lines: bool):
-    @F.pandas_udf(StructType([StructField("text", StringType()), StructField("deleted", ArrayType(IntegerType()))]))
-    def cut(texts: pd.Series, deleted: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(StructType([StructField("text", StringType()), StructField("deleted", ArrayType(IntegerType()))]))
+    def cut(texts: pa.Array, deleted: pa.Array) -> pa.Array:
         made, gone = [], []
         for text, places in zip(texts, deleted):
-            if places is not None and len(places):
+            text, places = text.as_py(), places.as_py()
+            if places:
                 lines = text.split("\n")
-                places = _with_blanks(lines, set(places)) if short_lines else set(places)
-                text = "\n".join([x for i, x in enumerate(lines) if i not in places])
+                at = _with_blanks(lines, set(places)) if short_lines else set(places)
+                text, places = "\n".join([x for i, x in enumerate(lines) if i not in at]), sorted(at)
             made.append(text)
-            gone.append(None if places is None else sorted(map(int, places)))
-        return pd.DataFrame({"text": pd.Series(made, dtype=object), "deleted": pd.Series(gone, dtype=object)})
+            gone.append(places)
+        return pa.StructArray.from_arrays([pa.array(made, pa.string()), pa.array(gone, pa.list_(pa.int32()))], names=["text", "deleted"])
 
     return cut
 
