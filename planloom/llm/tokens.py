@@ -15,7 +15,7 @@ from functools import lru_cache
 from tokenizers import Tokenizer
 
 #: Pieces held by one cache; it is emptied when full.
-MOST_PIECES = 1_000_000
+MOST_PIECES = 250_000
 
 #: The splitting pattern of word tokenizers, and the byte-to-letter rule
 #: of byte-level models (printable bytes stand for themselves, others follow from 256).
