@@ -77,7 +77,7 @@ BOARDS, TILE, PER_ROW = 2, 16384.0, 64
 
 
 def _pinned(df):
-    """Boxes of each sheet on a tile of its own of a large board; their numbers are unique over all sheets."""
+    """Boxes of each sheet on a tile of its own of a large board."""
     tile = F.floor(F.col("sheet_id") / BOARDS)
     right, down = (tile % PER_ROW) * TILE, F.floor(tile / PER_ROW) * TILE
     return df.withColumns({"x0": F.col("x0") + right, "x1": F.col("x1") + right, "y0": F.col("y0") + down, "y1": F.col("y1") + down,
@@ -86,7 +86,8 @@ def _pinned(df):
 
 @query("merge_detections_dense", MERGE_SQL, ("detections",), recursive=True)
 def _merge_dense(t):
-    merged = merge.merge_detections(_pinned(t.detections), on=("board",))
+    dets = _pinned(t.detections).withColumn("number", F.struct("sheet_id", "det_idx"))
+    merged = merge.merge_detections(dets, order="number", on=("board",))
     return merged.select("sheet_id", "det_idx", "text", "conf", "kept")
 
 
@@ -127,8 +128,11 @@ def _match(t):
 @query("match_dense", f"WITH {match_steps('first').strip()} SELECT * FROM matches",
        ("truth", "detections"), recursive=True)
 def _match_dense(t):
-    matched = match.match_one_to_one(_pinned(t.truth), _pinned(t.detections), on=("board",))
-    return matched.join(t.truth.select("sheet_id", "truth_idx"), "truth_idx").select("sheet_id", "truth_idx", "det_idx", "iou")
+    """Runs of several sheets may have one number: on a board, sheet and number name a run."""
+    truth, dets = (_pinned(df).withColumn(idx, F.struct("sheet_id", F.col(idx).alias("n")))
+                   for df, idx in ((t.truth, "truth_idx"), (t.detections, "det_idx")))
+    return match.match_one_to_one(truth, dets, on=("board",)).select(
+        "truth_idx.sheet_id", F.col("truth_idx.n").alias("truth_idx"), F.col("det_idx.n").alias("det_idx"), "iou")
 
 
 @query("match_last_ties", f"WITH {match_steps('last').strip()} SELECT * FROM matches",
