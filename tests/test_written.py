@@ -95,3 +95,12 @@ def test_ink_colour_takes_equal_luma_as_equal(spark):
     rows = [(1, 0, 0, *EQUAL[0]), (1, 0, 1, *EQUAL[1]), (1, 0, 2, 255, 255, 255)]
     out = pixels.sheet_ink_colour(spark.createDataFrame(rows, "sheet_id long, y int, x int, b int, g int, r int")).first()
     assert (out.b, out.g, out.r) == tuple((p + q) // 2 for p, q in zip(*EQUAL))
+
+
+def test_long_runs_of_any_length_and_place(spark):
+    rows = [(1, 5, x) for x in range(-3, 38)] + [(1, 9, x) for x in range(60, 99)] + [(1, y, 70) for y in range(13, 53)] + [(2, 0, 0)]
+    dark = spark.createDataFrame(rows * 2, "sheet_id long, y int, x int")
+    long = {(r.sheet_id, r.y, r.x) for r in pixels.long_runs(dark, 40).collect()}
+    assert long == {(1, 5, x) for x in range(-3, 38)} | {(1, y, 70) for y in range(13, 53)}
+    assert pixels.long_runs(dark, 3).count() == 41 + 39 + 40
+    assert pixels.long_runs(dark, 1).count() == 41 + 39 + 40 + 1
