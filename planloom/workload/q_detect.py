@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from planloom import constants as K
 from planloom.functions import geometry as G, text as T
 from planloom.operators import detect, match, merge, score, vocab
+from planloom.session import written
 from planloom.workload import sqltext as S
 from planloom.workload.q_match import MERGE_STEPS
 from planloom.workload.registry import query
@@ -184,7 +185,8 @@ SELECT sheet_id, det_idx, text, 'possible-missed-text' AS code FROM dr WHERE LEN
   AND NOT EXISTS (SELECT 1 FROM k WHERE k.sheet_id = dr.sheet_id AND {S.inter('dr', 'k')} / GREATEST(1.0::DOUBLE, {S.area('dr')}) > 0.5::DOUBLE)""",
        ("detections",), recursive=True)
 def _missed(t):
-    merged = merge.merge_detections(t.detections)
+    # written once: the dropped, the kept and their size classes are read by themselves
+    merged = written(merge.merge_detections(t.detections))
     out = match.missed_text(merged.where(~F.col("kept")), merged.where("kept"))
     return out.select(*ID, "text", F.col("flag.code").alias("code"))
 
@@ -327,7 +329,8 @@ FROM tri"""
 
 @query("triage_runs", TRIAGE, ("detections", "raw_labels", "rooms", "regions"))
 def _triage(t):
-    labelled = t.detections.drop("text").join(
-        t.raw_labels.select(*ID, F.col("raw").alias("text")), ID)
+    # written once: triage reads the runs within and the runs outside regions
+    labelled = written(t.detections.drop("text").join(
+        t.raw_labels.select(*ID, F.col("raw").alias("text")), ID))
     out = detect.triage_runs(labelled, protected=t.regions)
     return out.select(*ID, "disposition", F.array_join(F.transform("flags", lambda f: f["code"]), ",").alias("codes"))
