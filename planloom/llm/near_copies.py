@@ -11,7 +11,8 @@ a pair at 0.8 shares no band with probability (1 - 0.8 ** 4) ** 25, about two in
 Of a bucket (one value of one band) all nodes are compared with two of them first, and the links found make groups.
 Buckets whose nodes are then of several groups are compared whole, each in a task that emits no more than one link for each
 node (``_whole``). A bucket of more than WHOLE nodes is split for that by further minima, and by chance where these are all alike. It may
-part near copies, so buckets that were split come again with other minima until a round finds no link.
+part near copies, so buckets that were split come again with other minima until a round finds no link. What then still has
+several groups is compared in full, block by block (``_blocks``): every node outside a bucket's largest group with all others.
 
 Defined results: texts without a word are copies of each other and of nothing else; for the rest see ``simhash``.
 """
@@ -21,12 +22,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from planloom.llm import simhash
 from planloom.llm.components import components
@@ -82,25 +81,54 @@ def fingerprint_of(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
 
 
-@F.pandas_udf(StructType([StructField("node", LongType()), StructField("fingerprint", LongType()),
-                          StructField("bands", ArrayType(LongType()))]))
-def _signatures(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for batch in texts:
-        sets = [hashes_of(t) for t in batch]
-        nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-        yield pd.DataFrame({"node": nodes, "fingerprint": [fingerprint_of(s) for s in sets],
-                            "bands": [bands_of(minima_of(s)) for s in sets]})
+#: Texts whose sets are in Python's memory at a time.
+_TEXTS_AT_ONCE = 200
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def _hashes(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in texts:
-        yield pd.Series([hashes_of(t).view(np.int64) for t in batch], dtype=object)
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, _TEXTS_AT_ONCE):
+            yield batch.slice(at, _TEXTS_AT_ONCE)
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def _minima(sets: pd.Series) -> pd.Series:
-    return pd.Series([minima_of(s.view(np.uint64)).view(np.int32) for s in sets], dtype=object)
+def _lists(arrays: list[np.ndarray], kind: np.dtype) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, np.concatenate(arrays).view(kind))
+
+
+def _sets(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of a column without nulls, not copied."""
+    found = []
+    for x in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        ends, values = x.offsets.to_numpy(), x.values.to_numpy()
+        found += [values[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+    return found
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, text_key and the signatures of each text."""
+    for part in _parts(batches):
+        nodes, prints, bands = [], [], []
+        for text in part["text"]:  # one text at a time becomes a Python object
+            some = hashes_of(text.as_py())
+            nodes.append(xxhash.xxh64_intdigest(some.tobytes(), SEED))
+            prints.append(fingerprint_of(some))
+            bands.append(bands_of(minima_of(some)))
+        yield pa.RecordBatch.from_arrays(
+            [part["doc_id"], part["text_key"], pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(prints, pa.int64()),
+             pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_key", "node", "fingerprint", "bands"])
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in _parts(batches):
+        made = _lists([hashes_of(text.as_py()) for text in part["text"]], np.dtype("<i8"))
+        yield pa.RecordBatch.from_arrays([part["node"], made], names=["node", "hashes"])
+
+
+def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in _parts(batches):
+        made = _lists([minima_of(x.view(np.uint64)) for x in _sets(part["hashes"])], np.dtype("<i4"))
+        yield pa.RecordBatch.from_arrays([part["node"], made], names=["node", "minima"])
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
@@ -147,7 +175,9 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
 def _whole(bucket: pa.Table) -> pa.Table:
     """Links that join the groups of a bucket whose members are near copies: one less than the groups at most."""
     nodes, roots = bucket["node"].to_pylist(), bucket["root"].to_pylist()
-    sets = [np.array(x, np.int64) for x in bucket["hashes"].to_pylist()]
+    if len(set(roots)) < 2:
+        return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+    sets = _sets(bucket["hashes"])
     size = np.array([len(s) for s in sets], np.int64)
     group = {r: r for r in roots}
 
@@ -177,7 +207,8 @@ def _parted(buckets: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
         small.append(large.join(sizes, "key", "left_anti").drop("minima"))
         if not step:
             large = large.join(sizes, "key", "left_semi")
-            minima = sets.join(large.select("node").distinct(), "node").select("node", _minima("hashes").alias("minima"))
+            minima = sets.join(large.select("node").distinct(), "node").select("node", "hashes").mapInArrow(
+                _least, "node long, minima array<int>")
             large = large.join(cut_lineage(minima), "node")
         # one minimum more, then two, four ...: copies that differ in most places are parted in a few steps
         take = [(turn * 37 + i * 13) % (BANDS * ROWS) for i in range(2 ** step - 1, 2 ** (step + 1) - 1)]
@@ -190,6 +221,22 @@ def _parted(buckets: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
     return out
 
 
+def _blocks(buckets: DataFrame) -> DataFrame:
+    """``buckets`` (key, node, root) dealt out to pairs of blocks (key, one, other) of about WHOLE nodes together, so that
+    each node outside a bucket's largest group meets every other node of the bucket."""
+    groups = cut_lineage(buckets.groupBy("key", "root").agg(F.count("*").alias("n")))
+    half = max(WHOLE // 2, 1)
+    most = F.max(F.struct("n", "root"))
+    of_key = groups.groupBy("key").agg(most["root"].alias("lead"), F.ceil(most["n"] / half).alias("n_lead"),
+                                       F.ceil((F.sum("n") - most["n"]) / half).alias("n_rest"))
+    dealt = lambda n: F.pmod(F.xxhash64("node"), F.greatest(n, F.lit(1)))
+    led, last = F.col("root") == F.col("lead"), F.col("n_lead") + F.col("n_rest") - 1
+    own = F.when(led, dealt(F.col("n_lead"))).otherwise(F.col("n_lead") + dealt(F.col("n_rest")))
+    rows = buckets.join(cut_lineage(of_key), "key").withColumn("block", own).withColumn(
+        "with", F.explode(F.sequence(F.when(led, F.col("n_lead")).otherwise(F.lit(0).cast("bigint")), last)))
+    return rows.select("key", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("other"), "node", "root")
+
+
 def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(u, v): near copies among the nodes of ``rows`` (doc_id, text_key, node, fingerprint, bands), as many as join
     all that are linked directly or through others."""
@@ -201,7 +248,8 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
             "node", F.col("at.doc_id").alias("_doc_id"), F.col("at.text_key").alias("_text_key")))
         texts = docs.select("doc_id", "text").join(held, F.col("doc_id").eqNullSafe(F.col("_doc_id"))
                                                    & (F.xxhash64("text") == F.col("_text_key")))
-        return cut_lineage(texts.groupBy("node").agg(F.first("text").alias("text")).select("node", _hashes("text").alias("hashes")))
+        return cut_lineage(texts.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(
+            _hashed, "node long, hashes array<bigint>"))
 
     pairs = cut_lineage(candidates(nodes))
     sets = sets_of(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
@@ -221,16 +269,25 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
         todo = cut_lineage(parted.join(open_parts, "key").select("key", "node", "root", "split"))
         more = cut_lineage(todo.join(sets, "node").select("key", "node", "root", "hashes").groupBy("key")
                            .applyInArrow(_whole, "u bigint, v bigint").distinct())
-        if more.isEmpty() or parted.where("split").isEmpty():
+        if parted.where("split").isEmpty():
             return found.unionByName(more)
+        if more.isEmpty():
+            break
         found, turn = cut_lineage(found.unionByName(more)), turn + 1
+    several = cut_lineage(placed.join(mixed, "key"))
+    split = several.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > WHOLE).select("key")
+    rest = _blocks(cut_lineage(several.join(split, "key"))).join(sets, "node")
+    more = cut_lineage(rest.select("key", "one", "other", "node", "root", "hashes").groupBy("key", "one", "other")
+                       .applyInArrow(_whole, "u bigint, v bigint").distinct())
+    return found.unionByName(more)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The row with the smallest doc_id of each group of near copies (linked directly or through others), as
     ``simhash.keep_one`` has it."""
-    signed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), _signatures("text").alias("at"))
-    rows = cut_lineage(signed.select("doc_id", "text_key", "at.*"))
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = cut_lineage(keyed.mapInArrow(_signed, f"doc_id {kind}, text_key long, node long, fingerprint long, bands array<bigint>"))
     roots = cut_lineage(components(cut_lineage(links(docs, rows))))
     rooted = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return smallest_of_each(docs, rooted)

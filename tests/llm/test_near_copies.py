@@ -4,6 +4,7 @@ import random
 import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from planloom.llm import near_copies, simhash
 
@@ -106,6 +107,30 @@ def test_buckets_are_split(spark, monkeypatch):
     assert [r.doc_id for r in near_copies.keep_one(docs).collect()] == brute(rows)
 
 
+def test_split_buckets_are_compared_in_full(spark, monkeypatch):
+    # parts of one node each, so that the rounds find no link at all
+    monkeypatch.setattr(near_copies, "WHOLE", 16)
+    monkeypatch.setattr(near_copies, "_parted", lambda buckets, sets, turn: buckets.withColumn(
+        "key", F.xxhash64("key", "node")).withColumn("split", F.lit(True)))
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    rows = [(d, " ".join(edited(rng, base, 4))) for d in range(80)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], SCHEMA)
+    want = brute(rows)
+    assert len(want) < 75 and sorted(r.doc_id for r in near_copies.keep_one(docs).collect()) == want
+
+
+def test_blocks_of_a_bucket_meet(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "WHOLE", 6)
+    rows = [("k", n, 0 if n < 20 else n) for n in range(31)]
+    met = near_copies._blocks(spark.createDataFrame(rows, "key string, node long, root long"))
+    seen, largest = set(), 0
+    for group in met.groupBy("key", "one", "other").agg(F.collect_list("node").alias("nodes")).collect():
+        largest = max(largest, len(group.nodes))
+        seen.update(itertools.combinations(sorted(group.nodes), 2))
+    assert largest < 20 and all((a, b) in seen for a, b in itertools.combinations(range(31), 2) if b >= 20)
+
+
 def test_clashing_names(spark):
     rows = [(1, "a b c d e f g", 5), (2, "a b c d e f g", 6), (3, "x y z", 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, _doc_id long")
