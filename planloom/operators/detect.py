@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planloom import constants as K
@@ -10,6 +10,17 @@ from planloom.functions import flags as FL, geometry as G, text as T
 from planloom.operators.match import inside_protected, outside_protected
 from planloom.operators.spatial import CELL, boxes_hit
 from planloom.operators.vocab import Vocabulary, snap_text
+from planloom.session import dealt, split_hot
+
+
+#: Runs of a sheet whose tilts one task sorts.
+SORT_LIMIT = 20_000
+
+#: Shorter lines corroborate no run.
+LEAST_REACH = 20.0
+
+#: Windows beside runs are wider than runs, and are listed in larger cells.
+WINDOW_CELL = 4 * CELL
 
 
 def with_bbox(df: DataFrame, quad: str = "quad") -> DataFrame:
@@ -81,7 +92,7 @@ def merge_rereads(dets: DataFrame, rereads: DataFrame, on=("sheet_id",)) -> Data
 
 
 def line_corroboration(runs: DataFrame, segments: DataFrame, on=("sheet_id",), ids=("det_idx",),
-                       cell: float = CELL) -> DataFrame:
+                       cell: float = WINDOW_CELL) -> DataFrame:
     """Digit-only runs with a drawn line of the same direction beside them.
 
     Returns distinct (on..., ids...).
@@ -92,12 +103,13 @@ def line_corroboration(runs: DataFrame, segments: DataFrame, on=("sheet_id",), i
     near = (runs.where(F.col("text").rlike("^[0-9]+$"))
             .withColumns({"wx0": F.floor(x0) - pad, "wy0": F.floor(y0) - pad,
                           "wx1": F.floor(x1) + pad, "wy1": F.floor(y1) + pad,
-                          "reach": F.greatest(F.lit(20.0), 0.6 * F.greatest(w, h))}))
+                          "reach": F.greatest(F.lit(LEAST_REACH), 0.6 * F.greatest(w, h))}))
     lines = segments.select(
         *on, F.least("x0", "x1").alias("s_x0"), F.least("y0", "y1").alias("s_y0"),
         F.greatest("x0", "x1").alias("s_x1"), F.greatest("y0", "y1").alias("s_y1"),
         F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).alias("s_len"),
-        F.degrees(F.atan2(-(F.col("y1") - F.col("y0")), F.col("x1") - F.col("x0"))).alias("s_angle"))
+        F.degrees(F.atan2(-(F.col("y1") - F.col("y0")), F.col("x1") - F.col("x0"))).alias("s_angle")).where(
+        F.col("s_len") >= LEAST_REACH)
     window = ("wx0", "wy0", "wx1", "wy1")
     keys = list(dict.fromkeys([*on, *ids]))
     wide = near.select(*keys, *window, "reach", "angle_deg", *G.BOX)
@@ -105,28 +117,56 @@ def line_corroboration(runs: DataFrame, segments: DataFrame, on=("sheet_id",), i
                | (F.col("s_y1") < y0 - 3) | (F.col("s_y0") > y1 + 3))
     turn = F.abs(F.pmod(F.col("s_angle") - F.col("angle_deg") + 90.0, F.lit(180.0)) - 90.0)
     rule = off_box & (F.col("s_len") >= F.col("reach")) & (turn <= 3.0)
-    # the run's own columns ride along as ids of the semi join
-    hits = boxes_hit(wide, lines, list(on), [*keys, "reach", "angle_deg", *G.BOX],
-                     ("s_x0", "s_y0", "s_x1", "s_y1"), window, closed=True, cell=cell, extra=rule)
-    return hits.select(*keys).distinct()
+    return boxes_hit(wide, lines, list(on), keys, ("s_x0", "s_y0", "s_x1", "s_y1"), window, closed=True, cell=cell,
+                     extra=rule, carry=["reach", "angle_deg", *G.BOX])
 
 
 def corroborate_tilts(df: DataFrame, on=("sheet_id",), ids=("det_idx",),
-                      corroborated: DataFrame | None = None) -> DataFrame:
+                      corroborated: DataFrame | None = None, sort_limit: int = SORT_LIMIT) -> DataFrame:
     """Snap a lone slight tilt to its cardinal; keep tilts that agree.
 
     A tilt agrees when another ambiguous run of the sheet and cardinal deviates
-    within one degree. Deviations are counted in one-degree bins: two runs in a
-    bin agree by themselves, and otherwise only the nearest values of the
-    neighbouring bins matter. There are at most 40 bins per sheet and cardinal,
-    so no run list of a sheet is ever gathered.
+    within one degree. On sheets of ordinary size a sort shows the next smaller
+    and larger deviation. On sheets above ``sort_limit`` rows deviations are
+    counted in one-degree bins: two runs in a bin agree by themselves, and otherwise
+    only the nearest values of the neighbouring bins matter. There are at most 40 bins
+    per sheet and cardinal, so no run list of such a sheet is ever gathered.
     """
     on, ids = list(on), list(ids)
+    normal, dense = split_hot(df, on, sort_limit)
+    out = _with_agreement(dealt(normal, on, df), on)
+    if dense is not None:
+        out = out.unionByName(_with_agreement_by_bins(dense, on))
+    agrees = F.col("_agrees")
+    if corroborated is not None:
+        key = list(dict.fromkeys([*on, *ids]))
+        out = out.join(corroborated.select(*key).distinct().withColumn("_line", F.lit(True)),
+                       key, "left")
+        agrees = agrees | F.col("_line").isNotNull()
+    angle = F.when(F.col("_vague") & ~agrees, F.col("_card")).otherwise(F.col("angle_deg"))
+    return out.withColumn("angle_deg", angle).select(*df.columns)
+
+
+def _deviations(df: DataFrame) -> DataFrame:
+    """``df`` with the nearest cardinal, the deviation from it and whether that is ambiguous."""
     near = G.cardinal_deviation(F.col("angle_deg"))
     work = df.withColumn("_near", near).withColumns(
-        {"_card": F.col("_near.cardinal"), "_dev": F.col("_near.dev")})
+        {"_card": F.col("_near.cardinal"), "_dev": F.col("_near.dev")}).drop("_near")
     vague = (F.abs("_dev") >= K.ALWAYS_SNAP_DEG) & (F.abs("_dev") < K.UNAMBIGUOUS_TILT_DEG)
-    work = work.withColumn("_bin", F.when(vague, F.floor(F.col("_dev") / K.TILT_TOLERANCE_DEG)))
+    return work.withColumn("_vague", F.coalesce(vague, F.lit(False)))
+
+
+def _with_agreement(df: DataFrame, on: list[str]) -> DataFrame:
+    work = _deviations(df).withColumn("_group", F.when(F.col("_vague"), F.col("_card")))
+    in_order = Window.partitionBy(*on, "_group").orderBy("_dev")
+    agrees = ((F.col("_dev") - F.lag("_dev").over(in_order) <= K.TILT_TOLERANCE_DEG)
+              | (F.lead("_dev").over(in_order) - F.col("_dev") <= K.TILT_TOLERANCE_DEG))
+    return work.withColumn("_agrees", F.coalesce(agrees, F.lit(False))).drop("_group")
+
+
+def _with_agreement_by_bins(df: DataFrame, on: list[str]) -> DataFrame:
+    work = _deviations(df)
+    work = work.withColumn("_bin", F.when(F.col("_vague"), F.floor(F.col("_dev") / K.TILT_TOLERANCE_DEG)))
     # counting the bins (not filtering rows first) evaluates the deviation once
     bins = (work.groupBy(*on, "_card", "_bin")
             .agg(F.count("_bin").alias("n"), F.min("_dev").alias("lo"), F.max("_dev").alias("hi"))
@@ -142,15 +182,7 @@ def corroborate_tilts(df: DataFrame, on=("sheet_id",), ids=("det_idx",),
     work = work.join(around, [*on, "_card", "_bin"], "left")
     agrees = ((F.col("_own") >= 2) | (F.col("_dev") - F.col("_below") <= K.TILT_TOLERANCE_DEG)
               | (F.col("_above") - F.col("_dev") <= K.TILT_TOLERANCE_DEG))
-    agrees = F.coalesce(agrees, F.lit(False))
-    if corroborated is not None:
-        key = list(dict.fromkeys([*on, *ids]))
-        work = work.join(corroborated.select(*key).distinct().withColumn("_line", F.lit(True)),
-                         key, "left")
-        agrees = agrees | F.col("_line").isNotNull()
-    lone = F.col("_bin").isNotNull() & ~agrees
-    angle = F.when(lone, F.col("_card")).otherwise(F.col("angle_deg"))
-    return work.withColumn("angle_deg", angle).select(*df.columns)
+    return work.withColumn("_agrees", F.coalesce(agrees, F.lit(False))).drop("_bin", "_own", "_below", "_above")
 
 
 def upscale_decision(dets: DataFrame, sheets: DataFrame, on=("sheet_id",)) -> DataFrame:
