@@ -10,7 +10,7 @@ from planloom.functions import flags as FL, geometry as G, text as T
 from planloom.operators.match import inside_protected, outside_protected
 from planloom.operators.spatial import CELL, boxes_hit
 from planloom.operators.vocab import Vocabulary, snap_text
-from planloom.session import dealt, split_hot
+from planloom.session import dealt, hot_keys, split_hot, written
 
 
 #: Runs of a sheet whose tilts one task sorts.
@@ -122,7 +122,8 @@ def line_corroboration(runs: DataFrame, segments: DataFrame, on=("sheet_id",), i
 
 
 def corroborate_tilts(df: DataFrame, on=("sheet_id",), ids=("det_idx",),
-                      corroborated: DataFrame | None = None, sort_limit: int = SORT_LIMIT) -> DataFrame:
+                      corroborated: DataFrame | None = None, sort_limit: int = SORT_LIMIT,
+                      among: Column | None = None, counted: DataFrame | None = None) -> DataFrame:
     """Snap a lone slight tilt to its cardinal; keep tilts that agree.
 
     A tilt agrees when another ambiguous run of the sheet and cardinal deviates
@@ -131,12 +132,22 @@ def corroborate_tilts(df: DataFrame, on=("sheet_id",), ids=("det_idx",),
     counted in one-degree bins: two runs in a bin agree by themselves, and otherwise
     only the nearest values of the neighbouring bins matter. There are at most 40 bins
     per sheet and cardinal, so no run list of such a sheet is ever gathered.
+
+    ``among`` names the rows that take part; the others stay as they are. ``counted`` has at least the rows
+    of ``df`` on each sheet: its sheets are counted instead, and ``df``, already spread by sheet, is not dealt out again.
     """
     on, ids = list(on), list(ids)
-    normal, dense = split_hot(df, on, sort_limit)
-    out = _with_agreement(dealt(normal, on, df), on)
+    among = F.lit(True) if among is None else among
+    if counted is None:
+        normal, dense = split_hot(df, on, sort_limit)
+        normal = dealt(normal, on, df)
+    else:
+        hot = hot_keys(counted, on, sort_limit)
+        df = df if hot is None else written(df)
+        normal, dense = (df, None) if hot is None else (df.join(hot, on, "left_anti"), df.join(hot, on, "left_semi"))
+    out = _with_agreement(normal, on, among)
     if dense is not None:
-        out = out.unionByName(_with_agreement_by_bins(dense, on))
+        out = out.unionByName(_with_agreement_by_bins(dense, on, among))
     agrees = F.col("_agrees")
     if corroborated is not None:
         key = list(dict.fromkeys([*on, *ids]))
@@ -147,25 +158,25 @@ def corroborate_tilts(df: DataFrame, on=("sheet_id",), ids=("det_idx",),
     return out.withColumn("angle_deg", angle).select(*df.columns)
 
 
-def _deviations(df: DataFrame) -> DataFrame:
+def _deviations(df: DataFrame, among: Column) -> DataFrame:
     """``df`` with the nearest cardinal, the deviation from it and whether that is ambiguous."""
     near = G.cardinal_deviation(F.col("angle_deg"))
     work = df.withColumn("_near", near).withColumns(
         {"_card": F.col("_near.cardinal"), "_dev": F.col("_near.dev")}).drop("_near")
     vague = (F.abs("_dev") >= K.ALWAYS_SNAP_DEG) & (F.abs("_dev") < K.UNAMBIGUOUS_TILT_DEG)
-    return work.withColumn("_vague", F.coalesce(vague, F.lit(False)))
+    return work.withColumn("_vague", F.coalesce(vague & among, F.lit(False)))
 
 
-def _with_agreement(df: DataFrame, on: list[str]) -> DataFrame:
-    work = _deviations(df).withColumn("_group", F.when(F.col("_vague"), F.col("_card")))
+def _with_agreement(df: DataFrame, on: list[str], among: Column) -> DataFrame:
+    work = _deviations(df, among).withColumn("_group", F.when(F.col("_vague"), F.col("_card")))
     in_order = Window.partitionBy(*on, "_group").orderBy("_dev")
     agrees = ((F.col("_dev") - F.lag("_dev").over(in_order) <= K.TILT_TOLERANCE_DEG)
               | (F.lead("_dev").over(in_order) - F.col("_dev") <= K.TILT_TOLERANCE_DEG))
     return work.withColumn("_agrees", F.coalesce(agrees, F.lit(False))).drop("_group")
 
 
-def _with_agreement_by_bins(df: DataFrame, on: list[str]) -> DataFrame:
-    work = _deviations(df)
+def _with_agreement_by_bins(df: DataFrame, on: list[str], among: Column) -> DataFrame:
+    work = _deviations(df, among)
     work = work.withColumn("_bin", F.when(F.col("_vague"), F.floor(F.col("_dev") / K.TILT_TOLERANCE_DEG)))
     # counting the bins (not filtering rows first) evaluates the deviation once
     bins = (work.groupBy(*on, "_card", "_bin")

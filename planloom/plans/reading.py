@@ -68,10 +68,16 @@ def read_runs(passes: DataFrame, sheets: DataFrame, protected: DataFrame | None
     judged = written(place_candidates(passes, sheets))
     errors = judged.where(F.col("error").isNotNull())
     placed = judged.where(F.col("error").isNull()).drop("error")
-    merged = written(merge.merge_detections(placed.where("plausible")))
-    kept = merged.where("kept").withColumn("angle_deg", detect.canonical_vertical(F.col("angle_deg")))
-    lines = None if segments is None else detect.line_corroboration(kept, segments)
-    kept = written(detect.corroborate_tilts(kept, corroborated=lines))
+    merged = merge.merge_detections(placed.where("plausible"))
+    upright = F.when(F.col("kept"), detect.canonical_vertical(F.col("angle_deg"))).otherwise(F.col("angle_deg"))
+    if segments is None:
+        # the tilts of a sheet are sorted where the merge has left its reads
+        merged = written(detect.corroborate_tilts(merged.withColumn("angle_deg", upright), among=F.col("kept"), counted=judged))
+        kept = merged.where("kept")
+    else:
+        merged = written(merged)
+        kept = merged.where("kept").withColumn("angle_deg", upright)
+        kept = written(detect.corroborate_tilts(kept, corroborated=detect.line_corroboration(kept, segments)))
     dropped = merged.where(~F.col("kept")).unionByName(
         placed.where(~F.col("plausible")).withColumn("kept", F.lit(False)))
     # Written out once: runs and flags are read by several steps that follow.

@@ -60,3 +60,13 @@ def test_passes_are_placed_once(spark):
     read = reading.read_runs(passes, spark.createDataFrame([(1, 100.0, 100.0)], "sheet_id long, width double, height double"))
     assert [r.error for r in read.errors.collect()] == ["pass without an angle"] and read.runs.count() == 1
     assert "Join" not in plan(read.errors)
+
+
+def test_tilts_among_some_rows_where_they_lie(spark):
+    runs = tilted(spark).withColumn("kept", F.col("det_idx") % 3 > 0).repartition(3, "sheet_id")
+    want = detect.corroborate_tilts(runs.where("kept")).unionByName(runs.where("NOT kept"))
+    for limit in (5, 20_000):
+        got = detect.corroborate_tilts(runs, sort_limit=limit, among=F.col("kept"), counted=runs)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    lies = got._jdf.queryExecution().executedPlan().toString()
+    assert lies.count("Exchange") == runs._jdf.queryExecution().executedPlan().toString().count("Exchange")
