@@ -310,7 +310,8 @@ def _cut(short_lines: bool):
             gone.append(places)
         return pa.StructArray.from_arrays([pa.array(made, pa.string()), pa.array(gone, pa.list_(pa.int32()))], names=["text", "deleted"])
 
-    return cut
+    # a filter on what it returns must not be pushed below it, which would cut every text twice, in two workers a task
+    return cut.asNondeterministic()
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, short_lines: bool = False) -> DataFrame:

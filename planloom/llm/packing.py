@@ -42,21 +42,24 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int | None, capacity: int =
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(tokenizer).encode
-        for batch in batches:
-            rows = []
-            for doc_id, no_id, text in zip(batch["doc_id"].tolist(), batch["no_id"].tolist(), batch["text"]):
-                ids = encode(text) + ending
-                n = len(ids) // 4
-                ends = range(n - capacity * ((n - 1) // capacity), n + 1, capacity) if n else ()
-                start = 0
-                for piece, end in enumerate(ends):
-                    part = ids[4 * start:4 * end]
-                    row = (None if no_id else doc_id, piece, start, end - start, zlib.crc32(part))
-                    rows.append((*row, part) if with_ids else row)
-                    start = end
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
-            made = pd.DataFrame(rows, columns=names)
-            yield made.astype({"doc_id": "Int64"})
+        try:
+            for batch in batches:
+                rows = []
+                for doc_id, no_id, text in zip(batch["doc_id"].tolist(), batch["no_id"].tolist(), batch["text"]):
+                    ids = encode(text) + ending
+                    n = len(ids) // 4
+                    ends = range(n - capacity * ((n - 1) // capacity), n + 1, capacity) if n else ()
+                    start = 0
+                    for piece, end in enumerate(ends):
+                        part = ids[4 * start:4 * end]
+                        row = (None if no_id else doc_id, piece, start, end - start, zlib.crc32(part))
+                        rows.append((*row, part) if with_ids else row)
+                        start = end
+                names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
+                made = pd.DataFrame(rows, columns=names)
+                yield made.astype({"doc_id": "Int64"})
+        finally:
+            encoder.cache_clear()  # workers live on, and later steps need their memory
 
     texts = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"),
                         F.coalesce("text", F.lit("")).alias("text"))

@@ -41,3 +41,9 @@ def test_without_short_lines_nothing_changes(spark):
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], test_line_dedup.SCHEMA)
     got = sorted([(r.doc_id, r.text) for r in line_dedup.dedup(docs, short_lines=True).collect()], key=repr)
     assert got == sorted(test_line_dedup.brute(rows), key=repr)
+
+
+def test_keep_cuts_each_text_once(spark):
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(TEXTS)], test_line_dedup.SCHEMA)
+    plan = line_dedup.keep(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
