@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planloom.session import cut_lineage
+from planloom.session import forget, written
 
 
 def _star(edges: DataFrame, lowest: DataFrame) -> DataFrame:
@@ -16,24 +16,29 @@ def _star(edges: DataFrame, lowest: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (columns u, v); root: its component's smallest node.
 
-    Each round replaces links by links to smaller nodes and ends with stars. Rounds
-    grow with the logarithm of a component's width. A round counts, joins and writes
-    only links, in the shared checkpoint folder; nodes with very many links are split
-    by the adaptive skew join, as both sides of each join are shuffled.
+    Each round replaces links by links to smaller nodes; they are stars when no node has two smaller
+    neighbours, or a smaller and a larger one. Rounds grow with the logarithm of a component's width. A round
+    counts, joins and writes only links, as Parquet in the shared checkpoint folder (few links are read by few tasks), and
+    deletes the files of the round before; nodes with very many links are split by the adaptive skew join,
+    as both sides of a join of many links are shuffled.
     """
-    edges = cut_lineage(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-                        .distinct())
-    state = None
+    edges = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut_lineage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low")))
-        large = cut_lineage(_star(both.where("v > u"), low).where("u <> v").distinct())
-        low = cut_lineage(large.groupBy("u").agg(F.min("v").alias("low")))
-        near = _star(large, low).unionByName(low.select("u", F.col("low").alias("v")))
-        edges = cut_lineage(near.where("u <> v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
+        # u > v in every link of ``edges``
+        turned = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        n_smaller, n_larger = F.count_if(F.col("v") < F.col("u")), F.count_if(F.col("v") > F.col("u"))
+        low = written(edges.unionByName(turned).groupBy("u").agg(
+            F.least(F.min("v"), F.col("u")).alias("low"),
+            ((n_smaller > 1) | ((n_smaller > 0) & (n_larger > 0))).alias("open")))
+        if low.where("open").isEmpty():
+            forget(low)
             break
-        state = now
+        large = written(_star(turned, low).where("u <> v").distinct())
+        lowest = written(large.groupBy("u").agg(F.min("v").alias("low")))
+        near = _star(large, lowest).unionByName(lowest.select("u", F.col("low").alias("v")))
+        found = written(near.where("u <> v").distinct())
+        for done in (edges, low, large, lowest):
+            forget(done)
+        edges = found
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from planloom.llm import simhash
 from planloom.llm.components import components
 from planloom.llm.simhash import SEED, shingles_of, smallest_of_each
-from planloom.session import cut_lineage
+from planloom.session import cut_lineage, forget, shuffles_freed, written
 
 SHINGLE = 5
 #: At least NEAR[0] / NEAR[1] of the two sets' union is in both.
@@ -131,16 +131,21 @@ def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part["node"], made], names=["node", "minima"])
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
+def _shared(nodes: DataFrame) -> DataFrame:
+    """(key, node, ends): the buckets of ``nodes`` (node, bands) that have several nodes, each with two of them."""
+    rows = nodes.select("node", F.explode("bands").alias("key"))
+    place = F.struct(F.xxhash64("node", "key").alias("order"), "node")
+    ends = (rows.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+            .where("first <> last").select("key", F.array("first.node", "last.node").alias("ends")))
+    return written(rows.join(ends, "key").select("key", "node", "ends"))
+
+
+def candidates(nodes: DataFrame, shared: DataFrame) -> DataFrame:
     """(u, v), u < v: pairs of ``nodes`` (node, fingerprint, bands) that are to be compared first, each once."""
-    rows = nodes.select("node", F.explode("bands").alias("key")).withColumn(
-        "place", F.struct(F.xxhash64("node", "key").alias("order"), "node"))
-    ends = cut_lineage(rows.groupBy("key").agg(F.min("place").alias("first"), F.max("place").alias("last"))
-                       .where("first <> last").select("key", F.array("first.node", "last.node").alias("ends")))
-    met = rows.join(ends, "key").select("node", F.explode("ends").alias("end")).where("node <> end")
+    met = shared.select("node", F.explode("ends").alias("end")).where("node <> end")
     met = met.select(F.least("node", "end").alias("u"), F.greatest("node", "end").alias("v"))
     # nodes of one fingerprint meet one of them, different fingerprints meet through theirs
-    prints = cut_lineage(nodes.where(F.size("bands") > 0).groupBy("fingerprint").agg(F.min("node").alias("lead")))
+    prints = written(nodes.where(F.size("bands") > 0).groupBy("fingerprint").agg(F.min("node").alias("lead")))
     same = nodes.join(prints, "fingerprint").where("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v"))
     lead = lambda name: prints.select(F.col("fingerprint").alias(name), F.col("lead").alias(f"{name}_lead"))
     close = (simhash.links(prints.select("fingerprint")).join(lead("u"), "u").join(lead("v"), "v")
@@ -200,7 +205,7 @@ def _parted(buckets: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
     ``split`` tells whether it was. Every turn takes the minima in another order."""
     small, large, step = [], buckets.withColumn("split", F.lit(False)), 0
     while True:
-        sizes = cut_lineage(large.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > WHOLE).select("key"))
+        sizes = written(large.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > WHOLE).select("key"))
         if sizes.isEmpty():
             small.append(large.drop("minima"))
             break
@@ -209,11 +214,11 @@ def _parted(buckets: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
             large = large.join(sizes, "key", "left_semi")
             minima = sets.join(large.select("node").distinct(), "node").select("node", "hashes").mapInArrow(
                 _least, "node long, minima array<int>")
-            large = large.join(cut_lineage(minima), "node")
+            large = large.join(written(minima), "node")
         # one minimum more, then two, four ...: copies that differ in most places are parted in a few steps
         take = [(turn * 37 + i * 13) % (BANDS * ROWS) for i in range(2 ** step - 1, 2 ** (step + 1) - 1)]
         own = [F.get("minima", F.lit(i)) for i in take] if 2 ** (step + 1) <= BANDS * ROWS else [F.xxhash64("node")]
-        large = cut_lineage(large.join(sizes, "key").withColumn("key", F.xxhash64("key", *own)).withColumn("split", F.lit(True)))
+        large = written(large.join(sizes, "key").withColumn("key", F.xxhash64("key", *own)).withColumn("split", F.lit(True)))
         step += 1
     out = small[0]
     for x in small[1:]:
@@ -224,7 +229,7 @@ def _parted(buckets: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
 def _blocks(buckets: DataFrame) -> DataFrame:
     """``buckets`` (key, node, root) dealt out to pairs of blocks (key, one, other) of about WHOLE nodes together, so that
     each node outside a bucket's largest group meets every other node of the bucket."""
-    groups = cut_lineage(buckets.groupBy("key", "root").agg(F.count("*").alias("n")))
+    groups = written(buckets.groupBy("key", "root").agg(F.count("*").alias("n")))
     half = max(WHOLE // 2, 1)
     most = F.max(F.struct("n", "root"))
     of_key = groups.groupBy("key").agg(most["root"].alias("lead"), F.ceil(most["n"] / half).alias("n_lead"),
@@ -232,7 +237,7 @@ def _blocks(buckets: DataFrame) -> DataFrame:
     dealt = lambda n: F.pmod(F.xxhash64("node"), F.greatest(n, F.lit(1)))
     led, last = F.col("root") == F.col("lead"), F.col("n_lead") + F.col("n_rest") - 1
     own = F.when(led, dealt(F.col("n_lead"))).otherwise(F.col("n_lead") + dealt(F.col("n_rest")))
-    rows = buckets.join(cut_lineage(of_key), "key").withColumn("block", own).withColumn(
+    rows = buckets.join(written(of_key), "key").withColumn("block", own).withColumn(
         "with", F.explode(F.sequence(F.when(led, F.col("n_lead")).otherwise(F.lit(0).cast("bigint")), last)))
     return rows.select("key", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("other"), "node", "root")
 
@@ -244,41 +249,49 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     nodes = cut_lineage(rows.groupBy("node").agg(F.min(at).alias("at"), *[F.first(c).alias(c) for c in ("fingerprint", "bands")]))
 
     def sets_of(asked: DataFrame) -> DataFrame:
-        held = cut_lineage(nodes.join(asked, "node").select(
+        held = written(nodes.join(asked, "node").select(
             "node", F.col("at.doc_id").alias("_doc_id"), F.col("at.text_key").alias("_text_key")))
         texts = docs.select("doc_id", "text").join(held, F.col("doc_id").eqNullSafe(F.col("_doc_id"))
                                                    & (F.xxhash64("text") == F.col("_text_key")))
         return cut_lineage(texts.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(
             _hashed, "node long, hashes array<bigint>"))
 
-    pairs = cut_lineage(candidates(nodes))
+    shared = _shared(nodes)
+    pairs = written(candidates(nodes, shared))
     sets = sets_of(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
     side = lambda name: sets.select(F.col("node").alias(name), F.col("hashes").alias(f"{name}_hashes"))
     both = pairs.join(side("u"), "u").join(side("v"), "v")
     common = F.size(F.array_intersect("u_hashes", "v_hashes")).cast("long")
-    found = cut_lineage(both.where(_near(common, F.size("u_hashes"), F.size("v_hashes"))).select("u", "v"))
+    found = written(both.where(_near(common, F.size("u_hashes"), F.size("v_hashes"))).select("u", "v"))
+    forget(pairs)
 
-    buckets, turn = nodes.select("node", F.explode("bands").alias("key")), 0
+    turn = 0
     while True:
         roots = components(found)
-        placed = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        placed = written(shared.select("node", "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
         mixed = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-        parted = cut_lineage(_parted(cut_lineage(placed.join(mixed, "key")), sets, turn))
+        several = written(placed.join(mixed, "key"))
+        forget(placed)
+        parted = written(_parted(several, sets, turn))
         # a part of one group has nothing to find
         open_parts = parted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-        todo = cut_lineage(parted.join(open_parts, "key").select("key", "node", "root", "split"))
-        more = cut_lineage(todo.join(sets, "node").select("key", "node", "root", "hashes").groupBy("key")
-                           .applyInArrow(_whole, "u bigint, v bigint").distinct())
-        if parted.where("split").isEmpty():
-            return found.unionByName(more)
+        todo = written(parted.join(open_parts, "key").select("key", "node", "root", "split"))
+        more = written(todo.join(sets, "node").select("key", "node", "root", "hashes").groupBy("key")
+                       .applyInArrow(_whole, "u bigint, v bigint").distinct())
+        forget(todo)
+        last = parted.where("split").isEmpty()
+        forget(parted)
+        if last:
+            break
         if more.isEmpty():
+            split = several.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > WHOLE).select("key")
+            rest = _blocks(written(several.join(split, "key"))).join(sets, "node")
+            more = written(rest.select("key", "one", "other", "node", "root", "hashes").groupBy("key", "one", "other")
+                           .applyInArrow(_whole, "u bigint, v bigint").distinct())
             break
-        found, turn = cut_lineage(found.unionByName(more)), turn + 1
-    several = cut_lineage(placed.join(mixed, "key"))
-    split = several.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > WHOLE).select("key")
-    rest = _blocks(cut_lineage(several.join(split, "key"))).join(sets, "node")
-    more = cut_lineage(rest.select("key", "one", "other", "node", "root", "hashes").groupBy("key", "one", "other")
-                       .applyInArrow(_whole, "u bigint, v bigint").distinct())
+        found, turn = written(found.unionByName(more)), turn + 1
+    for done in (shared, several):
+        forget(done)
     return found.unionByName(more)
 
 
@@ -287,7 +300,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     ``simhash.keep_one`` has it."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = cut_lineage(keyed.mapInArrow(_signed, f"doc_id {kind}, text_key long, node long, fingerprint long, bands array<bigint>"))
-    roots = cut_lineage(components(cut_lineage(links(docs, rows))))
+    with shuffles_freed(docs.sparkSession):
+        rows = cut_lineage(keyed.mapInArrow(_signed, f"doc_id {kind}, text_key long, node long, fingerprint long, bands array<bigint>"))
+        roots = written(components(links(docs, rows)))
     rooted = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return smallest_of_each(docs, rooted)
