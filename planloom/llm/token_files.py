@@ -120,7 +120,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int | None, folder: str | Non
     ending = b"" if end_id is None else ids_bytes([end_id])
 
     def write_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, part = encoder(tokenizer).encode, TaskContext.get().partitionId()
+        encode_each, part = encoder(tokenizer).encode_each, TaskContext.get().partitionId()
         doc_ids, documents, held, number = [], [], 0, 0
 
         def flush() -> pd.DataFrame:
@@ -132,8 +132,9 @@ def write(docs: DataFrame, tokenizer: str, end_id: int | None, folder: str | Non
             return row
 
         for batch in batches:
-            for doc_id, no_id, text in zip(batch["doc_id"].tolist(), batch["no_id"].tolist(), batch["text"]):
-                ids = np.frombuffer(encode(text) + ending, "<u4")
+            encoded = encode_each(batch["text"])
+            for doc_id, no_id, ids in zip(batch["doc_id"].tolist(), batch["no_id"].tolist(), encoded):
+                ids = np.frombuffer(ids + ending, "<u4")
                 if documents and held + len(ids) > MOST_TOKENS:
                     yield flush()
                 doc_ids.append(None if no_id else doc_id)

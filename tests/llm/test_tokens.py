@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from planloom.llm import packing, queries, token_files
+from planloom.llm import packing, queries, token_files, tokens
 from planloom.llm.tokens import Encoder, encoder, ids_bytes
 
 FILES = (queries.WORD_BPE, queries.BYTE_BPE)
@@ -26,6 +26,45 @@ def test_pieces_have_the_ids_of_whole_texts(name):
         assert ours.encode(text) == ids_bytes(theirs.encode(text, add_special_tokens=False).ids), text
 
 
+def test_forms_of_a_word_share_a_piece():
+    ours = Encoder(queries.tokenizer_path(queries.WORD_BPE))
+    ours.encode("Word word, WORD. (word) été Été! it's 12")
+    assert set(ours.cached) == {"word", ",", ".", "(", ")", "été", "!", "it", "'s", "1", "2"}
+
+
+def test_all_latin_characters_have_the_ids_of_whole_texts():
+    path = queries.tokenizer_path(queries.WORD_BPE)
+    ours, theirs = Encoder(path), Tokenizer.from_file(path)
+    rng = random.Random(4)
+    latin, near = [chr(i) for i in range(256)], list("'stremvdlSTREMVDL .,-") + ["<|endoftext|>", "<|ENDOFTEXT|>", "ª", "µ", "¼", "ß", "Þ", "×"]
+    texts = [x for c in latin for x in (c, f"a{c}B", f"{c}'S", f"1{c}2", f"{c}{c},")]
+    texts += ["".join(rng.choices(letters, k=rng.randint(1, 30))) for letters in (latin, near) for _ in range(3000)]
+    for text in texts:
+        assert ours.encode(text) == ids_bytes(theirs.encode(text, add_special_tokens=False).ids), text
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_texts_encoded_together(monkeypatch, name):
+    path = queries.tokenizer_path(name)
+    ours, theirs = Encoder(path), Tokenizer.from_file(path)
+    rng = random.Random(5)
+    alphabet = list("a b.c! \n\t.,'sSabÉß12日\xa0\x85\x1c\r\x0b\x00") + ["  ", "<|endoftext|>", "'re", " The"]
+    texts = ["", " ", "", "x" * 300] + ["".join(rng.choices(alphabet, k=rng.choice([1, 5, 40, 150]))) for _ in range(2000)] + [""]
+    want = [ids_bytes(theirs.encode(text, add_special_tokens=False).ids) for text in texts]
+    for most in (8_000_000, 100, 1):
+        monkeypatch.setattr(tokens, "MOST_CHARS", most)
+        assert list(ours.encode_each(iter(texts))) == want
+    assert list(ours.encode_each([])) == []
+
+
+def test_a_repeated_word_is_looked_up_once(monkeypatch):
+    ours, asked = Encoder(queries.tokenizer_path(queries.WORD_BPE)), []
+    monkeypatch.setattr(tokens, "MOST_PIECES", 1)  # the cache forgets at once
+    monkeypatch.setattr(ours, "word", lambda letters, word=ours.word: asked.append(letters) or word(letters))
+    assert list(ours.encode_each(["one two one", "Two ONE", "two"])) == [ours.whole(x) for x in ("one two one", "Two ONE", "two")]
+    assert asked == ["one", "two"]
+
+
 @settings(deadline=None, max_examples=60)
 @given(st.lists(st.lists(st.integers(0, 2 ** 32 - 1), max_size=30), max_size=8))
 def test_file_round_trip(documents):
