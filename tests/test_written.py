@@ -1,6 +1,7 @@
 """Tables that are written out between steps, numbers shared by sheets, exact percentiles."""
 
 import os
+import random
 from types import SimpleNamespace
 
 from pyspark.sql import functions as F
@@ -104,3 +105,26 @@ def test_long_runs_of_any_length_and_place(spark):
     assert long == {(1, 5, x) for x in range(-3, 38)} | {(1, y, 70) for y in range(13, 53)}
     assert pixels.long_runs(dark, 3).count() == 41 + 39 + 40
     assert pixels.long_runs(dark, 1).count() == 41 + 39 + 40 + 1
+
+
+def test_long_runs_shuffle_tiles_and_no_pixels(spark):
+    rng = random.Random(3)
+    pts = {(s, rng.randrange(30), rng.randrange(40)) for s in range(3) for _ in range(900)}
+
+    def run(p, d):
+        n = 1
+        for by in (1, -1):
+            at = [p[0], p[1] + by * d[0], p[2] + by * d[1]]
+            while tuple(at) in pts:
+                n, at = n + 1, [at[0], at[1] + by * d[0], at[2] + by * d[1]]
+        return n
+
+    dark = spark.createDataFrame(sorted(pts), "sheet_id long, y int, x int")
+    for length in (1, 5, 9, 17):
+        want = {p for p in pts if max(run(p, (0, 1)), run(p, (1, 0))) >= length}
+        for limit in (10**6, 100):
+            got = pixels.long_runs(dark, length, sheet_limit=limit).collect()
+            assert len(got) == len(want) and {tuple(r) for r in got} == want
+    lies = pixels.long_runs(dark, 9)._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in lies
+    assert pixels.long_runs(dark, 9)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
