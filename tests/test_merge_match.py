@@ -207,3 +207,24 @@ def test_missed_text(spark):
             (1, 3, "abcd", 0., 0., 9., 9., .5), (1, 4, "222", 1268., 1301., 1300., 1344., .99)]
     got = missed_text(frame(spark, rows), kept).collect()
     assert [(r.det_idx, r.flag.code, r.flag.severity) for r in got] == [(1, "possible-missed-text", "warn")]
+
+
+def crossed(rng):
+    """Boxes about the borders of blocks, a board of many far groups, and one under a wide box."""
+    rows = [(1, i, "x" * rng.randrange(1, 6), x, y, x + rng.choice([8., 40., 300.]), y + 20., rng.choice([.8, .9, .95]))
+            for i in range(120) for x, y in [(1000. + rng.randrange(60) + 5000 * rng.randrange(3), float(rng.randrange(40)))]]
+    rows += [(2, i, "x" * rng.randrange(1, 6), x, 10., x + 30., 30., rng.choice([.8, .9, .95]))
+             for i in range(120) for x in [2048. * (i // 4) + rng.randrange(30)]]
+    rows += [(3, i, "x" * rng.randrange(1, 6), x, 10., x + 30., 30., .9) for i in range(40) for x in [500. * (i // 4) + rng.randrange(30)]]
+    return rows + [(3, 40, "wide", 0., 0., 70_000., 40., .95)]
+
+
+def test_blocks_of_crowded_sheets_are_folded(spark, monkeypatch):
+    rows = crossed(random.Random(5))
+    rounds, in_rounds = [], merge._merge_in_rounds
+    monkeypatch.setattr(merge, "_merge_in_rounds", lambda df, *a: rounds.append(df.groupBy("sheet_id").count().collect()) or in_rounds(df, *a))
+    out = merge_detections(frame(spark, rows), fold_limit=30)
+    got = {(r.sheet_id, r.det_idx) for r in out.where("kept").collect()}
+    assert out.count() == len(rows)
+    assert got == set().union(*[slow_merge([r for r in rows if r[0] == s]) for s in (1, 2, 3)])
+    assert [sorted(r.sheet_id for r in some) for some in rounds] == [[1, 3]]
