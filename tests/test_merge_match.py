@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from planloom.operators import merge, spatial
+from planloom.operators import match, merge, spatial
 from planloom.operators.match import match_one_to_one, missed_text
 from planloom.operators.merge import merge_detections
 from planloom.operators.ranking import rank_within
@@ -228,3 +228,17 @@ def test_blocks_of_crowded_sheets_are_folded(spark, monkeypatch):
     assert out.count() == len(rows)
     assert got == set().union(*[slow_merge([r for r in rows if r[0] == s]) for s in (1, 2, 3)])
     assert [sorted(r.sheet_id for r in some) for some in rounds] == [[1, 3]]
+
+
+def test_blocks_of_crowded_sheets_are_matched_by_fold(spark, monkeypatch):
+    rows = crossed(random.Random(9))
+    rng = random.Random(10)
+    truth = [(r[0], r[1], r[3] + rng.choice([0., 3.]), r[4], r[5], r[6]) for r in rows if r[0] != 1]
+    dets = [(r[0], r[1], r[3], r[4] + rng.choice([0., 2.]), r[5], r[6]) for r in rows if r[0] != 1]
+    kinds = {"truth_idx": truth, "det_idx": dets}
+    t, d = (frame(spark, some, f"sheet_id long, {n} long, x0 double, y0 double, x1 double, y1 double") for n, some in kinds.items())
+    rounds, in_rounds = [], match._match_in_rounds
+    monkeypatch.setattr(match, "_match_in_rounds", lambda t, d, *a: rounds.append(t.groupBy("sheet_id").count().collect()) or in_rounds(t, d, *a))
+    got = {(r.sheet_id, r.truth_idx, r.det_idx) for r in match_one_to_one(t, d, pair_limit=150).collect()}
+    assert got == slow_match(truth, dets)
+    assert [sorted(r.sheet_id for r in some) for some in rounds] == [[3]]
