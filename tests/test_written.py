@@ -128,3 +128,17 @@ def test_long_runs_shuffle_tiles_and_no_pixels(spark):
     lies = pixels.long_runs(dark, 9)._jdf.queryExecution().sparkPlan().toString()
     assert "Join" not in lies
     assert pixels.long_runs(dark, 9)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_place_clear_leaves_broadcasts_small(spark, monkeypatch):
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before, seen, best = [spark.conf.get(n, None) for n in names], [], gate._best_moves
+
+    def watched(*args):
+        seen.extend(int(spark.conf.get(n)) for n in names)
+        return best(*args)
+
+    monkeypatch.setattr(gate, "_best_moves", watched)
+    drawn = spark.createDataFrame([(1, 290.0, 15.0, 310.0, 25.0)], "sheet_id long, x0 double, y0 double, x1 double, y1 double")
+    assert gate.place_clear(_runs(spark), drawn).where("moved").count() == 1
+    assert seen == [-1, 1 << 20] and [spark.conf.get(n, None) for n in names] == before
