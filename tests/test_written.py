@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from planloom.operators import gate, merge, pixels
 from planloom.session import checkpoint_dir, forget, written
 from planloom.workload import q_match
+from planloom.workload.registry import QUERIES
 
 EQUAL = ((0, 15, 243), (4, 138, 0))
 
@@ -142,3 +143,13 @@ def test_place_clear_leaves_broadcasts_small(spark, monkeypatch):
     drawn = spark.createDataFrame([(1, 290.0, 15.0, 310.0, 25.0)], "sheet_id long, x0 double, y0 double, x1 double, y1 double")
     assert gate.place_clear(_runs(spark), drawn).where("moved").count() == 1
     assert seen == [-1, 1 << 20] and [spark.conf.get(n, None) for n in names] == before
+
+
+def test_gate_query_has_every_check_and_correction(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(gate, "run_gate", lambda t, sheets: seen.append(t) or SimpleNamespace(report=sheets))
+    QUERIES["run_gate"](spark, "/root/testdata/sf0.001")
+    t, = seen
+    assert t.occupied is not None and t.occupied.count() == t.runs.sparkSession.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+    assert {r.rule for f in t.fixed_violations for r in f.collect()} == {"spatial-integrity", "layer-ordering"}
+    assert t.runs.where(F.exists("flags", lambda f: f["severity"] == "error")).count() > 0
