@@ -11,7 +11,7 @@ from planloom import constants as K
 from planloom.functions import geometry as G
 from planloom.operators import match, pixels as P
 from planloom.operators.vocab import Vocabulary, snap_text
-from planloom.session import written
+from planloom.session import shuffles_freed, written
 
 
 @dataclass
@@ -41,10 +41,12 @@ def verify_corpus(source: DataFrame, output: DataFrame, source_sizes: DataFrame,
     comparable = scales.where(F.col("scale").isNotNull()).select("sheet_id")
     sizes = output_sizes.join(comparable, "sheet_id", "left_semi")
     flipped = P.flip_pixels(P.enlarge(source, scales), sizes, axis)
-    diffs = written(P.diff_pixels(flipped, output.join(comparable, "sheet_id", "left_semi")))
-    expected = written(expected_wording(source_dets, sizes, axis, vocab))
-    outside = P.outside_boxes(diffs, expected.select("sheet_id", *G.BOX), pad=K.TEXT_EXCLUSION_PAD_PX)
-    regions = P.diff_regions(outside)
-    issues = match.check_wording(expected, output_dets, vocab=vocab, source_conf=True)
+    # each step is written out, so that its shuffle files are gone before the next one
+    with shuffles_freed(source.sparkSession):
+        diffs = written(P.diff_pixels(flipped, output.join(comparable, "sheet_id", "left_semi")))
+        expected = written(expected_wording(source_dets, sizes, axis, vocab))
+        outside = P.outside_boxes(diffs, expected.select("sheet_id", *G.BOX), pad=K.TEXT_EXCLUSION_PAD_PX)
+        regions = written(P.diff_regions(outside))
+        issues = written(match.check_wording(expected, output_dets, vocab=vocab, source_conf=True))
     return Verification(P.verify_report(sizes, diffs, regions, issues, expected), regions, issues,
                         scales.where(F.col("scale").isNull()))
