@@ -4,9 +4,11 @@ import os
 import random
 from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
 from planloom.operators import gate, merge, pixels
+from planloom.plans import reading, vector_pages, verifying
 from planloom.session import checkpoint_dir, forget, written
 from planloom.workload import q_match
 from planloom.workload.registry import QUERIES
@@ -153,3 +155,24 @@ def test_gate_query_has_every_check_and_correction(spark, monkeypatch):
     assert t.occupied is not None and t.occupied.count() == t.runs.sparkSession.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
     assert {r.rule for f in t.fixed_violations for r in f.collect()} == {"spatial-integrity", "layer-ordering"}
     assert t.runs.where(F.exists("flags", lambda f: f["severity"] == "error")).count() > 0
+
+
+@pytest.mark.parametrize("name, plan", [("compare_passes", reading), ("verify_corpus", verifying), ("mirror_traces_calibrated", vector_pages)])
+def test_plans_free_the_shuffle_files_of_each_step(spark, monkeypatch, name, plan):
+    freed, write = [], plan.written
+
+    def watched(df):
+        freed.append(spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled"))
+        return write(df)
+
+    monkeypatch.setattr(plan, "written", watched)
+    QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert freed and set(freed) == {"true"}
+
+
+def test_compared_passes_leave_no_reading_behind(spark):
+    checkpoint_dir(spark)
+    before = set(os.listdir(_local(spark)))
+    QUERIES["compare_passes"](spark, "/root/testdata/sf0.001")
+    # the scores of both sides
+    assert len([d for d in set(os.listdir(_local(spark))) - before if d.startswith("rows-")]) == 2
